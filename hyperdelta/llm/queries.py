@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, packing, simhash
+from . import decontaminate, kneser_ney, packing, pii, simhash
 from .common import table
 
 
@@ -22,12 +22,17 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_kneser_ney_quality": op7_kneser_ney_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
