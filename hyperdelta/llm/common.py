@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -113,3 +114,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = starts_of(lengths)[:-1]
     return np.repeat(starts - at, lengths) + np.arange(total)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; it goes with the run's checkpoints."""
+    prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
