@@ -120,3 +120,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; it goes with the run's checkpoints."""
     prepare(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def runs(contents: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
+    """Slices of texts of about `most` bytes together, or of one longer text, so that a batch's arrays stay small."""
+    first = held = 0
+    for i, text in enumerate(contents):
+        if held and held + len(text) > most:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(text)
+    if first < len(contents):
+        yield slice(first, len(contents))
