@@ -25,7 +25,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 3",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
 }
