@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, kneser_ney, packing, pii, quality_rules, simhash, urlfilter
+from . import arc, chat, decontaminate, kneser_ney, packing, pii, quality_rules, simhash, tokenfiles, urlfilter
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.document_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_kneser_ney_quality": op7_kneser_ney_quality,
+    "op8_arc_to_warc": op8_arc_to_warc,
+    "op9_separator_scan": op9_separator_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -60,4 +70,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
     "op3_url_filter": urlfilter.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op8_arc_to_warc": arc.ORACLE,
 }
