@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, cut, hash_long, prepare, starts_of, texts
@@ -32,8 +32,8 @@ class Policy:
     """Bounds of the training sample: documents, in the order of their id's hash, and characters. quantile: of the trusted
     documents of a language; margin: in units of that quantile's distance from the median. prior: words."""
 
-    max_docs: int = 4000
-    max_chars: int = 12_000_000
+    max_docs: int = 2500
+    max_chars: int = 8_000_000
     quantile: float = 0.99
     margin: float = 0.5
     prior: float = 20.0
@@ -135,45 +135,63 @@ def _triples(trusted: DataFrame) -> DataFrame:
     return trusted.mapInArrow(run, "u long, v long, w long")
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Of Chen and Goodman: for counts of 1, of 2, and of 3 or more."""
-    n = counts.agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+def _discounts(n: list[int]) -> tuple[float, float, float]:
+    """Of Chen and Goodman, from how many n-grams have the counts 1, 2, 3 and 4: for counts of 1, of 2, and of 3 or more."""
     if not all(n):
         return 0.5, 0.75, 0.9
     y = n[0] / (n[0] + 2 * n[1])
     return tuple(min(k - 0.01, max(0.01, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))
 
 
-def _less(d: tuple[float, float, float]) -> Column:
-    return F.col("c") - F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+def _counted(column: str, weight: str = "1") -> list[Column]:
+    return [F.sum(F.when(F.col(column) == k, F.expr(weight)).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
 
 
-def _context(counts: DataFrame, by: list[str], d: tuple[float, float, float]) -> DataFrame:
-    """Of each context: the sum of its counts, and the weight of what its discounts leave."""
-    left = d[0] * F.count_if(F.col("c") == 1) + d[1] * F.count_if(F.col("c") == 2) + d[2] * F.count_if(F.col("c") > 2)
-    return counts.groupBy(*by).agg(F.sum("c").alias("s"), (left / F.sum("c")).alias("g"))
+def _discount(column: str, d: tuple[float, float, float]) -> Column:
+    return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
 
 
 def train(trusted: DataFrame) -> Model:
-    """The model of the words of trusted (text). Without a word in it, every word has the same probability."""
+    """The model of the words of trusted (text). Without a word in it, every word has the same probability.
+
+    Triples (u, v, w) are dealt once, by their middle word. Then a shard has all triples of a context (u, v), all of a pair
+    (v, w) and all pairs of a context (v), so counts meet contexts and lower orders without another exchange; only words
+    are summed across shards, and their table, bounded by the sample, is joined back.
+    """
     prepare(trusted.sparkSession)
-    c3 = cut(_triples(trusted).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
-    c2 = c3.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
-    c1 = c2.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    d3, d2, d1 = _discounts(c3), _discounts(c2), _discounts(c1)
-    n, s, left = c1.agg(F.count(F.lit(1)), F.sum("c"), F.sum(F.col("c") - _less(d1))).first()
-    rest = (left / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
-    g2, g3 = _context(c2, ["v"], d2), _context(c3, ["u", "v"], d3)
-    p1 = c1.select("w", (_less(d1) / float(s or 1) + rest).alias("p1"))
-    p2 = c2.join(g2, "v").join(p1, "w").select("v", "w", (_less(d2) / F.col("s") + F.col("g") * F.col("p1")).alias("p2"))
-    p3 = c3.join(g3, ["u", "v"]).join(p2, ["v", "w"]).select(F.xxhash64("u", "v", "w").alias("k"), F.ln(_less(d3) / F.col("s") + F.col("g") * F.col("p2")).cast("float").alias("p"))
-    word = p1.select(F.col("w").alias("k"), F.ln("p1").cast("float").alias("p")).join(g2.select(F.col("v").alias("k"), F.ln("g").cast("float").alias("g")), "k", "full")
-    pair = p2.select(F.xxhash64("v", "w").alias("k"), F.ln("p2").cast("float").alias("p")).join(g3.select(F.xxhash64("u", "v").alias("k"), F.ln("g").cast("float").alias("g")), "k", "full")
+    c3 = cut(_triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c3")))
+    pair, left, right = Window.partitionBy("v", "w"), Window.partitionBy("u", "v"), Window.partitionBy("v")
+    c1 = cut(c3.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")).groupBy("w").agg(F.count(F.lit(1)).alias("c1"), *_counted("c2")))
+    d3 = _discounts(list(c3.agg(*_counted("c3")).first()))
+    d2 = _discounts(list(c1.agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()))
+    d1 = _discounts(list(c1.agg(*_counted("c1")).first()))
+    n, s, rest = c1.agg(F.count(F.lit(1)), F.sum("c1"), F.sum(_discount("c1", d1))).first()
+    rest = (rest / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
+    p1 = c1.select("w", ((F.col("c1") - _discount("c1", d1)) / float(s or 1) + rest).alias("p1"))
+    rows = c3.withColumn("c2", F.count(F.lit(1)).over(pair))
+    # a pair has c2 rows, so a sum over pairs is a sum over rows of shares of 1 / c2
+    rows = rows.withColumns(
+        {
+            "s2": F.count(F.lit(1)).over(right),
+            "g2": F.sum(_discount("c2", d2) / F.col("c2")).over(right) / F.count(F.lit(1)).over(right),
+            "s3": F.sum("c3").over(left),
+            "g3": F.sum(_discount("c3", d3)).over(left) / F.sum("c3").over(left),
+        }
+    )
+    rows = rows.join(F.broadcast(p1), "w")  # at most as many rows as the sample has words
+    p2 = (F.col("c2") - _discount("c2", d2)) / F.col("s2") + F.col("g2") * F.col("p1")
+    p3 = (F.col("c3") - _discount("c3", d3)) / F.col("s3") + F.col("g3") * F.col("p2")
+    rows = rows.withColumn("p2", p2).select("u", "v", "w", "s2", "g2", "g3", F.ln("p2").cast("float").alias("p2"), F.ln(p3).cast("float").alias("p3"))
+    rows = cut(rows.select(F.xxhash64("u", "v", "w").alias("k"), "v", F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v").alias("uv"), "p3", "p2", F.ln("g2").cast("float").alias("g2"), F.ln("g3").cast("float").alias("g3")))
 
     def arrays(df: DataFrame) -> list[np.ndarray]:
-        return [c.to_numpy() if c.null_count == 0 else c.cast(pa.float32()).fill_null(float("nan")).to_numpy() for c in df.toArrow().columns]
+        columns = df.toArrow().columns
+        return [c.to_numpy() if c.null_count == 0 else c.cast(pa.float32()).fill_null(float("nan")).to_numpy() for c in columns]
 
-    return Model(Table(*arrays(word)), Table(*arrays(pair)), Table(*arrays(p3)), float(np.log(rest)))
+    words = p1.select(F.col("w").alias("k"), F.ln("p1").cast("float").alias("p"))
+    words = words.join(rows.groupBy(F.col("v").alias("k")).agg(F.first("g2").alias("g")), "k", "full")
+    pairs = rows.groupBy(F.col("vw").alias("k")).agg(F.first("p2").alias("p")).join(rows.groupBy(F.col("uv").alias("k")).agg(F.first("g3").alias("g")), "k", "full")
+    return Model(Table(*arrays(words)), Table(*arrays(pairs)), Table(*arrays(rows.select("k", "p3"))), float(np.log(rest)))
 
 
 def score_batch(model: Model, contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
