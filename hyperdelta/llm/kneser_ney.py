@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, cut, hash_long, prepare, starts_of, texts
 
-BEGIN = -1205034819632174695  # XXH64 (seed 42) of no bytes: the word before the first
+BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 
 
 @dataclass(frozen=True)
