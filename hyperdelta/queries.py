@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import service
 from .functions import pointers as P
 from .model import delta, frame, ref
 from .operators import authoring, discovery, filters, hyperview, materialize, negation, replicate, timetravel, view
@@ -151,7 +152,7 @@ def include_negated_flag(spark, sf_dir):
 @query(f"{LIVE} SELECT id, seq, (SELECT count(*) FROM live WHERE author = 'agent_3')::BIGINT AS total FROM live WHERE author = 'agent_3' ORDER BY seq LIMIT 25")
 def limit_by_seq(spark, sf_dir):
     rows = filters.query(_log(spark, sf_dir), DeltaFilter(authors=["agent_3"]))
-    return filters.first(rows.select("id", "seq"), 25).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))), how="left")
+    return filters.first(rows.select("id", "seq"), 25).withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 @query(f"WITH {EVENTS}, w AS (SELECT unnest(['evt/9', 'evt/1', 'none', 'neg1/6']) AS id, unnest(range(4)) AS ord) SELECT id, ord::BIGINT AS ord, timestamp FROM w JOIN dlog USING (id)")
@@ -792,6 +793,36 @@ def field_selection(spark, sf_dir):
     return rows.withColumn("nation", F.array_join("nation", "|"))
 
 
+@query("""SELECT n_name AS nation, count(*)::BIGINT AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_totalprice BETWEEN 50000 AND 90000 AND c_mktsegment = 'BUILDING' GROUP BY ALL""")
+def traversal_pipeline(spark, sf_dir):
+    """Select roots by a property, go on to what they refer to, filter there, go on, resolve, count."""
+    log = bridge.relational(spark, sf_dir, "orders", "customer", "nation")
+    long = hyperview.long_form(log, negation="none")
+    orders = long.where(F.col("property") == "o_totalprice").where(P.number("o_totalprice").between(50000, 90000)).select("object_id")
+    hop = long.where("property = 'customer'").join(orders, "object_id", "left_semi").select("object_id", P.reference("customer").alias("to"))
+    building = long.where("property = 'c_mktsegment'").where(P.primitive("c_mktsegment") == "BUILDING").select(F.col("object_id").alias("to"))
+    nations = long.where("property = 'nation'").select(F.col("object_id").alias("to"), P.reference("nation").alias("nation_id"))
+    names = view.resolve(long, view.simple({"n_name": P.primitive("n_name")})).select(F.col("object_id").alias("nation_id"), F.col("n_name").alias("nation"))
+    found = hop.join(building, "to", "left_semi").join(nations, "to").groupBy("nation_id").agg(F.count(F.lit(1)).alias("orders"))
+    return found.join(names, "nation_id").select("nation", "orders")
+
+
+@query(f"{LIVE} SELECT object_id, property, count(*)::BIGINT AS n FROM shown WHERE object_id IN ('user/1', 'user/2', 'evt/6') GROUP BY ALL")
+def stored_view_lookup(spark, sf_dir):
+    views = materialize.Views(spark, f"{_shared(spark)}/views", _registry(EVENT_SCHEMA), Versions())
+    views.materialize(_log(spark, sf_dir), "events")
+    return views.get("events").where(F.col("object_id").isin("user/1", "user/2", "evt/6")).select("object_id", "property", "n")
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'PING' ELSE 'DELTA' END AS type, event_id + 1 AS timestamp FROM events WHERE event_id % 4 IN (0, 1)")
+def valid_messages(spark, sf_dir):
+    n, kind = F.col("event_id"), F.col("event_id") % 4
+    ping, sent = F.format_string('{"type":"PING","timestamp":%d}', n + 1), F.format_string('{"type":"DELTA","timestamp":%d,"delta":{}}', n + 1)
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(kind == 0, ping).when(kind == 1, sent).when(kind == 2, '{"type":"","timestamp":5}').otherwise("not json").alias("value"))
+    return service.valid_messages(lines).select("type", "timestamp")
+
+
 def worked_example(spark: SparkSession) -> DeltaLog:
     """A post, its author, a comment, and a comment that was retracted."""
     rows = [
