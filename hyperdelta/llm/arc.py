@@ -12,6 +12,7 @@ identifier is a UUID that holds the record's number, so a reference can be follo
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -176,7 +177,7 @@ def pages_as_arc(page_id: int | None, url: str | None, html: bytes) -> bytes:
 
 
 def convert(archives: DataFrame, least: int = 0) -> str:
-    """Converts archives (data: whole ARC files) to WARC files in the shared folder; the path of the folder.
+    """Converts archives (data: whole ARC files) to WARC files, compressed by gzip, in the shared folder; the path of the folder.
 
     Of records with equal payloads of at least `least` bytes, the one with the largest number is a response and the others
     revisit it; a record without a number is always a response. A payload is known by its SHA-1 and its length.
@@ -215,7 +216,7 @@ def convert(archives: DataFrame, least: int = 0) -> str:
     path = stage_path(spark, "warc")
     lines = joined.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
     # the text writer puts bytes as they are, and the two line ends that close a record behind each
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
     return path
 
 
@@ -231,8 +232,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for data in batch.column(0):
-                rows = []
-                for headers, block in read_warc(data.as_buffer().to_pybytes()):
+                rows, data = [], data.as_py()
+                for headers, block in read_warc(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data):
                     stated, size = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
                     if headers["WARC-Type"] != "revisit":
                         payload = split_http(block)[1]
