@@ -5,17 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share. A local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return shared.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint folder (a local session without one gets a temporary folder)."""
+    """df, computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            shared = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import service
+from .checkpoints import shared_folder
 from .functions import pointers as P
 from .model import delta, frame, ref
 from .operators import authoring, discovery, filters, hyperview, materialize, negation, replicate, timetravel, view
@@ -728,8 +728,7 @@ def burst_stats(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    return f"{shared_folder(spark)}/stream-{os.urandom(8).hex()}"
 
 
 @query(f"WITH {EVENTS} SELECT id, timestamp FROM refs WHERE property = 'error'")
