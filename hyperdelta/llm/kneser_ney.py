@@ -129,10 +129,15 @@ def _triples(trusted: DataFrame) -> DataFrame:
             for text in texts(batch.column(0)):
                 h = np.r_[BEGIN, BEGIN, known.of(text.split()).view(np.int64)]
                 out.append(np.stack([h[:-2], h[1:-1], h[2:]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], ["u", "v", "w"])
+            if out:  # equal triples of a batch are counted here, so that repeated lines do not travel
+                rows = np.concatenate(out, axis=1)
+                order = np.lexsort(rows)
+                rows = rows[:, order]
+                new = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)] if rows.shape[1] else [])
+                n = np.diff(np.r_[new, rows.shape[1]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, new]), pa.array(n)], ["u", "v", "w", "n"])
 
-    return trusted.mapInArrow(run, "u long, v long, w long")
+    return trusted.mapInArrow(run, "u long, v long, w long, n long")
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -159,7 +164,7 @@ def train(trusted: DataFrame) -> Model:
     are summed across shards, and their table, bounded by the sample, is joined back.
     """
     prepare(trusted.sparkSession)
-    c3 = cut(_triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c3")))
+    c3 = cut(_triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")))
     pair, left, right = Window.partitionBy("v", "w"), Window.partitionBy("u", "v"), Window.partitionBy("v")
     c1 = cut(c3.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")).groupBy("w").agg(F.count(F.lit(1)).alias("c1"), *_counted("c2")))
     d3 = _discounts(list(c3.agg(*_counted("c3")).first()))
@@ -229,19 +234,14 @@ def _score(mean: str) -> Column:
 def thresholds(scores: DataFrame, trusted: DataFrame, policy: Policy) -> DataFrame:
     """(lang, mean, threshold) of the languages with enough trusted documents; and a row without lang of all together, last."""
     held = scores.where("n_words > 0").join(trusted, "doc_id", "left_semi").withColumn("prior", F.lit(policy.prior))
-    everything = F.lit(True).alias("all")
-
-    def limits(rows: DataFrame, by: list[Column]) -> DataFrame:
-        mean = rows.groupBy(*by).agg((-F.sum("log_p") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("n"))
-        names = [c for c in mean.columns if c not in ("mean", "n")]
-        with_mean = rows.select("*", *([everything] if names == ["all"] else [])).join(mean, names)
-        q = F.percentile_approx(_score("mean"), F.array(F.lit(0.5), F.lit(policy.quantile)), 20000).alias("q")
-        out = with_mean.groupBy(*names, "mean", "n").agg(q)
-        return out.select(*names, "n", "mean", (F.col("q")[1] + policy.margin * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
-
-    own = limits(held.where("lang IS NOT NULL"), [F.col("lang")]).where(F.col("n") >= policy.least_trusted).select("lang", "mean", "threshold")
-    together = limits(held, [everything]).select(F.lit(None).cast("string").alias("lang"), "mean", "threshold")
-    return own.unionAll(together)
+    mean = (-F.sum("log_p") / F.sum("n_words")).alias("mean")
+    q = F.percentile_approx(_score("mean"), F.array(F.lit(0.5), F.lit(policy.quantile)), 20000)
+    limit = (q[1] + policy.margin * (q[1] - q[0])).alias("threshold")
+    known = held.where("lang IS NOT NULL")
+    means = known.groupBy("lang").agg(mean, F.count(F.lit(1)).alias("n")).where(F.col("n") >= policy.least_trusted)
+    own = known.join(means, "lang").groupBy("lang", "mean").agg(limit)
+    together = held.withColumn("mean", F.lit(held.agg(mean).first()[0]).cast("double")).agg(F.first("mean").alias("mean"), limit)
+    return own.unionAll(together.select(F.lit(None).cast("string").alias("lang"), "mean", "threshold").where("threshold IS NOT NULL"))
 
 
 @dataclass
