@@ -63,7 +63,8 @@ def nested(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots:
     Each pointer has a field `view`, with a field for each role that opens one: the packed view of the object that it refers
     to, under the rule's schema. A pointer opens if its role has a rule for a schema, it is a reference, the rule's condition
     holds, and it does not lead back to the object whose view it is in. All levels see the log as of the same time. The log
-    is read once a level; only views that are referred to from above are built.
+    is read once a level, and what a level needs of it is kept in the shared folder; only views that are referred to from above
+    are built.
     """
     top = registry.resolve(schema)
     rows = live(log, asof, negation) if negation != "none" else log.until(asof)
@@ -72,7 +73,9 @@ def nested(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots:
     wanted: dict[str, DataFrame | list[str] | None] = {top.id: roots}
     for s in reversed(order):  # from the top: which objects each level needs
         own = long_form(rows, wanted[s.id], negation="none", selector=s.selector)
-        longs[s.id] = own
+        if s.properties is not None:  # before anything is opened or gathered
+            own = own.where(F.col("property").isin(list(s.properties)) if s.properties else F.lit(False))
+        own = longs[s.id] = cut(own) if s.nested else own  # used for what it refers to, what opens, and the view itself
         for role, rule in s.nested.items():
             registry.resolve(rule.schema)
             referred = _referred(own, role, rule)

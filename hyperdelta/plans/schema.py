@@ -49,6 +49,7 @@ class HyperSchema:
     rules: dict[str, Rule] = field(default_factory=dict)
     selector: str = "by_target_context"
     version: int | None = None
+    properties: tuple[str, ...] | None = None  # the only ones that its views show; None for all
 
     @property
     def nested(self) -> dict[str, Rule]:
@@ -57,7 +58,7 @@ class HyperSchema:
     def hash(self) -> str:
         """Of what the schema means: alike however its rules are ordered."""
         rules = {role: [r.schema, r.when] for role, r in sorted(self.rules.items())}
-        text = json.dumps({"id": self.id, "name": self.name, "select": self.selector, "transform": rules}, sort_keys=True)
+        text = json.dumps({"id": self.id, "name": self.name, "select": self.selector, "transform": rules, "properties": self.properties}, sort_keys=True)
         return hashlib.sha256(text.encode()).hexdigest()
 
 

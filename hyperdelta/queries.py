@@ -363,9 +363,9 @@ def extract_array(spark, sf_dir):
 
 # Nested views
 
-REGION = HyperSchema("region", "Region", {"r_name": Rule("string")})
-NATION = HyperSchema("nation", "Nation", {"n_name": Rule("string"), "region": Rule("region")})
-CUSTOMER = HyperSchema("customer", "Customer", {"c_name": Rule("string"), "nation": Rule("nation")})
+REGION = HyperSchema("region", "Region", {"r_name": Rule("string")}, properties=("r_name",))
+NATION = HyperSchema("nation", "Nation", {"n_name": Rule("string"), "region": Rule("region")}, properties=("n_name", "region"))
+CUSTOMER = HyperSchema("customer", "Customer", {"c_name": Rule("string"), "nation": Rule("nation")}, properties=("c_name", "nation"))
 ORDER = HyperSchema("order", "Order", {"customer": Rule("customer"), "o_totalprice": Rule("string")})
 
 
@@ -389,7 +389,7 @@ def _text(props: str, name: str) -> str:
 def nested_order_customer(spark, sf_dir):
     log = bridge.relational(spark, sf_dir, "orders", "customer")
     roots = hyperview.where_property(log, "o_orderstatus", P.primitive("o_orderstatus") == "F")
-    plain = HyperSchema("customer", "Customer", {"c_name": Rule("string")})
+    plain = HyperSchema("customer", "Customer", {"c_name": Rule("string")}, properties=("c_name",))
     made = hyperview.nested(log, ORDER, _registry(ORDER, plain), roots, negation="none")
     return made.select("object_id", F.expr(_opened("props", "customer")).alias("c")).select("object_id", F.expr(_text("c.props", "c_name")).alias("customer"))
 
