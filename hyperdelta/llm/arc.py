@@ -31,8 +31,8 @@ FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
     2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"),
 }
-#: Records of one archive file; a reader takes a file as a whole.
-RECORDS_A_FILE = 2000
+#: Records of one archive file, and their bytes before compression; a reader takes a file as a whole.
+RECORDS_A_FILE, BYTES_A_FILE = 2000, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,8 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
 def number_in(record: ArcRecord) -> int | None:
     """A version 2 record's offset; version 1 has none."""
     offset = record.fields.get("offset", "")
-    return int(offset) if re.fullmatch(r"-?\d{1,18}", offset) else None
+    number = int(offset) if re.fullmatch(r"-?[0-9]{1,19}", offset) else None
+    return number if number is not None and abs(number) < 1 << 63 else None
 
 
 def id_of(record: ArcRecord) -> str:
@@ -206,17 +207,28 @@ def convert(archives: DataFrame, least: int = 0) -> str:
     joined = parsed.join(groups, ["digest", "size"], "left").select("number", "fields", "content", F.col("kept.number").alias("to"), F.col("kept.id").alias("to_id"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(CRLF * 2).join(held)], pa.binary())], ["archive"])
+
         for batch in batches:
-            out = []
             for number, fields, content, to, to_id in zip(*(c.to_pylist() for c in batch.columns)):
                 target = to_id if to is not None and number is not None and to != number else None
-                out.append(to_warc(ArcRecord(dict(fields), content), target))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                record = to_warc(ArcRecord(dict(fields), content), target)
+                if held and (len(held) == RECORDS_A_FILE or size + len(record) > BYTES_A_FILE):
+                    yield archive()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield archive()
 
     path = stage_path(spark, "warc")
-    lines = joined.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    # the text writer puts bytes as they are, and the two line ends that close a record behind each
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    lines = joined.mapInArrow(write, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    # a row is a file; the text writer puts its bytes as they are, and behind them the two line ends that close the last record
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     return path
 
 

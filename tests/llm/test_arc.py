@@ -17,6 +17,8 @@ def test_both_versions_of_headers():
         assert headers["WARC-Date"] == ("1999-01-02T03:04:05Z" if version == 1 else "1999-01-01T00:00:00Z")
         assert arc.number_of(headers["WARC-Record-ID"]) == (None if version == 1 else 77)
     (last,) = list(arc.read_arc(arc.write_arc([arc.ArcRecord({"url": "u", "date": "x", "offset": "-5"}, b"z")], 2)))
+    for n, number in ((2**63 - 1, 2**63 - 1), (-(2**63) + 1, -(2**63) + 1), (2**63, None), ("x", None)):
+        assert arc.number_in(arc.ArcRecord({"offset": str(n)}, b"")) == number
     assert arc.number_in(last) == -5 and arc.warc_date("x") == "1970-01-01T00:00:00Z"
 
 
@@ -60,3 +62,14 @@ def test_archives_of_many_records(spark):
     df = spark.createDataFrame([(arc.write_arc(records[:20]),), (arc.write_arc(records[20:]),), (arc.write_arc([], 1),), (None,)], "data binary")
     rows = {r["page_id"]: r for r in arc.read(spark, arc.convert(df)).collect()}
     assert len(rows) == 50 and {rows[i]["refers_to"] for i in range(47)} == {47, 48, 49} and rows[49]["record_type"] == "response" and rows[49]["payload_bytes"] == 3
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(arc, "BYTES_A_FILE", 5_000)
+    pages = [(2**62 + i, "http://h", "x" * (i % 7 * 600)) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    source = [(arc.pages_as_arc(i, u, h.encode()),) for i, u, h in pages]
+    path = arc.convert(spark.createDataFrame(source, "data binary"))
+    sizes = [len(arc.gzip.decompress(r["content"])) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    assert len(sizes) > 20 and max(sizes) < 7_000
+    assert sorted((tuple(r) for r in arc.round_trip(df).collect()), key=str) == plain(pages)
