@@ -2,10 +2,11 @@
 
 Counts, continuation counts, discounts and context weights are DataFrame aggregates and joins, dealt out by n-gram hash; they
 end in three tables: of words, word pairs and word triples, each with its interpolated probability and its weight as a
-context. The model is fitted on a bounded sample of documents labelled good, so the tables are bounded too. They are
-broadcast as sorted key arrays cut into shards by the keys' leading bits, and every batch of documents is joined with them
-there, shard by shard: each word needs one look-up a table. (A shuffle join would move every n-gram of the corpus, several
-times the input.)
+context. The model counts all documents labelled good in the training half, so it grows with the input. It is cut into
+parts by the middle word of its triples, of about PART triples each; all that a word's probability needs besides its own
+is is in the part of the word before it. The parts are built on the executors as sorted key arrays and kept in the shared
+folder; a task hashes its words once, holds HELD of them, and adds up what each part says of them, with one part in memory
+at a time. (A shuffle join would move every n-gram of the corpus, several times the input.)
 
 A word is a run of characters other than ASCII white space, as written. A document is scored by its mean log-probability
 a word, drawn towards that of its language by `prior` words, so that a few words alone reject nothing. It is rejected above
@@ -14,26 +15,28 @@ its language's threshold: a quantile of the trusted documents, scored with all t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, cut, hash_long, prepare, starts_of, texts
+from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts_of, texts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
+#: Triples of a part of the model, parts that are built at once, and words that a task holds while the parts pass by.
+PART, ROUND, HELD = 1_000_000, 6, 8_000_000
 
 
 @dataclass(frozen=True)
 class Policy:
-    """Bounds of the training sample: documents, in the order of their id's hash, and characters. quantile: of the trusted
-    documents of a language; margin: in units of that quantile's distance from the median. prior: words."""
+    """quantile: of the trusted documents of a language; margin: in units of that quantile's distance from the median.
+    prior: words."""
 
-    max_docs: int = 2500
-    max_chars: int = 8_000_000
     quantile: float = 0.99
     margin: float = 0.5
     prior: float = 20.0
@@ -45,9 +48,14 @@ class Table:
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
         order = np.argsort(keys.view(U64))
-        self.keys = keys.view(U64)[order]
-        self.values = [np.r_[v[order], np.nan].astype(np.float32) for v in values]  # the last row stands for what is missing
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.__setstate__((keys.view(U64)[order], [np.r_[v[order], np.nan].astype(np.float32) for v in values]))  # the last row stands for what is missing
+
+    def __getstate__(self) -> tuple:
+        return self.keys, self.values
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.values = state
+        self.bits = max(1, int(len(self.keys)).bit_length())
         shard = (self.keys >> U64(64 - self.bits)).astype(np.int64)
         self.at = starts_of(np.bincount(shard, minlength=1 << self.bits)).astype(np.int32)
 
@@ -67,54 +75,54 @@ class Table:
         return out
 
 
+@dataclass
+class Words:
+    table: Table  # log p
+    unseen: float  # log p of a word that is not in the model
+
+    def log_p(self, hashes: np.ndarray) -> np.ndarray:
+        p = self.table.values[0][self.table.find(hashes)]
+        return np.where(np.isnan(p), np.float32(self.unseen), p)
+
+
 @dataclass
 class Model:
-    words: Table  # log p, log of the weight as a context
-    pairs: Table
+    """All of a model, or of its parts the one whose triples have a middle word that is `part` modulo `parts`."""
+
+    contexts: Table  # log of a word's weight as a context
+    pairs: Table  # log p, log of the weight as a context
     triples: Table  # log p
-    unseen: float  # log p of a word that is not in the model
+    part: int = 0
+    parts: int = 1
+    words: Words | None = None
 
-    def log_probabilities(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each word; first: which words begin a document."""
+    def log_probabilities(self, hashes: np.ndarray, first: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """Of each word, or zero if the word before it is of another part; first: which words begin a document; p1: of each
+        word, without its context."""
         begin = np.array([BEGIN]).view(U64)[0]
         before = np.r_[begin, hashes[:-1]]
         before[first] = begin
-        second = np.r_[False, first[:-1]] | first
-        before2 = np.r_[begin, begin, hashes[:-2]][: len(hashes)]
-        before2[second] = begin
-        seed = hash_long(before, 42)
-        pair = self.pairs.find(hash_long(hashes, seed))
-        context = np.r_[len(self.pairs.keys), pair[:-1]]
-        start = self.pairs.find(hash_long(np.array([begin]), hash_long(np.array([begin]), 42)))[0]
-        context[first] = start
-        word = self.words.find(hashes)
-        p1 = self.words.values[0][word]
-        p1 = np.where(np.isnan(p1), np.float32(self.unseen), p1)
-        w2 = self.words.values[1][np.r_[len(self.words.keys), word[:-1]]]
-        w2[first] = self.words.values[1][self.words.find(np.array([begin]))[0]]
-        p2 = self.pairs.values[0][pair]
-        p2 = np.where(np.isnan(p2), p1 + np.where(np.isnan(w2), 0, w2), p2)
-        w3 = self.pairs.values[1][context]
+        before2 = np.r_[begin, before[:-1]]
+        before2[first] = begin
+        out = np.zeros(len(hashes), np.float32)
+        mine = np.flatnonzero(before.view(np.int64) % self.parts == self.part) if self.parts > 1 else slice(None)
+        hashes, before, before2 = hashes[mine], before[mine], before2[mine]
+        context_hash = hash_long(before, hash_long(before2, 42))
+        w2 = self.contexts.values[0][self.contexts.find(before)]
+        p2 = self.pairs.values[0][self.pairs.find(hash_long(hashes, hash_long(before, 42)))]
+        p2 = np.where(np.isnan(p2), p1[mine] + np.where(np.isnan(w2), 0, w2), p2)
+        w3 = self.pairs.values[1][self.pairs.find(context_hash)]
         p3 = p2 + np.where(np.isnan(w3), 0, w3)
         some = np.flatnonzero(~np.isnan(w3))  # no triple without its context
-        triple = self.triples.values[0][self.triples.find(hash_long(hashes[some], hash_long(before[some], hash_long(before2[some], 42))))]
+        triple = self.triples.values[0][self.triples.find(hash_long(hashes[some], context_hash[some]))]
         p3[some] = np.where(np.isnan(triple), p3[some], triple)
-        return p3
+        out[mine] = p3
+        return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, policy: Policy) -> DataFrame:
-    """The texts to train on: whole documents labelled good and not toxic, up to the policy's bounds."""
-    good = trusted_ids(labels)
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(policy.max_docs)
-    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()  # max_docs rows at most
-    ids, total = [], 0
-    for r in sorted(sizes, key=lambda r: hash_long(np.array([r["doc_id"]]).view(U64), 42)[0]):
-        total += r["n"] or 0
-        if total > policy.max_chars and ids:
-            break
-        ids.append((r["doc_id"],))
-    spark = docs.sparkSession
-    return docs.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id").select("text")
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts to train on: all documents labelled good and not toxic. Only their ids are sent out."""
+    return docs.join(F.broadcast(trusted_ids(labels)), "doc_id", "left_semi").select("text")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -156,71 +164,183 @@ def _discount(column: str, d: tuple[float, float, float]) -> Column:
     return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
 
 
+def _first(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with its first value."""
+    keys, at = np.unique(keys, return_index=True)
+    return keys, values[at]
+
+
+def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Table:
+    """Of two maps with distinct keys: a row a key, NaN where one of them has none."""
+    keys = np.union1d(a[0], b[0])
+    columns = [np.full(len(keys), np.nan, np.float32) for _ in range(2)]
+    for (k, v), column in zip((a, b), columns):
+        column[np.searchsorted(keys, k)] = v
+    return Table(keys, *columns)
+
+
+def _at(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _dump(what: Model | Words, uri: str) -> None:
+    files, path = _at(uri)
+    with files.open_output_stream(path) as f:
+        pickle.dump(what, f, protocol=5)
+
+
+def load(uri: str) -> Model | Words:
+    files, path = _at(uri)
+    with files.open_input_file(path) as f:
+        return pickle.loads(f.read_buffer())
+
+
 def train(trusted: DataFrame) -> Model:
-    """The model of the words of trusted (text). Without a word in it, every word has the same probability.
+    """The model of the words of trusted (text), in one part."""
+    words, model = map(load, store(trusted, None))
+    model.words = words
+    return model
+
 
-    Triples (u, v, w) are dealt once, by their middle word. Then a shard has all triples of a context (u, v), all of a pair
-    (v, w) and all pairs of a context (v), so counts meet contexts and lower orders without another exchange; only words
-    are summed across shards, and their table, bounded by the sample, is joined back.
+def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
+    """Where the model of the words of trusted (text) is: its words, and parts of about `most` triples each. Without a word in it,
+    every word has the same probability.
+
+    Triples (u, v, w) are dealt by their middle word. Then a part has all triples of a context (u, v), all of a pair (v, w)
+    and all pairs of a context (v), so counts meet contexts and lower orders without another exchange; only words are summed
+    across parts, and their table is joined back.
     """
-    prepare(trusted.sparkSession)
-    c3 = cut(_triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")))
-    pair, left, right = Window.partitionBy("v", "w"), Window.partitionBy("u", "v"), Window.partitionBy("v")
+    spark = trusted.sparkSession
+    prepare(spark)
+    counted, folder = stage_path(spark, "triples"), stage_path(spark, "model")
+    _triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")).write.parquet(counted)  # columns of few distinct values: smaller than a checkpoint
+    _collect(spark)
+    c3 = spark.read.parquet(counted)
     c1 = cut(c3.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")).groupBy("w").agg(F.count(F.lit(1)).alias("c1"), *_counted("c2")))
-    d3 = _discounts(list(c3.agg(*_counted("c3")).first()))
+    *n3, size = c3.agg(*_counted("c3"), F.count(F.lit(1))).first()
+    d3, parts = _discounts(n3), max(1, -(-size // most)) if most else 1
     d2 = _discounts(list(c1.agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()))
     d1 = _discounts(list(c1.agg(*_counted("c1")).first()))
     n, s, rest = c1.agg(F.count(F.lit(1)), F.sum("c1"), F.sum(_discount("c1", d1))).first()
     rest = (rest / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
     p1 = c1.select("w", ((F.col("c1") - _discount("c1", d1)) / float(s or 1) + rest).alias("p1"))
-    rows = c3.withColumn("c2", F.count(F.lit(1)).over(pair))
-    # a pair has c2 rows, so a sum over pairs is a sum over rows of shares of 1 / c2
-    rows = rows.withColumns(
-        {
-            "s2": F.count(F.lit(1)).over(right),
-            "g2": F.sum(_discount("c2", d2) / F.col("c2")).over(right) / F.count(F.lit(1)).over(right),
-            "s3": F.sum("c3").over(left),
-            "g3": F.sum(_discount("c3", d3)).over(left) / F.sum("c3").over(left),
-        }
-    )
-    rows = rows.join(F.broadcast(p1), "w")  # at most as many rows as the sample has words
-    p2 = (F.col("c2") - _discount("c2", d2)) / F.col("s2") + F.col("g2") * F.col("p1")
-    p3 = (F.col("c3") - _discount("c3", d3)) / F.col("s3") + F.col("g3") * F.col("p2")
-    rows = rows.withColumn("p2", p2).select("u", "v", "w", "s2", "g2", "g3", F.ln("p2").cast("float").alias("p2"), F.ln(p3).cast("float").alias("p3"))
-    rows = cut(rows.select(F.xxhash64("u", "v", "w").alias("k"), "v", F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v").alias("uv"), "p3", "p2", F.ln("g2").cast("float").alias("g2"), F.ln("g3").cast("float").alias("g3")))
+    files, path = _at(folder)
+    files.create_dir(path)
+    words = Table(*(c.to_numpy() for c in p1.select("w", F.ln("p1").cast("float")).toArrow().columns))  # a row a word of the vocabulary
+    _dump(Words(words, float(np.log(rest))), f"{folder}/words")
+    del words
 
-    def arrays(df: DataFrame) -> list[np.ndarray]:
-        columns = df.toArrow().columns
-        return [c.to_numpy() if c.null_count == 0 else c.cast(pa.float32()).fill_null(float("nan")).to_numpy() for c in columns]
+    def build(part: int, held: list[pa.RecordBatch]) -> None:
+        v, vw, uv, k, p2, p3, g2, g3 = (c.to_numpy() for c in pa.Table.from_batches(held).columns[1:])
+        _dump(Model(Table(*_first(v, g2)), _joined(_first(vw, p2), _first(uv, g3)), Table(k, p3), part, parts), f"{folder}/{part}")
 
-    words = p1.select(F.col("w").alias("k"), F.ln("p1").cast("float").alias("p"))
-    words = words.join(rows.groupBy(F.col("v").alias("k")).agg(F.first("g2").alias("g")), "k", "full")
-    pairs = rows.groupBy(F.col("vw").alias("k")).agg(F.first("p2").alias("p")).join(rows.groupBy(F.col("uv").alias("k")).agg(F.first("g3").alias("g")), "k", "full")
-    return Model(Table(*arrays(words)), Table(*arrays(pairs)), Table(*arrays(rows.select("k", "p3"))), float(np.log(rest)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            at = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True]) if len(numbers) else np.zeros(1, np.int64)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if held and numbers[a] != now:
+                    build(now, held)
+                    held = []
+                now = int(numbers[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            build(now, held)
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["part"])
+
+    part = F.pmod("v", F.lit(parts)).alias("part")
+    pair, left, right = Window.partitionBy("part", "v", "w"), Window.partitionBy("part", "u", "v"), Window.partitionBy("part", "v")
+    for at in range(0, parts, ROUND):
+        rows = c3.select("*", part).where(F.col("part").between(at, at + ROUND - 1)).repartition(min(parts, ROUND), "part")
+        rows = rows.withColumn("c2", F.count(F.lit(1)).over(pair))
+        # a pair has c2 rows, so a sum over pairs is a sum over rows of shares of 1 / c2
+        rows = rows.withColumns(
+            {
+                "s2": F.count(F.lit(1)).over(right),
+                "g2": F.sum(_discount("c2", d2) / F.col("c2")).over(right) / F.count(F.lit(1)).over(right),
+                "s3": F.sum("c3").over(left),
+                "g3": F.sum(_discount("c3", d3)).over(left) / F.sum("c3").over(left),
+            }
+        )
+        rows = rows.join(F.broadcast(p1), "w")  # a row a word of the vocabulary
+        p2 = (F.col("c2") - _discount("c2", d2)) / F.col("s2") + F.col("g2") * F.col("p1")
+        p3 = (F.col("c3") - _discount("c3", d3)) / F.col("s3") + F.col("g3") * F.col("p2")
+        log = lambda x: F.ln(x).cast("float")
+        rows = rows.withColumn("p2", p2).select("part", "v", F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v").alias("uv"), F.xxhash64("u", "v", "w").alias("k"), log(F.col("p2")).alias("p2"), log(p3).alias("p3"), log(F.col("g2")).alias("g2"), log(F.col("g3")).alias("g3"))
+        rows.sortWithinPartitions("part").mapInArrow(run, "part long").count()
+        _collect(spark)
+    files, path = _at(counted)
+    files.delete_dir(path)
+    files, path = _at(folder)
+    none, no = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    for part in {*map(str, range(parts))} - {x.base_name for x in files.get_file_info(fs.FileSelector(path))}:  # without a triple
+        _dump(Model(Table(none, no), Table(none, no, no), Table(none, no), int(part), parts), f"{folder}/{part}")
+    return [f"{folder}/{x}" for x in ("words", *range(parts))]
+
+
+def _collect(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to any more: Spark deletes them when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _hashed(contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all."""
+    lists = [known.of(t.split()) for t in contents]
+    return np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists) if len(lists) else np.zeros(0, U64)
 
 
-def score_batch(model: Model, contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(words, sum of log-probabilities) of each text."""
-    lists = [known.of(t.split()) for t in contents]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    at = starts_of(n)
-    hashes = np.concatenate(lists) if len(lists) else np.zeros(0, U64)
-    total = np.zeros(len(lists))
+def _sums(model: Model, n: np.ndarray, hashes: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """The sum of log-probabilities of each text, as far as they are of the model's part."""
+    at, total = starts_of(n), np.zeros(len(n))
     if len(hashes):
         first = np.zeros(len(hashes), bool)
         first[at[:-1][n > 0]] = True
-        total[n > 0] = np.add.reduceat(model.log_probabilities(hashes, first).astype(np.float64), at[:-1][n > 0])
-    return n, total
+        total[n > 0] = np.add.reduceat(model.log_probabilities(hashes, first, p1).astype(np.float64), at[:-1][n > 0])
+    return total
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def score_batch(model: Model, contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sum of log-probabilities) of each text."""
+    n, hashes = _hashed(contents, known)
+    return n, _sums(model, n, hashes, model.words.log_p(hashes))
+
+
+def _score_batches(stored: list[str], batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with (words, sum of log-probabilities) of its rows' texts, over all parts of the model."""
+    known, held, words = WordHashes(), [], 0
+    only = load(stored[1]) if len(stored) == 2 else None
+    alone = load(stored[0]) if only else None
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        if not held:
+            return
+        model = alone or load(stored[0])
+        p1 = [model.log_p(hashes) for _, _, hashes in held]
+        totals = [np.zeros(len(n)) for _, n, _ in held]
+        for part in stored[1:]:
+            model = None  # one in memory at a time
+            model = only or load(part)
+            for (_, n, hashes), p, total in zip(held, p1, totals):
+                total += _sums(model, n, hashes, p)
+        yield from ((batch, n, total) for (batch, n, _), total in zip(held, totals))
+
+    for batch in batches:
+        held.append((batch, *_hashed(texts(batch.column(text)), known)))
+        words += len(held[-1][2])
+        if only or words >= HELD:
+            yield from flush()
+            held, words = [], 0
+    yield from flush()
+
+
+def scored(docs: DataFrame, stored: list[str]) -> DataFrame:
     """(doc_id, lang, n_words, log_p) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            n, total = score_batch(shared.value, texts(batch.column(2)), known)
+        for batch, n, total in _score_batches(stored, batches, 2):
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n), pa.array(total)], ["doc_id", "lang", "n_words", "log_p"])
 
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, n_words long, log_p double")
@@ -246,7 +366,7 @@ def thresholds(scores: DataFrame, trusted: DataFrame, policy: Policy) -> DataFra
 
 @dataclass
 class Classifier:
-    model: Model
+    stored: list[str]  # where the model is
     policy: Policy
     scores: DataFrame
     limits: dict[str | None, tuple[float, float]]  # by language; None for the others
@@ -256,16 +376,16 @@ class Classifier:
 MAX_LANGUAGES = 50_000
 
 
-def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> Classifier:
-    """Trains on a sample of one half of the trusted documents, scores all documents, sets thresholds by the other half."""
+def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), most: int = PART) -> Classifier:
+    """Trains on one half of the trusted documents, scores all documents, sets thresholds by the other half."""
     prepare(docs.sparkSession)
     half = F.expr("pmod(xxhash64(doc_id, 'half'), 2)")
-    model = train(sample(docs, labels.where(half == 0), policy))
-    scores = cut(scored(docs, model))
+    stored = store(training_texts(docs, labels.where(half == 0)), most)
+    scores = cut(scored(docs, stored))
     limits = thresholds(scores, trusted_ids(labels.where(half == 1)), policy).limit(MAX_LANGUAGES + 1).collect()
     if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Classifier(model, policy, scores, {r["lang"]: (r["mean"], r["threshold"]) for r in limits})
+    return Classifier(stored, policy, scores, {r["lang"]: (r["mean"], r["threshold"]) for r in limits})
 
 
 def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -290,13 +410,11 @@ def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
 def keep(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The rows of docs that classify() keeps, all columns. Rows are scored again where they are read, so no text moves."""
     fitted = fit(docs, labels, policy)
-    model, limits, prior = docs.sparkSession.sparkContext.broadcast(fitted.model), fitted.limits, policy.prior
+    stored, limits, prior = fitted.stored, fitted.limits, policy.prior
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            n, total = score_batch(model.value, texts(batch.column(text)), known)
+        for batch, n, total in _score_batches(stored, batches, text):
             own = [limits.get(x, limits.get(None)) for x in batch.column(lang).to_pylist()]
             mean, most = (np.array([x[i] if x else np.inf for x in own]) for i in (0, 1))
             yield batch.filter(pa.array(~((prior * mean - total) / (n + prior) > most)))

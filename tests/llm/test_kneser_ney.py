@@ -98,3 +98,26 @@ def test_edges(spark, labelled, edge, documents):
     assert len(got) == edge.count() and all(r["kept"] and r["threshold"] is None for r in got)
     assert K.keep(edge, none).count() == edge.count()
     assert K.classify(documents([]), labels).count() == 0 and K.keep(documents([]), labels).count() == 0
+
+
+def test_all_trusted_documents_are_counted(spark):
+    """More of them than the former sample of 2,500 documents had, and parts of a model say together what the whole says."""
+    docs = spark.createDataFrame([(i, f"only{i} seen{i} once{i % 7}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    trusted = K.training_texts(docs, labels)
+    assert trusted.count() == 3000
+    whole, (words, *parts) = K.train(trusted), map(K.load, K.store(trusted, 2500))
+    for p in parts:
+        p.words = words
+    assert len(parts) > 2 and len(whole.triples.keys) == sum(len(p.triples.keys) for p in parts) == 9000
+    tried = [f"only{i} seen{i} once{i % 7} x".encode() for i in range(0, 3100, 50)] + [b"", b"once1", b"only3 only4"]
+    got = sum(K.score_batch(p, tried, WordHashes())[1] for p in parts)
+    np.testing.assert_allclose(got, K.score_batch(whole, tried, WordHashes())[1], rtol=1e-5, atol=1e-5)
+
+
+def test_scores_do_not_depend_on_parts(spark, labelled):
+    docs, labels = labelled
+    one, many = K.fit(docs, labels), K.fit(docs, labels, most=500)
+    assert len(one.stored) == 2 and len(many.stored) > 3
+    a, b = ({r["doc_id"]: r["log_p"] for r in f.scores.collect()} for f in (one, many))
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-5) for i in a)
