@@ -397,8 +397,18 @@ def nested_order_customer(spark, sf_dir):
 @query("""SELECT 'orders/' || o_orderkey AS object_id, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 10 = 0""")
 def nested_depth3(spark, sf_dir):
+    return _depth3(spark, sf_dir, "cast(split(object_id, '/')[1] AS LONG) % 10 = 0")
+
+
+@query("""SELECT 'orders/' || o_orderkey AS object_id, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def nested_depth3_all(spark, sf_dir):
+    return _depth3(spark, sf_dir, "true")
+
+
+def _depth3(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "orders", "customer", "nation", "region")
-    roots = log.references.where("property = 'customer' AND cast(split(object_id, '/')[1] AS LONG) % 10 = 0").select("object_id")
+    roots = log.references.where(f"property = 'customer' AND {which}").select("object_id")
     made = hyperview.nested(log, ORDER, _registry(ORDER, CUSTOMER, NATION, REGION), roots, negation="none")
     step = made.select("object_id", F.expr(_opened("props", "customer")).alias("c"))
     step = step.select("object_id", F.expr(_text("c.props", "c_name")).alias("customer"), F.expr(_opened("c.props", "nation")).alias("n"))

@@ -40,3 +40,8 @@ def test_retraction_anchors(spark):
     for asof, total, events in ((None, 2667, 1667), (1705276800000, 1124, 724)):
         gone = negated_ids(log, asof)
         assert (gone.count(), gone.where("id LIKE 'evt/%'").count()) == (total, events)
+
+
+def test_depth3_opens_every_order(spark, sf):
+    got = queries.QUERIES["nested_depth3_all"](spark, sf)
+    assert got.where("region IS NOT NULL").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
