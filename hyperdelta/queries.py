@@ -418,9 +418,18 @@ def _depth3(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 @query("SELECT 'customer/' || c_custkey AS object_id, count(o_orderkey)::BIGINT AS opened, 1::BIGINT AS guarded FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 300 GROUP BY ALL")
 def nested_self_guard(spark, sf_dir):
+    return _self_guard(spark, sf_dir, "cast(split(object_id, '/')[1] AS LONG) <= 300")
+
+
+@query("SELECT 'customer/' || c_custkey AS object_id, count(o_orderkey)::BIGINT AS opened, 1::BIGINT AS guarded FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def nested_self_guard_all(spark, sf_dir):
+    return _self_guard(spark, sf_dir, "true")
+
+
+def _self_guard(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "orders", "customer")
     leaf, top = HyperSchema("leaf", "Leaf"), HyperSchema("top", "Top", {"child": Rule("leaf")})
-    roots = log.references.where("property = 'c_name' AND cast(split(object_id, '/')[1] AS LONG) <= 300").select("object_id")
+    roots = log.references.where(f"property = 'c_name' AND {which}").select("object_id")
     made = hyperview.nested(log, top, _registry(leaf, top), roots, negation="none")
     flat = made.select("object_id", F.explode(F.flatten(F.map_values("props"))).alias("d")).select("object_id", F.explode("d.pointers").alias("p")).where("p.role = 'child'")
     return flat.groupBy("object_id").agg(F.count("p.view.child").alias("opened"), F.count_if(F.col("p.view.child").isNull()).alias("guarded"))
@@ -609,8 +618,18 @@ def wide_to_deltas(spark, sf_dir):
 @query("""SELECT 'neg/customer/' || c_custkey || '/c_acctbal' AS id, 'negates' AS role, NULL::DOUBLE AS value FROM customer WHERE c_custkey % 7 = 0
 UNION ALL SELECT 'set/customer/' || c_custkey || '/c_acctbal/9', 'c_acctbal', round(c_acctbal * 2, 6) FROM customer WHERE c_custkey % 7 = 0""")
 def upsert_negations(spark, sf_dir):
+    return _upserts(spark, sf_dir, "c_custkey % 7 = 0")
+
+
+@query("""SELECT 'neg/customer/' || c_custkey || '/c_acctbal' AS id, 'negates' AS role, NULL::DOUBLE AS value FROM customer
+UNION ALL SELECT 'set/customer/' || c_custkey || '/c_acctbal/9', 'c_acctbal', round(c_acctbal * 2, 6) FROM customer""")
+def upsert_negations_all(spark, sf_dir):
+    return _upserts(spark, sf_dir, "true")
+
+
+def _upserts(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "customer")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where(which)
     changes = rows.select(bridge.named("customer/", F.col("c_custkey")).alias("object_id"), F.lit("c_acctbal").alias("property"), F.round(F.col("c_acctbal") * 2, 6).alias("value"))
     made = authoring.upsert(log, changes, "a", "s", 9)
     last = F.element_at("pointers", -1)
