@@ -29,7 +29,7 @@ from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 #: Triples of a part of the model, parts that are built at once, and words that a task holds while the parts pass by.
-PART, ROUND, HELD = 1_000_000, 6, 8_000_000
+PART, ROUND, HELD = 400_000, 6, 8_000_000
 
 
 @dataclass(frozen=True)
