@@ -1,15 +1,18 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts, discounts and context weights are DataFrame aggregates and joins, dealt out by n-gram hash; they
-end in three tables: of words, word pairs and word triples, each with its interpolated probability and its weight as a
-context. The model counts all documents labelled good in the training half, so it grows with the input. It is cut into
-parts by the middle word of its triples, of about PART triples each; all that a word's probability needs besides its own
-is is in the part of the word before it. The parts are built on the executors as sorted key arrays and kept in the shared
-folder; a task hashes its words once, holds HELD of them, and adds up what each part says of them, with one part in memory
-at a time. (A shuffle join would move every n-gram of the corpus, several times the input.)
+Counts are sharded. Tasks count the triples of their own texts and send them, packed, to parts of about PART triples each, dealt by the
+middle word; the triples of a word that alone would fill a good share of a part are dealt by their first two words instead,
+and its pairs are summed across parts, so no word makes a part large. A part then has all triples of a context (u, v), all pairs (v, w) and
+contexts (v) of its other words, and counts them by itself; words and the pairs of frequent words are summed by Spark, in tables of
+their own. Parts and tables keep raw counts, as sorted key arrays in the shared folder; discounts are put in when one is read. The
+model counts all documents labelled good in the training half, so it grows with the input. To score, a task hashes its words
+once, holds HELD of them, joins them with one table after another and adds up their log-probabilities, with one table in memory at a
+time. (A shuffle join would move every n-gram of the corpus, several times the input.)
 
 A word is a run of characters other than ASCII white space, as written. A document is scored by its mean log-probability
-a word, drawn towards that of its language by `prior` words, so that a few words alone reject nothing. It is rejected above
+a word, drawn towards that of its language by `prior` words, so that a few words alone reject nothing. A model of three words does
+not see that a text repeats itself, so a word also has the probability of ending a triple that its document had before, or
+has not: the rate of the language's trusted documents. It is rejected above
 its language's threshold: a quantile of the trusted documents, scored with all their own, plus a margin.
 """
 
@@ -17,19 +20,21 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts_of, texts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
-#: Triples of a part of the model, parts that are built at once, and words that a task holds while the parts pass by.
-PART, ROUND, HELD = 400_000, 6, 8_000_000
+#: Triples of a part of the model, words of a table of words, words that a task counts or holds at once.
+PART, WORDS, COUNTED, HELD = 400_000, 2_000_000, 1_000_000, 4_000_000
+#: Rows that may be sent to every task; what has more is joined by shuffling.
+SENT = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -46,9 +51,10 @@ class Policy:
 class Table:
     """A map from 64-bit hashes to rows of numbers, by look-up in arrays."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, **values: np.ndarray) -> None:
         order = np.argsort(keys.view(U64))
-        self.__setstate__((keys.view(U64)[order], [np.r_[v[order], np.nan].astype(np.float32) for v in values]))  # the last row stands for what is missing
+        # counts are kept as narrow as they fit
+        self.__setstate__((keys.view(U64)[order], {k: v[order].astype(np.min_scalar_type(int(v.max(initial=0))) if v.dtype.kind in "iu" else v.dtype) for k, v in values.items()}))
 
     def __getstate__(self) -> tuple:
         return self.keys, self.values
@@ -59,6 +65,10 @@ class Table:
         shard = (self.keys >> U64(64 - self.bits)).astype(np.int64)
         self.at = starts_of(np.bincount(shard, minlength=1 << self.bits)).astype(np.int32)
 
+    def column(self, name: str, missing: float = 0.0) -> np.ndarray:
+        """Of all rows, and a last one for keys that are missing."""
+        return np.r_[self.values[name].astype(np.float32), np.float32(missing)]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers; that of the last row for a key that is missing."""
         shard = (keys >> U64(64 - self.bits)).astype(np.int64)
@@ -75,80 +85,209 @@ class Table:
         return out
 
 
+Discounts = tuple[float, float, float]
+
+
+def _less(counts: np.ndarray, d: Discounts) -> np.ndarray:
+    """Counts less their discounts; of zero, zero."""
+    return (counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]).astype(np.float32)
+
+
+def _weights(table: Table, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts (s: sum of their counts, n1, n2, n3: how many are 1, 2, and 3 or more): 1 / s, and the weight of the lower
+    order; 0 and 1 for one that is missing."""
+    s, *n = (table.column(c) for c in ("s", "n1", "n2", "n3"))
+    s[-1] = 1
+    weight = sum(a * np.float32(b) for a, b in zip(n, d)) / s
+    inverse = 1 / s
+    inverse[-1], weight[-1] = 0, 1
+    return inverse, weight
+
+
+def _contexts(context: np.ndarray, counts: np.ndarray) -> Table:
+    """Of counts by context: the rows that _weights takes."""
+    order = np.argsort(context, kind="stable")
+    context, counts = context[order], counts[order]
+    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+    total = lambda x: np.add.reduceat(x.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+    return Table(context[new], s=total(counts), n1=total(counts == 1), n2=total(counts == 2), n3=total(counts > 2))
+
+
 @dataclass
 class Words:
-    table: Table  # log p
+    """What is known of words by themselves, and of the pairs of frequent words: tables by the hash of the word or pair."""
+
+    files: list[str]
     unseen: float  # log p of a word that is not in the model
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # sorted
+    pairs: list[str] = field(default_factory=list)
+    contexts: Table | None = None  # of frequent words
+    d2: Discounts = (0.5, 0.75, 0.9)
+    held: dict[str, Table] = field(default_factory=dict)
+
+    def _tables(self, files: list[str]) -> Iterator[tuple[int, Table]]:
+        for k, f in enumerate(files):
+            table = self.held.get(f) or _read(f)
+            if len(files) == 1:
+                self.held[f] = table
+            yield k, table
 
     def log_p(self, hashes: np.ndarray) -> np.ndarray:
-        p = self.table.values[0][self.table.find(hashes)]
-        return np.where(np.isnan(p), np.float32(self.unseen), p)
+        out = np.full(len(hashes), self.unseen, np.float32)
+        for k, table in self._tables(self.files):
+            mine = np.flatnonzero(hashes % U64(len(self.files)) == k) if len(self.files) > 1 else slice(None)
+            out[mine] = table.column("p", self.unseen)[table.find(hashes[mine])]
+        return out
+
+    def is_frequent(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.frequent, words), max(0, len(self.frequent) - 1))
+        return self.frequent[at] == words if len(self.frequent) else np.zeros(len(words), bool)
+
+    def second(self, before: np.ndarray, words: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """The probability of a word after a frequent one; NaN where that one is not frequent."""
+        out = np.full(len(words), np.nan, np.float32)
+        some = np.flatnonzero(self.is_frequent(before))
+        if not len(some):
+            return out
+        inverse, weight = _weights(self.contexts, self.d2)
+        at = self.contexts.find(before[some])
+        keys, counted = hash_long(words[some], hash_long(before[some], 42)), np.zeros(len(some), np.float32)
+        for k, table in self._tables(self.pairs):
+            mine = np.flatnonzero(keys % U64(len(self.pairs)) == k) if len(self.pairs) > 1 else slice(None)
+            counted[mine] = np.r_[_less(table.values["c"], self.d2), np.float32(0)][table.find(keys[mine])]
+        out[some] = counted * inverse[at] + weight[at] * np.exp(p1[some])
+        return out
+
+
+def part_of(before2: np.ndarray, before: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
+    """The part that has what a word after these two needs; frequent: whether the word before is."""
+    return np.where(frequent, hash_long(before, hash_long(before2, 42)), before) % U64(parts)
 
 
 @dataclass
 class Model:
-    """All of a model, or of its parts the one whose triples have a middle word that is `part` modulo `parts`."""
+    """All of a model, or one of its parts. Raw counts; d2 and d3 are the discounts."""
 
-    contexts: Table  # log of a word's weight as a context
-    pairs: Table  # log p, log of the weight as a context
-    triples: Table  # log p
+    contexts: Table  # of a word
+    pairs: Table  # c
+    histories: Table  # contexts of two words
+    triples: Table  # c
     part: int = 0
     parts: int = 1
+    d2: Discounts = (0.5, 0.75, 0.9)
+    d3: Discounts = (0.5, 0.75, 0.9)
     words: Words | None = None
 
-    def log_probabilities(self, hashes: np.ndarray, first: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """Of each word, or zero if the word before it is of another part; first: which words begin a document; p1: of each
-        word, without its context."""
-        begin = np.array([BEGIN]).view(U64)[0]
-        before = np.r_[begin, hashes[:-1]]
-        before[first] = begin
-        before2 = np.r_[begin, before[:-1]]
-        before2[first] = begin
-        out = np.zeros(len(hashes), np.float32)
-        mine = np.flatnonzero(before.view(np.int64) % self.parts == self.part) if self.parts > 1 else slice(None)
-        hashes, before, before2 = hashes[mine], before[mine], before2[mine]
-        context_hash = hash_long(before, hash_long(before2, 42))
-        w2 = self.contexts.values[0][self.contexts.find(before)]
-        p2 = self.pairs.values[0][self.pairs.find(hash_long(hashes, hash_long(before, 42)))]
-        p2 = np.where(np.isnan(p2), p1[mine] + np.where(np.isnan(w2), 0, w2), p2)
-        w3 = self.pairs.values[1][self.pairs.find(context_hash)]
-        p3 = p2 + np.where(np.isnan(w3), 0, w3)
-        some = np.flatnonzero(~np.isnan(w3))  # no triple without its context
-        triple = self.triples.values[0][self.triples.find(hash_long(hashes[some], context_hash[some]))]
-        p3[some] = np.where(np.isnan(triple), p3[some], triple)
-        out[mine] = p3
-        return out
+    def ready(self) -> Model:
+        self._contexts, self._histories = _weights(self.contexts, self.d2), _weights(self.histories, self.d3)
+        self._pairs, self._triples = (np.r_[_less(t.values["c"], d), np.float32(0)] for t, d in ((self.pairs, self.d2), (self.triples, self.d3)))
+        return self
+
+    def log_probabilities(self, before2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Of words of this part after two others; p1: the log-probability of each without them, p2: the probability of those
+        after a frequent word."""
+        inverse, weight = self._contexts
+        at = self.contexts.find(before)
+        own = self._pairs[self.pairs.find(hash_long(words, hash_long(before, 42)))] * inverse[at] + weight[at] * np.exp(p1)
+        p = np.where(np.isnan(p2), own, p2)
+        history = hash_long(before, hash_long(before2, 42))
+        at = self.histories.find(history)
+        inverse, weight = self._histories
+        p = p * weight[at]
+        some = np.flatnonzero(at < len(self.histories.keys))  # no triple without its context
+        p[some] += self._triples[self.triples.find(hash_long(words[some], history[some]))] * inverse[at[some]]
+        return np.log(p)
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that all their labels call good and not toxic; nulls say nothing."""
+    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return known.where("q = 1 AND t = 0").select("doc_id")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, to be sent to every task if they are at most SENT (counted first)."""
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts to train on: all documents labelled good and not toxic. Only their ids are sent out."""
-    return docs.join(F.broadcast(trusted_ids(labels)), "doc_id", "left_semi").select("text")
+    """The texts to train on: all documents labelled good and not toxic. Only their ids are sent out, as long as they are few."""
+    return docs.join(_sent(trusted_ids(labels)), "doc_id", "left_semi").select("text")
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words of about COUNTED words of texts side by side, two begin marks before each; and which places hold words to count.
+    A long text comes in pieces, the last two words of one leading the next."""
+    known, held, begin, size = WordHashes(), [], np.array([BEGIN, BEGIN]).view(U64), 0
 
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        at = starts_of(np.array([len(h) for h in held]))[:-1]
+        count = np.ones(sum(map(len, held)), bool)
+        count[at] = count[at + 1] = False
+        return np.concatenate(held), count
+
+    for batch in batches:
+        for text in texts(batch.column(0)):
+            h = np.r_[begin, known.of(text.split())]
+            for i in range(0, len(h) - 2, COUNTED):
+                held.append(h[i : i + COUNTED + 2])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield joined()
+                    held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _word_counts(trusted: DataFrame) -> DataFrame:
+    """(w, n) of every word, the begin mark before a text among them, as often as it has a word behind it."""
 
-def _triples(trusted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            out = []
-            for text in texts(batch.column(0)):
-                h = np.r_[BEGIN, BEGIN, known.of(text.split()).view(np.int64)]
-                out.append(np.stack([h[:-2], h[1:-1], h[2:]]))
-            if out:  # equal triples of a batch are counted here, so that repeated lines do not travel
-                rows = np.concatenate(out, axis=1)
-                order = np.lexsort(rows)
-                rows = rows[:, order]
-                new = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)] if rows.shape[1] else [])
-                n = np.diff(np.r_[new, rows.shape[1]])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, new]), pa.array(n)], ["u", "v", "w", "n"])
-
-    return trusted.mapInArrow(run, "u long, v long, w long, n long")
-
-
-def _discounts(n: list[int]) -> tuple[float, float, float]:
+        for words, count in _sequences(batches):
+            w, n = np.unique(words[np.flatnonzero(count) - 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
+
+    return trusted.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _triples(trusted: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
+    """(part, data): the counted triples of a task's texts for each part, packed: their words once, then three narrow word numbers
+    and the count of each triple."""
+    is_frequent, codec = Words([], 0.0, frequent).is_frequent, "zstd"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sequence, count in _sequences(batches):
+            words, number = np.unique(sequence, return_inverse=True)
+            at = np.flatnonzero(count)
+            key = (number[at - 1] << 42) | (number[at] << 21) | number[at - 2]  # there are fewer than 2^21 words
+            key, n = np.unique(key, return_counts=True)
+            v, w, u = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
+            part = part_of(words[u], words[v], is_frequent(words)[v], parts).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = starts_of(np.bincount(part, minlength=parts))
+            numbers, data = [], []
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                mine = order[ends[p] : ends[p + 1]]
+                own, k = np.unique(np.concatenate([v[mine], w[mine], u[mine]]), return_inverse=True)
+                narrow = [x.astype(np.min_scalar_type(int(x.max()))) for x in (*k.reshape(3, -1), n[mine])]
+                packed = pickle.dumps((words[own], *narrow), protocol=5)
+                numbers.append(p)
+                data.append(pa.compress(packed, codec, asbytes=True) + len(packed).to_bytes(8, "little"))
+                if sum(map(len, data)) > 16 << 20 or p == part.max():
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+                    numbers, data = [], []
+
+    return trusted.mapInArrow(run, "part long, data binary")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """Rows v, w, u (as words) and n."""
+    raw = pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True)
+    words, v, w, u, n = pickle.loads(raw)
+    return np.stack([words[v], words[w], words[u], n.astype(U64)])
+
+
+def _discounts(n: list[int]) -> Discounts:
     """Of Chen and Goodman, from how many n-grams have the counts 1, 2, 3 and 4: for counts of 1, of 2, and of 3 or more."""
     if not all(n):
         return 0.5, 0.75, 0.9
@@ -156,47 +295,66 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.01, max(0.01, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))
 
 
-def _counted(column: str, weight: str = "1") -> list[Column]:
-    return [F.sum(F.when(F.col(column) == k, F.expr(weight)).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+def _counted(column: str) -> list[Column]:
+    return [F.sum(F.when(F.col(column) == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
 
 
-def _discount(column: str, d: tuple[float, float, float]) -> Column:
+def _discount(column: str, d: Discounts) -> Column:
     return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
 
 
-def _first(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, with its first value."""
-    keys, at = np.unique(keys, return_index=True)
-    return keys, values[at]
-
-
-def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Table:
-    """Of two maps with distinct keys: a row a key, NaN where one of them has none."""
-    keys = np.union1d(a[0], b[0])
-    columns = [np.full(len(keys), np.nan, np.float32) for _ in range(2)]
-    for (k, v), column in zip((a, b), columns):
-        column[np.searchsorted(keys, k)] = v
-    return Table(keys, *columns)
-
-
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
-def _dump(what: Model | Words, uri: str) -> None:
+def _dump(what: object, uri: str) -> None:
     files, path = _at(uri)
     with files.open_output_stream(path) as f:
         pickle.dump(what, f, protocol=5)
 
 
-def load(uri: str) -> Model | Words:
+def _read(uri: str) -> object:
     files, path = _at(uri)
     with files.open_input_file(path) as f:
         return pickle.loads(f.read_buffer())
 
 
+def load(uri: str) -> Model | Words:
+    """The words, or a part with its discounts; a part without a triple has no file."""
+    what, _, name = uri.rpartition("/")
+    if name == "words":
+        return _read(uri)
+    parts, some, d2, d3 = _read(f"{what}/about")
+    model = _read(uri) if int(name) in some else _build([], np.zeros(0, U64))[0]
+    model.part, model.parts, model.d2, model.d3 = int(name), parts, d2, d3
+    return model.ready()
+
+
+def _build(rows: list[np.ndarray], frequent: np.ndarray) -> tuple[Model, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """A part from its rows (v, w, u, n); and what is summed across parts, as (kind, a, b, c): of words how many pairs end with them
+    (0), how many triples (1) and pairs (2) have a count of 1 to 4, and the pairs of frequent words (3)."""
+    v, w, u, n = np.concatenate(rows, axis=1) if rows else np.zeros((4, 0), U64)
+    order = np.lexsort((u, w, v))
+    v, w, u, n = v[order], w[order], u[order], n[order]
+    heads = lambda *x: np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in x])]) if len(x[0]) else np.zeros(0, np.int64)
+    new = heads(v, w, u)
+    c3 = np.add.reduceat(n.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+    v, w, u = v[new], w[new], u[new]
+    history = hash_long(v, hash_long(u, 42))
+    triples = Table(hash_long(w, history), c=c3)
+    at = heads(v, w)
+    c2, v, w = np.diff(np.r_[at, len(v)]), v[at], w[at]
+    often = Words([], 0.0, frequent).is_frequent(v)
+    rare = ~often
+    ends, c1 = np.unique(w[rare], return_counts=True)
+    few = np.arange(1, 5)
+    out = [(0, ends, ends, c1), (1, few, few, np.bincount(np.minimum(c3, 5), minlength=6)[1:5]), (2, few, few, np.bincount(np.minimum(c2[rare], 5), minlength=6)[1:5]), (3, v[often], w[often], c2[often])]
+    pairs = Table(hash_long(w[rare], hash_long(v[rare], 42)), c=c2[rare])
+    return Model(_contexts(v[rare], c2[rare]), pairs, _contexts(history, c3), triples), out
+
+
 def train(trusted: DataFrame) -> Model:
     """The model of the words of trusted (text), in one part."""
     words, model = map(load, store(trusted, None))
@@ -206,82 +364,84 @@ def train(trusted: DataFrame) -> Model:
 
 def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     """Where the model of the words of trusted (text) is: its words, and parts of about `most` triples each. Without a word in it,
-    every word has the same probability.
-
-    Triples (u, v, w) are dealt by their middle word. Then a part has all triples of a context (u, v), all of a pair (v, w)
-    and all pairs of a context (v), so counts meet contexts and lower orders without another exchange; only words are summed
-    across parts, and their table is joined back.
-    """
+    every word has the same probability. A word that begins more than a quarter of `most` triples' ends is frequent."""
     spark = trusted.sparkSession
     prepare(spark)
-    counted, folder = stage_path(spark, "triples"), stage_path(spark, "model")
-    _triples(trusted).repartition("v").groupBy("u", "v", "w").agg(F.sum("n").alias("c3")).write.parquet(counted)  # columns of few distinct values: smaller than a checkpoint
-    _collect(spark)
-    c3 = spark.read.parquet(counted)
-    c1 = cut(c3.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")).groupBy("w").agg(F.count(F.lit(1)).alias("c1"), *_counted("c2")))
-    *n3, size = c3.agg(*_counted("c3"), F.count(F.lit(1))).first()
-    d3, parts = _discounts(n3), max(1, -(-size // most)) if most else 1
-    d2 = _discounts(list(c1.agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()))
-    d1 = _discounts(list(c1.agg(*_counted("c1")).first()))
-    n, s, rest = c1.agg(F.count(F.lit(1)), F.sum("c1"), F.sum(_discount("c1", d1))).first()
-    rest = (rest / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
-    p1 = c1.select("w", ((F.col("c1") - _discount("c1", d1)) / float(s or 1) + rest).alias("p1"))
+    folder = stage_path(spark, "model")
     files, path = _at(folder)
     files.create_dir(path)
-    words = Table(*(c.to_numpy() for c in p1.select("w", F.ln("p1").cast("float")).toArrow().columns))  # a row a word of the vocabulary
-    _dump(Words(words, float(np.log(rest))), f"{folder}/words")
-    del words
-
-    def build(part: int, held: list[pa.RecordBatch]) -> None:
-        v, vw, uv, k, p2, p3, g2, g3 = (c.to_numpy() for c in pa.Table.from_batches(held).columns[1:])
-        _dump(Model(Table(*_first(v, g2)), _joined(_first(vw, p2), _first(uv, g3)), Table(k, p3), part, parts), f"{folder}/{part}")
+    parts, frequent = 1, np.zeros(0, U64)
+    if most:
+        counts = cut(_word_counts(trusted))
+        parts = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // most))
+        if parts > 1:  # of these there are at most four a part
+            frequent = np.sort(np.array([r["w"] for r in counts.where(F.col("n") > most // 4).select("w").toLocalIterator()], np.int64).view(U64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            model, out = _build(held, frequent)
+            _dump(model, f"{folder}/{now}")
+            out.append((4, *[np.array([now])] * 2, np.ones(1, np.int64)))
+            columns = [np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]), *(np.concatenate([x[i].astype(U64).view(np.int64) for x in out]) for i in (1, 2, 3))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "c"])
+
         for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            at = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True]) if len(numbers) else np.zeros(1, np.int64)
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                if held and numbers[a] != now:
-                    build(now, held)
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and part != now:
+                    yield done()
                     held = []
-                now = int(numbers[a])
-                held.append(batch.slice(a, b - a))
+                now = part
+                held.append(_unpacked(data.as_py()))
         if held:
-            build(now, held)
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["part"])
-
-    part = F.pmod("v", F.lit(parts)).alias("part")
-    pair, left, right = Window.partitionBy("part", "v", "w"), Window.partitionBy("part", "u", "v"), Window.partitionBy("part", "v")
-    for at in range(0, parts, ROUND):
-        rows = c3.select("*", part).where(F.col("part").between(at, at + ROUND - 1)).repartition(min(parts, ROUND), "part")
-        rows = rows.withColumn("c2", F.count(F.lit(1)).over(pair))
-        # a pair has c2 rows, so a sum over pairs is a sum over rows of shares of 1 / c2
-        rows = rows.withColumns(
-            {
-                "s2": F.count(F.lit(1)).over(right),
-                "g2": F.sum(_discount("c2", d2) / F.col("c2")).over(right) / F.count(F.lit(1)).over(right),
-                "s3": F.sum("c3").over(left),
-                "g3": F.sum(_discount("c3", d3)).over(left) / F.sum("c3").over(left),
-            }
-        )
-        rows = rows.join(F.broadcast(p1), "w")  # a row a word of the vocabulary
-        p2 = (F.col("c2") - _discount("c2", d2)) / F.col("s2") + F.col("g2") * F.col("p1")
-        p3 = (F.col("c3") - _discount("c3", d3)) / F.col("s3") + F.col("g3") * F.col("p2")
-        log = lambda x: F.ln(x).cast("float")
-        rows = rows.withColumn("p2", p2).select("part", "v", F.xxhash64("v", "w").alias("vw"), F.xxhash64("u", "v").alias("uv"), F.xxhash64("u", "v", "w").alias("k"), log(F.col("p2")).alias("p2"), log(p3).alias("p3"), log(F.col("g2")).alias("g2"), log(F.col("g3")).alias("g3"))
-        rows.sortWithinPartitions("part").mapInArrow(run, "part long").count()
-        _collect(spark)
-    files, path = _at(counted)
-    files.delete_dir(path)
-    files, path = _at(folder)
-    none, no = np.zeros(0, np.int64), np.zeros(0, np.float32)
-    for part in {*map(str, range(parts))} - {x.base_name for x in files.get_file_info(fs.FileSelector(path))}:  # without a triple
-        _dump(Model(Table(none, no), Table(none, no, no), Table(none, no), int(part), parts), f"{folder}/{part}")
+            yield done()
+
+    dealt = _triples(trusted, frequent, parts).repartition(parts, "part").sortWithinPartitions("part")
+    summed = cut(dealt.mapInArrow(run, "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")))
+    _collect(spark)
+    small = {(r["kind"], r["a"]): r["c"] for r in summed.where("kind IN (1, 2, 4)").toLocalIterator()}  # a row a part, and eight
+    pairs = summed.where("kind = 3")
+    n2 = pairs.agg(*_counted("c"), F.count(F.lit(1))).first()
+    d3 = _discounts([small.get((1, k), 0) for k in (1, 2, 3, 4)])
+    d2 = _discounts([small.get((2, k), 0) + (n2[k - 1] or 0) for k in (1, 2, 3, 4)])
+    c1 = cut(summed.where("kind = 0").select(F.col("a").alias("w"), "c").unionAll(pairs.select(F.col("b").alias("w"), F.lit(1).cast("long"))).groupBy("w").agg(F.sum("c").alias("c1")))
+    *n1, n, s = c1.agg(*_counted("c1"), F.count(F.lit(1)), F.sum("c1")).first()
+    d1 = _discounts([x or 0 for x in n1])
+    rest = c1.agg(F.sum(_discount("c1", d1))).first()[0]
+    rest = (rest / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
+    words = _tables(c1.select(F.col("w").alias("k"), F.ln((F.col("c1") - _discount("c1", d1)) / float(s or 1) + rest).cast("float").alias("v")), f"{folder}/word", n, "p")
+    second = _tables(pairs.select(F.xxhash64("a", "b").alias("k"), F.col("c").alias("v")), f"{folder}/pair", n2[4], "c")
+    known = pairs.groupBy("a").agg(F.sum("c").alias("s"), *(F.sum(F.when(F.least("c", F.lit(3)) == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3))).toArrow()  # a row a frequent word
+    v, *columns = (c.to_numpy().astype(np.int64) for c in known.columns)
+    _dump(Words(words, float(np.log(rest)), frequent, second, Table(v, **dict(zip(("s", "n1", "n2", "n3"), columns))), d2), f"{folder}/words")
+    _dump((parts, {a for kind, a in small if kind == 4}, d2, d3), f"{folder}/about")
     return [f"{folder}/{x}" for x in ("words", *range(parts))]
 
 
-def _collect(spark: SparkSession) -> None:
+def _tables(rows: DataFrame, to: str, n: int, column: str) -> list[str]:
+    """Writes rows (k, v) as tables of about WORDS rows each, by k; where they are."""
+    shards = max(1, -(-n // WORDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            k, v = (c.to_numpy() for c in batch.columns)
+            own = k.view(U64) % U64(shards)
+            for s in np.unique(own).tolist():
+                held.setdefault(s, []).append((k[own == s], v[own == s]))
+        for s, rows in held.items():
+            _dump(Table(np.concatenate([k for k, _ in rows]), **{column: np.concatenate([v for _, v in rows])}), f"{to}-{s}")
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
+
+    shard = F.pmod(F.pmod("k", F.lit(shards)) + F.when(F.col("k") < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards))  # of k without a sign
+    written = {r["shard"] for r in rows.repartition(shards, shard).mapInArrow(run, "shard long").collect()}  # a row a table
+    for s in set(range(shards)) - written:
+        _dump(Table(np.zeros(0, np.int64), **{column: np.zeros(0, np.float32 if column == "p" else np.int64)}), f"{to}-{s}")
+    return [f"{to}-{s}" for s in range(shards)]
+
+
+def _collect(spark) -> None:
     """Lets go of shuffle files that nothing refers to any more: Spark deletes them when the driver collects garbage."""
     spark.sparkContext._jvm.System.gc()
 
@@ -292,76 +452,119 @@ def _hashed(contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.nd
     return np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists) if len(lists) else np.zeros(0, U64)
 
 
-def _sums(model: Model, n: np.ndarray, hashes: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """The sum of log-probabilities of each text, as far as they are of the model's part."""
-    at, total = starts_of(n), np.zeros(len(n))
-    if len(hashes):
-        first = np.zeros(len(hashes), bool)
-        first[at[:-1][n > 0]] = True
-        total[n > 0] = np.add.reduceat(model.log_probabilities(hashes, first, p1).astype(np.float64), at[:-1][n > 0])
+def repeats(n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each text, how many words end a triple of words that the text had before."""
+    out = np.zeros(len(n), np.int64)
+    if len(hashes) > 2:
+        with np.errstate(over="ignore"):
+            key = np.r_[np.zeros(2, U64), (hashes[:-2] * U64(0x9E3779B97F4A7C15) + hashes[1:-1]) * U64(0xC2B2AE3D27D4EB4F) + hashes[2:]]
+        at = starts_of(n)
+        for i in np.flatnonzero(n > 3).tolist():
+            own = np.sort(key[at[i] + 2 : at[i + 1]])
+            out[i] = np.count_nonzero(own[1:] == own[:-1])
+    return out
+
+
+def _sums(parts: list[str] | list[Model], words: Words, n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The sum of log-probabilities of each text, as far as they are of these parts."""
+    begin, at = np.array([BEGIN]).view(U64)[0], starts_of(n)
+    before = np.r_[begin, hashes[:-1]][: len(hashes)]
+    before[at[:-1][n > 0]] = begin
+    before2 = np.r_[begin, before[:-1]][: len(hashes)]
+    before2[at[:-1][n > 0]] = begin
+    p1 = words.log_p(hashes)
+    p2 = words.second(before, hashes, p1)
+    total, text = np.zeros(len(n)), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    one = parts[0] if isinstance(parts[0], Model) else None
+    count = one.parts if one else len(parts)
+    part = part_of(before2, before, words.is_frequent(before), count) if count > 1 else np.zeros(len(hashes), U64)
+    order = np.argsort(part, kind="stable")
+    ends = starts_of(np.bincount(part.astype(np.int64), minlength=count))
+    for model in parts:
+        model = model if one else load(model)  # one in memory at a time
+        mine = order[ends[model.part] : ends[model.part + 1]]
+        total += np.bincount(text[mine], model.log_probabilities(before2[mine], before[mine], hashes[mine], p1[mine], p2[mine]), len(n))
     return total
 
 
 def score_batch(model: Model, contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(words, sum of log-probabilities) of each text."""
     n, hashes = _hashed(contents, known)
-    return n, _sums(model, n, hashes, model.words.log_p(hashes))
-
-
-def _score_batches(stored: list[str], batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch with (words, sum of log-probabilities) of its rows' texts, over all parts of the model."""
-    known, held, words = WordHashes(), [], 0
-    only = load(stored[1]) if len(stored) == 2 else None
-    alone = load(stored[0]) if only else None
-
-    def flush() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        if not held:
-            return
-        model = alone or load(stored[0])
-        p1 = [model.log_p(hashes) for _, _, hashes in held]
-        totals = [np.zeros(len(n)) for _, n, _ in held]
-        for part in stored[1:]:
-            model = None  # one in memory at a time
-            model = only or load(part)
-            for (_, n, hashes), p, total in zip(held, p1, totals):
-                total += _sums(model, n, hashes, p)
-        yield from ((batch, n, total) for (batch, n, _), total in zip(held, totals))
+    return n, _sums([model], model.words, n, hashes)
+
+
+def _score_batches(stored: list[str], batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch with (words, repeats, sum of log-probabilities) of its rows' texts, over all parts of the model."""
+    known, held, size = WordHashes(), [], 0
+    words, parts = load(stored[0]), stored[1:]
+    if len(parts) == 1:
+        parts = [load(parts[0])]
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        n, hashes = np.concatenate([n for _, n, _ in held]), np.concatenate([h for _, _, h in held])
+        again, total = repeats(n, hashes), _sums(parts, words, n, hashes)
+        at = 0
+        for batch, own, _ in held:
+            s = slice(at, at + len(own))
+            at += len(own)
+            yield batch, own, again[s], total[s]
 
     for batch in batches:
         held.append((batch, *_hashed(texts(batch.column(text)), known)))
-        words += len(held[-1][2])
-        if only or words >= HELD:
+        size += len(held[-1][2])
+        if size >= HELD or len(stored) == 2:
             yield from flush()
-            held, words = [], 0
-    yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
-def scored(docs: DataFrame, stored: list[str]) -> DataFrame:
-    """(doc_id, lang, n_words, log_p) of every row of docs."""
+SCORES = ("n_words", "n_repeats", "log_p")
+
+
+def _with_scores(docs: DataFrame, stored: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """docs with three more columns: words, repeats, sum of log-probabilities."""
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n, total in _score_batches(stored, batches, 2):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n), pa.array(total)], ["doc_id", "lang", "n_words", "log_p"])
+        for batch, *found in _score_batches(stored, batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *names])
+
+    schema = docs.schema
+    for name, kind in zip(names, ("long", "long", "double")):
+        schema = type(schema)([*schema.fields]).add(name, kind)
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, n_words long, log_p double")
+
+def scored(docs: DataFrame, stored: list[str]) -> DataFrame:
+    """(doc_id, lang, n_words, n_repeats, log_p) of every row of docs."""
+    return _with_scores(docs.select(F.col("doc_id").cast("long"), "lang", "text"), stored, SCORES).drop("text")
 
 
-def _score(mean: str) -> Column:
-    """Mean negative log-probability a word, drawn towards `mean` by the prior's words."""
-    return (F.col("prior") * F.col(mean) - F.col("log_p")) / (F.col("n_words") + F.col("prior"))
+def _cost(names: tuple[str, str, str] = SCORES) -> Column:
+    """The negative log-probability of a document's words and repeats, given the rate of repeats."""
+    n, again, log_p = map(F.col, names)
+    return -(log_p + again * F.ln("rate") + (n - again) * F.ln(1 - F.col("rate")))
+
+
+def _score(prior: float, names: tuple[str, str, str] = SCORES) -> Column:
+    """Mean cost a word, drawn towards `mean` by the prior's words."""
+    return (F.lit(prior) * F.col("mean") + _cost(names)) / (F.col(names[0]) + F.lit(prior))
 
 
 def thresholds(scores: DataFrame, trusted: DataFrame, policy: Policy) -> DataFrame:
-    """(lang, mean, threshold) of the languages with enough trusted documents; and a row without lang of all together, last."""
-    held = scores.where("n_words > 0").join(trusted, "doc_id", "left_semi").withColumn("prior", F.lit(policy.prior))
-    mean = (-F.sum("log_p") / F.sum("n_words")).alias("mean")
-    q = F.percentile_approx(_score("mean"), F.array(F.lit(0.5), F.lit(policy.quantile)), 20000)
+    """(lang, rate, mean, threshold) of the languages with enough trusted documents; and a row without lang of all together, last."""
+    held = scores.where("n_words > 0").join(_sent(trusted), "doc_id", "left_semi")
+    rate = ((F.sum("n_repeats") + 1) / (F.sum("n_words") + 2)).alias("rate")
+    q = F.percentile_approx(_score(policy.prior), F.array(F.lit(0.5), F.lit(policy.quantile)), 20000)
     limit = (q[1] + policy.margin * (q[1] - q[0])).alias("threshold")
-    known = held.where("lang IS NOT NULL")
-    means = known.groupBy("lang").agg(mean, F.count(F.lit(1)).alias("n")).where(F.col("n") >= policy.least_trusted)
-    own = known.join(means, "lang").groupBy("lang", "mean").agg(limit)
-    together = held.withColumn("mean", F.lit(held.agg(mean).first()[0]).cast("double")).agg(F.first("mean").alias("mean"), limit)
-    return own.unionAll(together.select(F.lit(None).cast("string").alias("lang"), "mean", "threshold").where("threshold IS NOT NULL"))
+    sums = held.groupBy("lang").agg(rate, F.sum("n_words").alias("n"), F.sum("n_repeats").alias("r"), F.sum("log_p").alias("l"), F.count(F.lit(1)).alias("docs"))
+    mean = (-(F.col("l") + F.col("r") * F.ln("rate") + (F.col("n") - F.col("r")) * F.ln(1 - F.col("rate"))) / F.col("n")).alias("mean")
+    known = sums.where("lang IS NOT NULL").where(F.col("docs") >= policy.least_trusted).select("lang", "rate", mean)
+    own = held.join(known, "lang").groupBy("lang", "rate", "mean").agg(limit)
+    whole = held.agg(rate, F.sum("n_words").alias("n"), F.sum("n_repeats").alias("r"), F.sum("log_p").alias("l")).select("rate", mean).first()
+    both = held.withColumns({c: F.lit(whole[c]).cast("double") for c in ("rate", "mean")}).groupBy("rate", "mean").agg(limit)
+    return own.unionAll(both.select(F.lit(None).cast("string").alias("lang"), "rate", "mean", "threshold"))
 
 
 @dataclass
@@ -369,54 +572,61 @@ class Classifier:
     stored: list[str]  # where the model is
     policy: Policy
     scores: DataFrame
-    limits: dict[str | None, tuple[float, float]]  # by language; None for the others
-
-
-#: More languages than this are refused, as their thresholds go to every task.
+    limits: DataFrame  # by language
+
+    def judged(self, rows: DataFrame, lang: str, names: tuple[str, str, str], out: tuple[str, str]) -> DataFrame:
+        """rows with the score and the threshold of their language or, without one, of all."""
+        least = self.limits.where("lang IS NULL").first()
+        limits = self.limits.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"_{c}") for c in ("rate", "mean", "threshold")))
+        limits = F.broadcast(limits) if limits.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES else limits
+        kept = rows.columns
+        # the rows' own columns are packed away, so that no name of theirs can clash
+        packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{lang}`").alias("_of"), *(F.col(c).alias(o) for c, o in zip(names, SCORES)))
+        joined = packed.join(limits, F.col("_of") == F.col("_lang"), "left")
+        joined = joined.withColumns({c: F.coalesce(f"_{c}", F.lit(least[c] if least else None).cast("double")) for c in ("rate", "mean", "threshold")})
+        return joined.select("_row.*", _score(self.policy.prior).alias(out[0]), F.col("threshold").alias(out[1]))
+
+
+#: Thresholds of at most so many languages are sent to every task; of more they are joined by shuffling.
 MAX_LANGUAGES = 50_000
 
 
-def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), most: int = PART) -> Classifier:
-    """Trains on one half of the trusted documents, scores all documents, sets thresholds by the other half."""
+def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), most: int = PART, every: bool = True) -> Classifier:
+    """Trains on one half of the trusted documents, and sets thresholds by the other half. Scores all documents, or only those
+    of that half."""
     prepare(docs.sparkSession)
     half = F.expr("pmod(xxhash64(doc_id, 'half'), 2)")
     stored = store(training_texts(docs, labels.where(half == 0)), most)
-    scores = cut(scored(docs, stored))
-    limits = thresholds(scores, trusted_ids(labels.where(half == 1)), policy).limit(MAX_LANGUAGES + 1).collect()
-    if len(limits) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Classifier(stored, policy, scores, {r["lang"]: (r["mean"], r["threshold"]) for r in limits})
+    trusted = trusted_ids(labels.where(half == 1))
+    rows = docs if every else docs.select("doc_id", "lang", "text").join(_sent(trusted), "doc_id", "left_semi")
+    scores = cut(scored(rows, stored))
+    return Classifier(stored, policy, scores, cut(thresholds(scores, trusted, policy)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(doc_id, lang, n_words, log_p, score, threshold, kept) of every row of docs (doc_id, lang, text).
+    """(doc_id, lang, n_words, log_p, score, threshold, kept, n_repeats) of every row of docs (doc_id, lang, text).
 
     score is the log of the perplexity, drawn towards the language's mean. Languages with too few trusted documents, and a
     null lang, are judged by the threshold of all trusted documents. A null text is empty; a text without words has the mean
     score and is kept. Without any trusted documents nothing is rejected and score and threshold are null. labels (doc_id,
-    quality, toxic) may repeat.
+    quality, toxic) may repeat; a document is trusted if none of its labels says that it is bad or toxic.
     """
     fitted = fit(docs, labels, policy)
-    rows = [(k, *v) for k, v in fitted.limits.items() if k is not None]
-    by_lang = F.broadcast(docs.sparkSession.createDataFrame(rows, "lang string, mean double, threshold double"))  # at most MAX_LANGUAGES rows
-    mean, threshold = fitted.limits.get(None, (None, None))
-    out = fitted.scores.join(by_lang, "lang", "left").withColumns(
-        {"mean": F.coalesce("mean", F.lit(mean).cast("double")), "threshold": F.coalesce("threshold", F.lit(threshold).cast("double")), "prior": F.lit(policy.prior)}
-    )
-    out = out.withColumn("score", _score("mean"))
-    return out.select("doc_id", "lang", "n_words", "log_p", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    out = fitted.judged(fitted.scores, "lang", SCORES, ("score", "threshold"))
+    kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "lang", "n_words", "log_p", "score", "threshold", kept, "n_repeats")
 
 
 def keep(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The rows of docs that classify() keeps, all columns. Rows are scored again where they are read, so no text moves."""
-    fitted = fit(docs, labels, policy)
-    stored, limits, prior = fitted.stored, fitted.limits, policy.prior
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n, total in _score_batches(stored, batches, text):
-            own = [limits.get(x, limits.get(None)) for x in batch.column(lang).to_pylist()]
-            mean, most = (np.array([x[i] if x else np.inf for x in own]) for i in (0, 1))
-            yield batch.filter(pa.array(~((prior * mean - total) / (n + prior) > most)))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs that classify() keeps, all columns. Rows are scored where they are read, so no text moves; before that only
+    the trusted documents are, for the thresholds."""
+    fitted = fit(docs, labels, policy, every=False)
+    names, out = tuple(_free(f"{c}_", docs.columns) for c in SCORES), tuple(_free(f"{c}_", docs.columns) for c in ("score", "threshold"))
+    rows = fitted.judged(_with_scores(docs, fitted.stored, names), "lang", names, out)
+    return rows.where(F.coalesce(F.col(out[0]) <= F.col(out[1]), F.lit(True))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

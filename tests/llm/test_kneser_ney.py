@@ -121,3 +121,85 @@ def test_scores_do_not_depend_on_parts(spark, labelled):
     assert len(one.stored) == 2 and len(many.stored) > 3
     a, b = ({r["doc_id"]: r["log_p"] for r in f.scores.collect()} for f in (one, many))
     assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-5) for i in a)
+
+
+def test_frequent_words_are_split(spark):
+    """Words that would fill a part are dealt out by two words; the formulas hold all the same."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["the", "of", "the", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(2, 60))) for _ in range(80)]
+    stored = K.store(spark.createDataFrame([(t,) for t in texts], "text string"), 200)
+    words, *parts = map(K.load, stored)
+    plain = Plain(texts)
+    assert len(words.frequent) >= 2 and len(parts) > 5
+    tried = [*texts[:15], "the of the", "of of of of w3", "qq the qq of", "", "w1"]
+    got = 0
+    for p in parts:
+        p.words = words
+        got = got + K.score_batch(p, [t.encode() for t in tried], WordHashes())[1]
+    np.testing.assert_allclose(got, [plain.log_p(t) for t in tried], rtol=1e-4, atol=1e-4)
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    text = " ".join(f"w{i % 37}" for i in range(1000))
+    whole = K._build([], np.zeros(0, np.uint64)) and list(K._sequences(iter([K.pa.RecordBatch.from_pydict({"t": [text]})])))
+    monkeypatch.setattr(K, "COUNTED", 64)
+    pieces = list(K._sequences(iter([K.pa.RecordBatch.from_pydict({"t": [text, "a"]})])))
+    triples = lambda xs: sorted((*s[i - 2 : i + 1].tolist(),) for s, c in xs for i in np.flatnonzero(c))
+    extra = triples(list(K._sequences(iter([K.pa.RecordBatch.from_pydict({"t": ["a"]})]))))
+    assert len(pieces) > 10 and triples(pieces) == sorted(triples(whole) + extra)
+
+
+def test_repeats():
+    texts = ["a b c a b c", "a a a a a", "", "a b", "x y z w", "a b c"]
+    n, hashes = K._hashed([t.encode() for t in texts], WordHashes())
+    want = [sum(w[i - 2 : i + 1] in [w[j - 2 : j + 1] for j in range(2, i)] for i in range(2, len(w))) for w in (t.split() for t in texts)]
+    assert K.repeats(n, hashes).tolist() == want == [1, 2, 0, 0, 0, 0]
+
+
+def test_thresholds_and_verdicts_by_the_formulas(spark, labelled):
+    """From the log-probabilities on, by hand: rates, means, quantiles, scores and verdicts, by language."""
+    docs, labels = labelled
+    docs = docs.withColumn("lang", K.F.expr("CASE WHEN doc_id % 3 = 0 THEN 'de' WHEN doc_id % 50 = 1 THEN 'xx' WHEN doc_id % 50 = 2 THEN NULL ELSE 'en' END"))
+    policy = K.Policy()
+    rows = {r["doc_id"]: r for r in K.classify(docs, labels, policy).collect()}
+    trusted = {r["doc_id"] for r in K.trusted_ids(labels).where(K.F.expr("pmod(xxhash64(doc_id, 'half'), 2) = 1")).collect()} & rows.keys()
+
+    def limits(ids):
+        n, again, log_p = (sum(rows[i][c] for i in ids) for c in ("n_words", "n_repeats", "log_p"))
+        rate = (again + 1) / (n + 2)
+        cost = lambda r: -(r["log_p"] + r["n_repeats"] * math.log(rate) + (r["n_words"] - r["n_repeats"]) * math.log(1 - rate))
+        mean = sum(cost(rows[i]) for i in ids) / n
+        score = lambda r: (policy.prior * mean + cost(r)) / (policy.prior + r["n_words"])
+        order = sorted(score(rows[i]) for i in ids)
+        at = lambda q: order[max(0, math.ceil(q * len(order)) - 1)]
+        return score, at(policy.quantile) + policy.margin * (at(policy.quantile) - at(0.5))
+
+    together = limits([i for i in trusted if rows[i]["n_words"]])
+    for lang in ("en", "de", "xx", None):
+        mine = [i for i in trusted if lang and rows[i]["lang"] == lang]
+        score, threshold = limits(mine) if len(mine) >= policy.least_trusted else together
+        for r in rows.values():
+            if r["lang"] == lang:
+                assert math.isclose(r["score"], score(r), rel_tol=1e-6) and math.isclose(r["threshold"], threshold, rel_tol=1e-6)
+                assert r["kept"] == (r["score"] <= r["threshold"])
+
+
+def test_a_text_that_repeats_itself_goes(labelled, documents, spark):
+    """Of words that are all likely by themselves."""
+    docs, labels = labelled
+    more = docs.unionByName(documents([(3000, "w1 w2 w3 w4 " * 40), (3001, "w7 " * 100)]))
+    kept = {r["doc_id"]: r["kept"] for r in K.classify(more, labels).collect()}
+    assert not kept[3000] and not kept[3001] and all(kept[i] for i in range(120))
+
+
+def test_labels_that_disagree(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, 1, 0), (3, None, None), (4, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [r["doc_id"] for r in K.trusted_ids(labels).collect()] == [3]
+
+
+def test_clashing_names_pass_through(labelled):
+    docs, labels = labelled
+    for name in ("n_words_", "score_", "_row", "_of", "_lang", "rate", "mean_"):
+        docs = docs.withColumn(name, K.F.lit(name))
+    out = K.keep(docs, labels)
+    assert out.columns == docs.columns and out.count() == 120 and out.first()["_row"] == "_row"
