@@ -12,6 +12,7 @@ conversation, and then streams over sorted turns: memory holds one turn, however
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -49,41 +50,56 @@ class Costs:
     page_tokens: int = 1024
 
 
+TYPES = ("text", "image", "audio", "document")
+
+
+def _size(part: dict[str, Any], name: str) -> float:
+    value = part.get(name)
+    return value if value is not None and 0 < value < math.inf else 0
+
+
 @dataclass
 class Flattener:
-    """Visits parts in order. Unknown types and null parts are refused, so nothing goes missing in silence."""
+    """Visits parts in order. A null part is empty. An unknown type is refused, or, given a list for them, put there: nothing goes
+    missing in silence. Sizes that are missing, negative or no numbers count as 0, an image without a size as one tile."""
 
     costs: Costs = Costs()
+    refused: list[str] | None = None
     out: list[str] = field(default_factory=list)
     attachments: list[dict[str, Any]] = field(default_factory=list)
 
-    def visit(self, part: dict[str, Any]) -> None:
-        method = getattr(self, f"visit_{(part or {}).get('type')}", None)
-        if method is None:
+    def visit(self, part: dict[str, Any] | None) -> None:
+        if part is None:
+            return
+        method = getattr(self, f"visit_{part.get('type')}", None) if part.get("type") in TYPES else None
+        if method is not None:
+            method(part)
+        elif self.refused is not None:
+            self.refused.append(str(part.get("type")))
+        else:
             raise ValueError(f"not a content part: {part!r}")
-        method(part)
 
     def visit_text(self, part: dict[str, Any]) -> None:
         self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict[str, Any]) -> None:
-        tiles = -(-max(1, part.get("width") or 1) // self.costs.tile) * -(-max(1, part.get("height") or 1) // self.costs.tile)
+        tiles = -(-max(1, int(_size(part, "width"))) // self.costs.tile) * -(-max(1, int(_size(part, "height"))) // self.costs.tile)
         self._attach(part, tiles * self.costs.tile_tokens)
 
     def visit_audio(self, part: dict[str, Any]) -> None:
-        self._attach(part, -int(-(part.get("seconds") or 0.0) * self.costs.second_tokens // 1))
+        self._attach(part, -int(-_size(part, "seconds") * self.costs.second_tokens // 1))
 
     def visit_document(self, part: dict[str, Any]) -> None:
-        self._attach(part, (part.get("pages") or 0) * self.costs.page_tokens)
+        self._attach(part, int(_size(part, "pages")) * self.costs.page_tokens)
 
     def _attach(self, part: dict[str, Any], tokens: int) -> None:
         self.out.append(f"<{part['type']}:{len(self.attachments)}>")
         self.attachments.append({"type": part["type"], "ref": part.get("ref"), "tokens": tokens})
 
 
-def format_turn(role: str | None, parts: list[dict[str, Any]] | None, trained: frozenset[str], costs: Costs = Costs()) -> tuple[str, int, int, list[dict[str, Any]]]:
+def format_turn(role: str | None, parts: list[dict[str, Any]] | None, trained: frozenset[str], costs: Costs = Costs(), refused: list[str] | None = None) -> tuple[str, int, int, list[dict[str, Any]]]:
     """(output, start and end of the loss mask in it, attachments). The mask covers the content of trained roles, and is empty else."""
-    visitor = Flattener(costs)
+    visitor = Flattener(costs, refused)
     for part in parts or []:
         visitor.visit(part)
     head, content = f"<turn {ROLE.sub(r'\\\1', role or '')}>\n", "".join(visitor.out)
@@ -92,24 +108,26 @@ def format_turn(role: str | None, parts: list[dict[str, Any]] | None, trained: f
 
 
 def formatted(turns: DataFrame, trained: tuple[str, ...] = ("assistant",), costs: Costs = Costs()) -> DataFrame:
-    """(conv_id, turn, output, loss_start, loss_end, attachments, expanded_tokens) of each row of turns (conv_id, turn, role, parts).
+    """(conv_id, turn, output, loss_start, loss_end, attachments, expanded_tokens, refused) of each row of turns (conv_id, turn, role, parts).
 
-    A conversation's output is its turns' outputs side by side, by turn. Null parts, roles and texts are empty.
+    A conversation's output is its turns' outputs side by side, by turn. Null parts, roles and texts are empty; sizes that are
+    missing, negative or no numbers are 0. Parts of an unknown type are left out of the output and their types listed in refused.
     """
     prepare(turns.sparkSession)
     roles = frozenset(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [format_turn(r, p, roles, costs) for r, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            refused: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            rows = [format_turn(r, p, roles, costs, out) for r, p, out in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), refused)]
             kind = pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([r[3] for r in rows], kind), pa.array([sum(a["tokens"] for a in r[3]) for r in rows], pa.int64())],
-                ["conv_id", "turn", "output", "loss_start", "loss_end", "attachments", "expanded_tokens"],
+                 pa.array([r[3] for r in rows], kind), pa.array([sum(a["tokens"] for a in r[3]) for r in rows], pa.int64()), pa.array(refused, pa.list_(pa.string()))],
+                ["conv_id", "turn", "output", "loss_start", "loss_end", "attachments", "expanded_tokens", "refused"],
             )
 
-    schema = "conv_id long, turn long, output string, loss_start long, loss_end long, attachments array<struct<type:string,ref:string,tokens:long>>, expanded_tokens long"
+    schema = "conv_id long, turn long, output string, loss_start long, loss_end long, attachments array<struct<type:string,ref:string,tokens:long>>, expanded_tokens long, refused array<string>"
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("parts").cast(f"array<{PART}>")).mapInArrow(run, schema)
 
 

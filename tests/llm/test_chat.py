@@ -61,3 +61,17 @@ def test_one_conversation_with_most_turns(spark):
     turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(7000)]
     df = spark.createDataFrame([(9, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     assert tuple(chat.digests(chat.formatted(chat.text_parts(df))).first())[1:5] == expected(turns)
+
+
+def test_bad_parts_have_a_defined_result(spark):
+    """Null parts are empty, sizes that are no numbers are 0, unknown types are listed and nothing stops."""
+    nan = float("nan")
+    parts = [None, {"type": "text", "text": None}, {"type": "audio", "ref": "a", "seconds": nan}, {"type": "audio", "seconds": -3.0}, {"type": "audio", "seconds": float("inf")},
+             {"type": "document", "pages": -2}, {"type": "image", "width": -5, "height": None}, {"type": "video", "ref": "v"}, {"type": None}, {"type": "text", "text": "end"}]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, None, [None])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    one, two = chat.formatted(df).orderBy("turn").collect()
+    assert one["output"] == "<turn assistant>\n<audio:0><audio:1><audio:2><document:3><image:4>end</turn>\n"
+    assert [a["tokens"] for a in one["attachments"]] == [0, 0, 0, 0, 256] and one["expanded_tokens"] == 256
+    assert one["refused"] == ["video", "None"] and two["refused"] == [] and two["output"] == "<turn >\n</turn>\n"
+    with pytest.raises(ValueError):
+        chat.format_turn("user", [{"type": "out"}], frozenset())
