@@ -1,13 +1,16 @@
 """URL rules by a sort-merge range join over reversed hosts.
 
 A host's key is its labels from last to first, each with a dot behind it, so a rule's host and all its subdomains are one
-interval of keys, and intervals nest or are apart. The urls of a batch and the rules are both sorted by key and swept once
-together; a stack holds the rules whose interval the sweep is in. Of those whose path the url's path starts with, the
-longest wins. The rules go to every task, in blocks of a bounded number; a url keeps its best over the blocks.
+interval of keys, and intervals nest or are apart. A sweep over the sorted rules, once, keeps a stack of those whose interval it is
+in, and so finds for each host the one around it. The urls of a batch are sorted too and merged with the rules, from one url's place
+to the next by bisection; the hosts around a place are the sweep's stack there. Of one host's rules the longest path that the url's
+starts with is looked up by its lengths, so neither many rules nor many paths of a host are gone through for each url. The rules go
+to every task, in blocks of a bounded number; a url keeps its best over the blocks.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,33 +64,55 @@ def key(host: str) -> str:
     return "".join(f"{label}." for label in reversed(host.split(".")))
 
 
-def sweep(urls: list[tuple[str, str]], rules: list[tuple[str, list[Rule]]]) -> list[Rule | None]:
-    """The winning rule of each (host, path). rules: sorted by key, those of one host together, the best first."""
-    keys = [key(host) for host, _ in urls]
+@dataclass(frozen=True)
+class Hosts:
+    """Rules by host, sorted by key. around: of each host the place of the nearest host whose interval it is in, or -1. paths: of each
+    host its rules by path. lengths: the lengths of these paths, the longest first."""
+
+    keys: list[str]
+    around: list[int]
+    paths: list[dict[str, Rule]]
+    lengths: list[list[int]]
+
+
+def sorted_rules(rules: list[Rule]) -> Hosts:
+    """Of rules with the same host and path, the one that blocks counts. A rule without a host or a verdict fits nothing; a path that
+    is null is empty."""
+    by: dict[str, dict[str, Rule]] = {}
+    for r in rules:
+        if r.host is not None and r.verdict is not None:
+            r = r if r.path is not None else Rule(r.host, "", r.verdict)
+            own = by.setdefault(key(r.host), {})
+            own[r.path] = max(own.get(r.path, r), r, key=lambda x: x.rank)
+    keys, around, stack = sorted(by), [], []
+    for i, k in enumerate(keys):
+        while stack and not k.startswith(keys[stack[-1]]):
+            stack.pop()
+        around.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return Hosts(keys, around, [by[k] for k in keys], [sorted({len(p) for p in by[k]}, reverse=True) for k in keys])
+
+
+def sweep(urls: list[tuple[str, str]], hosts: Hosts) -> list[Rule | None]:
+    """The winning rule of each (host, path)."""
+    places = [key(host) for host, _ in urls]
     out: list[Rule | None] = [None] * len(urls)
-    stack: list[tuple[str, list[Rule]]] = []
     at = 0
-    for i in sorted(range(len(urls)), key=keys.__getitem__):
-        here = keys[i]
-        while at < len(rules) and rules[at][0] <= here:
-            while stack and not rules[at][0].startswith(stack[-1][0]):
-                stack.pop()
-            stack.append(rules[at])
-            at += 1
-        while stack and not here.startswith(stack[-1][0]):
-            stack.pop()
-        fitting = [r for _, own in stack for r in own if urls[i][1].startswith(r.path)]
+    for i in sorted(range(len(urls)), key=places.__getitem__):
+        at = bisect.bisect_right(hosts.keys, places[i], at)
+        k, path, fitting = at - 1, urls[i][1], []
+        while k >= 0 and not places[i].startswith(hosts.keys[k]):
+            k = hosts.around[k]
+        while k >= 0:  # every host further around is a prefix too
+            own = hosts.paths[k]
+            found = next((r for n in hosts.lengths[k] if n <= len(path) and (r := own.get(path[:n]))), None)
+            if found:
+                fitting.append(found)
+            k = hosts.around[k]
         out[i] = max(fitting, key=lambda r: r.rank, default=None)
     return out
 
 
-def sorted_rules(rules: list[Rule]) -> list[tuple[str, list[Rule]]]:
-    by: dict[str, list[Rule]] = {}
-    for r in rules:
-        by.setdefault(key(r.host), []).append(r)
-    return sorted(by.items())
-
-
 def _blocks(pages: DataFrame, rules: DataFrame | tuple[Rule, ...]) -> Iterator[Broadcast]:
     sc = pages.sparkSession.sparkContext
     if isinstance(rules, tuple):
@@ -105,7 +130,8 @@ def judge(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] = RULES) -> Data
 
     A rule (host, path, verdict) fits its host and all subdomains, if the url's path starts with the rule's; the longest
     wins. rule is the winner's host and path, null if none fits; then the verdict is DEFAULT. A null url has an empty host
-    and path, which no rule fits. Repeated rows of pages have a row each; repeated rules count once.
+    and path, which no rule fits. Repeated rows of pages have a row each; repeated rules count once. A rule without a host or a
+    verdict fits nothing; one without a path has an empty one, which fits all paths.
     """
     prepare(pages.sparkSession)
     schema = "page_id long, host string, path string, rule string, verdict string"

@@ -35,3 +35,23 @@ def test_edges_and_blocks(spark, monkeypatch):
     assert got(U.RULES) == want
     assert got(spark.createDataFrame([(r.host, r.path, r.verdict) for r in U.RULES], "host string, path string, verdict string")) == want
     assert U.judge(df.limit(0)).count() == 0 and all(v[4] == "allow" for v in got(()))
+
+
+def test_rules_with_nulls(spark):
+    df = spark.createDataFrame([(1, "a://x.net/p"), (2, "a://y.org/q")], "page_id long, url string")
+    rules = [(None, "/p", "block"), ("net", None, "block"), ("org", "/q", None), (None, None, None), ("y.org", "/", "allow"), ("y.org", "/", "block")]
+    rows = U.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in rows] == [("net", "block"), ("y.org/", "block")]
+
+
+def test_many_rules_and_many_paths_of_a_host():
+    """Work does not grow with the rules for each url."""
+    import time
+
+    rules = [U.Rule("big.net", f"/{i}/", "block") for i in range(100_000)] + [U.Rule(f"h{i}.org", "/", "allow") for i in range(100_000)]
+    hosts = U.sorted_rules(rules)
+    urls = [(f"a.h{i}.org", "/x") for i in range(1000)] + [("w.big.net", f"/{i}/y") for i in range(1000)] + [("big.netz", "/1/")]
+    began = time.perf_counter()
+    got = U.sweep(urls, hosts)
+    assert time.perf_counter() - began < 1
+    assert [r.text if r else None for r in got] == [f"h{i}.org/" for i in range(1000)] + [f"big.net/{i}/" for i in range(1000)] + [None]
