@@ -81,6 +81,30 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             yield ArcRecord(fields, content)
 
 
+def salvaged(data: bytes) -> tuple[list[ArcRecord], str | None]:
+    """The records before what is broken in an archive, and what is broken."""
+    out: list[ArcRecord] = []
+    try:
+        for record in read_arc(data):
+            out.append(record)
+    except ValueError as e:
+        return out, str(e) or "no line ends"
+    return out, None
+
+
+def broken(archives: DataFrame) -> DataFrame:
+    """(data, n_records, error) of the archives (data) that break off: how many records come before, which convert() takes, and why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                records, error = salvaged(data.as_py() or b"")
+                if error:
+                    yield pa.RecordBatch.from_arrays([pa.array([data.as_py()], pa.binary()), pa.array([len(records)], pa.int64()), pa.array([error])], ["data", "n_records", "error"])
+
+    return archives.select("data").mapInArrow(run, "data binary, n_records long, error string")
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -181,7 +205,8 @@ def convert(archives: DataFrame, least: int = 0) -> str:
     """Converts archives (data: whole ARC files) to WARC files, compressed by gzip, in the shared folder; the path of the folder.
 
     Of records with equal payloads of at least `least` bytes, the one with the largest number is a response and the others
-    revisit it; a record without a number is always a response. A payload is known by its SHA-1 and its length.
+    revisit it; a record without a number is always a response. A payload is known by its SHA-1 and its length. Of an archive that
+    breaks off, the records before are converted; broken() tells which these are. A null archive is empty.
     """
     spark = archives.sparkSession
     prepare(spark)
@@ -189,8 +214,8 @@ def convert(archives: DataFrame, least: int = 0) -> str:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, ids, names, sizes, records = [], [], [], [], []
-            for data in batch.column(0).to_pylist():
-                for r in read_arc(data or b""):
+            for data in batch.column(0):
+                for r in salvaged(data.as_py() or b"")[0]:
                     payload = split_http(r.content)[1]
                     numbers.append(number_in(r))
                     ids.append(id_of(r))

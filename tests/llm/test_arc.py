@@ -73,3 +73,14 @@ def test_archives_are_bounded_by_bytes(spark, monkeypatch):
     sizes = [len(arc.gzip.decompress(r["content"])) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
     assert len(sizes) > 20 and max(sizes) < 7_000
     assert sorted((tuple(r) for r in arc.round_trip(df).collect()), key=str) == plain(pages)
+
+
+def test_broken_archives_do_not_stop_the_others(spark):
+    """What comes before the break is converted, and the archive is listed."""
+    records = [arc.ArcRecord({"url": f"http://h/{i}", "date": "20200101", "type": "text/html", "offset": str(i)}, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * i) for i in range(6)]
+    whole, cut_off = arc.write_arc(records[:3]), arc.write_arc(records[3:])[:-4]
+    rows = [(whole,), (cut_off,), (b"only three fields\n",), (b"no line end",), (None,), (b"",)]
+    df = spark.createDataFrame(rows, "data binary")
+    assert sorted(r["page_id"] for r in arc.read(spark, arc.convert(df)).collect()) == [0, 1, 2, 3, 4]
+    found = {bytes(r["data"]): (r["n_records"], r["error"]) for r in arc.broken(df).collect()}
+    assert found.keys() == {cut_off, b"only three fields\n", b"no line end"} and found[cut_off][0] == 2 and "declares" in found[cut_off][1]
