@@ -7,11 +7,13 @@ plus threshold, 1 + 1 = 2, of either half (at most 17 a half); at each anchor, t
 So every linked pair meets at the home anchor of either, with the full 64-bit distance checked there.
 
 Equal fingerprints are merged before anything is replicated, so copies cost nothing. What an anchor gathers is not listed
-as pairs: a large bucket gives only a spanning forest of its links, which has the same components.
+as pairs: a large bucket gives only a spanning forest of its links, which has the same components, and compares only rows that
+agree on two of five pieces of the other half, as all that link do.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,14 +48,14 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of docs (doc_id, text); fp is the fingerprint as a signed number."""
+    """(doc_id, fp, text_hash) of every row of docs (doc_id, text); fp is the fingerprint as a signed number, text_hash tells texts apart."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t) for t in texts(batch.column(1))], U64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
     prepare(docs.sparkSession)
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")), each, "doc_id long, fp long, text_hash long")
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +95,57 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each group of linked rows of one bucket, in memory in proportion to the bucket."""
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label after the groups of x and y, pair by pair, are joined: the least of each."""
+    pair = np.unique(np.stack([label[x], label[y]], axis=1), axis=0)
+    pair = pair[pair[:, 0] != pair[:, 1]]
+    if not len(pair):
+        return label
+    root = {int(k): int(k) for k in np.unique(pair)}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for i, j in pair.tolist():
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    to = np.arange(len(label))
+    for k in root:
+        to[k] = find(k)
+    return to[label]
+
+
+def _forest(fp: np.ndarray, node: np.ndarray, home: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each group of linked rows of one bucket, in memory in proportion to the bucket.
+
+    Rows that link differ in at most `bits` bits of the half that the anchor is not of, so, of bits + 1 and one more pieces of it, two
+    are equal: rows are compared only where some two pieces are, not each with the whole bucket.
+    """
     label = np.arange(len(fp))
-    for i in np.flatnonzero(home):
-        near = np.bitwise_count(fp ^ fp[i]) <= bits
-        found = np.unique(label[near])
-        if len(found) > 1:
-            label[np.isin(label, found)] = found[0]
+    other = (fp >> U64(32 * (1 - half))) & U64(0xFFFFFFFF)
+    edge = [round(32 * i / (bits + 2)) for i in range(bits + 3)]
+    piece = [(other >> U64(a)) & U64((1 << b - a) - 1) for a, b in itertools.pairwise(edge)]
+    for i, j in itertools.combinations(range(len(piece)), 2):
+        key = piece[i] << U64(32) | piece[j]
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        sizes = np.diff(at)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.flatnonzero(home[order] & (sizes[group] > 1))
+        upto = np.cumsum(sizes[group[first]])
+        start = 0
+        while start < len(first):  # as many rows at once as make TILE cells, or one
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + TILE, side="right")))
+            r = first[start:end]
+            n = sizes[group[r]]
+            x, y = order[np.repeat(r, n)], order[ranges(at[group[r]], n)]
+            hit = label[x] != label[y]
+            x, y = x[hit], y[hit]
+            hit = np.bitwise_count(fp[x] ^ fp[y]) <= bits
+            label = _joined(label, x[hit], y[hit])
+            start = end
     least = np.full(len(fp), np.iinfo(np.int64).max)
     np.minimum.at(least, label, node)
     return node, least[label]
@@ -124,7 +169,7 @@ def _links(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarra
     for g in np.flatnonzero(sizes > 16):
         s = slice(at[g], at[g + 1])
         if home[s].any():
-            x, y = _forest(fp[s], node[s], home[s], bits)
+            x, y = _forest(fp[s], node[s], home[s], bits, int(anchor[at[g]] >> 40))
             a.append(x[x != y])
             b.append(y[x != y])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -171,6 +216,18 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of every row; and (fp, component, component_id) of every fingerprint.
+
+    The nodes are the fingerprints themselves, so a doc_id that has two texts does not join them, and texts without an id join others."""
+    prints = cut(fingerprints(docs))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), bits))
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints, named.join(ids, "component")
+
+
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text, ...).
 
@@ -179,21 +236,21 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     doc_id gets its group's component, or null if no row of the group has one. Repeated rows stay, each with its group's
     component. Other columns are not read.
     """
-    prints = cut(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes.where("node IS NOT NULL"), bits))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    prints, named = _grouped(docs, bits)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id, its row once if it repeats.
 
-    Rows without a doc_id stay as they are. The columns are those of docs.
+    Where that doc_id has several texts in the group, the one with the least hash stays; of rows with the same doc_id and text, the one
+    whose other columns have the least hash. Texts of one doc_id that are in different groups are judged apart. Rows without a
+    doc_id stay as they are. The columns are those of docs, whatever their names.
     """
-    kept = near_duplicates(docs, bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    once = Window.partitionBy("_kept").orderBy(F.expr("xxhash64(text)"))
-    joined = docs.join(kept, docs["doc_id"] == kept["_kept"])
-    first = joined.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+    prints, named = _grouped(docs, bits)
+    mine = prints.where("doc_id IS NOT NULL").join(named.select("fp", "component_id", "component"), "fp").where("doc_id = component_id")
+    kept = mine.groupBy("component", F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_text")).select("_id", "_text").distinct()
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_hash"))
+    once = Window.partitionBy("_id", "_text").orderBy("_hash")
+    first = rows.join(kept, ["_id", "_text"]).withColumn("_place", F.row_number().over(once)).where("_place = 1").select("_row.*")
     return first.unionByName(docs.where(F.col("doc_id").isNull()))

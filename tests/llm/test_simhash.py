@@ -94,3 +94,57 @@ def test_chains_reach_across(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(links).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_a_crowded_anchor(spark):
+    """Twenty thousand fingerprints near one half: the same groups as all pairs, without comparing each with all."""
+    rng = random.Random(4)
+    near = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(32), n))
+    for half in (0, 1):
+        prints = sorted({near(5, rng.randrange(2)) << 32 * half | (near(9, rng.randrange(7)) if rng.random() < 0.02 else rng.getrandbits(32)) << 32 * (1 - half) for _ in range(3000)})
+        row, anchor, home = simhash.anchors(np.array(prints, np.uint64))
+        key, n = np.unique(anchor, return_counts=True)
+        key = key[(key >> 40 == half)][n[key >> 40 == half].argmax()]
+        at = anchor == key
+        fp, home = np.array(prints, np.uint64)[row[at]], home[at]
+        assert len(fp) > 2000
+        node, least = simhash._forest(fp, np.arange(len(fp)), home, 3, half)
+        label = np.arange(len(fp))
+        for i in np.flatnonzero(home):
+            found = np.unique(label[np.bitwise_count(fp ^ fp[i]) <= 3])
+            label[np.isin(label, found)] = found[0]
+        assert len(np.unique(label)) < len(fp) and (least == label).all()
+
+
+def test_one_id_with_several_texts(spark, documents):
+    """Texts of one id that do not resemble each other stay apart; rows without an id join what they resemble."""
+    a, b, c = ("alpha beta gamma " * 30, " ".join(f"x{i}" for i in range(90)), " ".join(f"y{i % 40}" for i in range(200)))
+    rows = documents([(1, a), (5, a), (5, b), (5, c), (7, b), (7, c), (9, c)])
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    prints = {t: f"{simhash.fingerprint(t.encode()):016x}" for t in (a, b, c)}
+    assert got == {(1, prints[a]): 1, (5, prints[a]): 1, (5, prints[b]): 5, (5, prints[c]): 5, (7, prints[b]): 5, (7, prints[c]): 5, (9, prints[c]): 5}
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(rows).collect()) == sorted([(1, a), (5, b), (5, c)])
+    # two texts that link to each other only through one without an id
+    base = np.uint64(0x0123456789ABCDEF)
+    nodes = spark.createDataFrame([(int(base), int(base)), (int(base) ^ 7, int(base) ^ 7), (int(base) ^ 63, int(base) ^ 63)], "fp long, node long")
+    from hyperdelta.llm.graph import components
+
+    assert len({r["component"] for r in components(simhash.links(nodes)).collect()}) == 1
+
+
+def test_columns_pass_through_whatever_their_names(documents):
+    from pyspark.sql import functions as F
+
+    rows = documents([(1, "one two three four"), (1, "one two three four"), (2, "other words are here")])
+    for i, name in enumerate(("_row", "_kept", "_id", "_text", "_hash", "_place", "text_hash", "component", "a.b")):
+        rows = rows.withColumn(name, F.lit(i))
+    got = simhash.deduplicate(rows)
+    assert got.columns == rows.columns
+    assert sorted(tuple(r)[-9:] for r in got.collect()) == [tuple(range(9))] * 2
+
+
+def test_of_rows_that_differ_elsewhere_one_stays_for_certain(documents):
+    from pyspark.sql import functions as F
+
+    rows = documents([(1, "one two three four")] * 6).withColumn("n_chars", F.monotonically_increasing_id())
+    assert len({simhash.deduplicate(rows.repartition(n)).first()["n_chars"] for n in (1, 2, 3)}) == 1
