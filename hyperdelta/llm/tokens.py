@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import tiktoken
 
@@ -35,10 +36,36 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _long_blanks(least: int) -> re.Pattern[str]:
+    """Runs of white space of the pattern's kind: Unicode's, without the control characters that Python's own class has besides."""
+    return re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{least},}}")
+
+
+#: White space of this many characters or more is split off by hand: the pattern looks ahead behind a run, and its engine's stack is
+#: too small for a million.
+BLANKS = _long_blanks(10_000)
+
+
+def _encoded(path: str, text: bytes, special: bool) -> list[int]:
+    """As the pattern would split: a run is one piece up to its last character, which goes with what follows; all of it where
+    nothing follows, or the name of an added token."""
+    enc, whole = encoding(path), text.decode("utf-8", "replace")
+    some = (lambda x: enc.encode(x, allowed_special="all")) if special else enc.encode_ordinary
+    names = tuple(enc.special_tokens_set) if special else ()
+    out, at = [], 0
+    for run in BLANKS.finditer(whole):
+        end = run.end() if run.end() == len(whole) or whole.startswith(names, run.end()) else run.end() - 1
+        if run.start() > at:
+            out += some(whole[at : run.start()])
+        out += enc._encode_single_piece(whole[run.start() : end])
+        at = end
+    return out + some(whole[at:]) if out else some(whole)
+
+
 def encode(path: str, text: bytes) -> list[int]:
-    return encoding(path).encode(text.decode("utf-8", "replace"), allowed_special="all")
+    return _encoded(path, text, True)
 
 
 def encode_ordinary(path: str, text: bytes) -> list[int]:
     """As encode, but the names of added tokens are ordinary text."""
-    return encoding(path).encode_ordinary(text.decode("utf-8", "replace"))
+    return _encoded(path, text, False)

@@ -84,3 +84,11 @@ def test_token_sequences(documents):
         at = r["doc_ids"].index(2) if 2 in r["doc_ids"] else None
         if at is not None:
             assert r["ids"][r["offsets"][at] : r["offsets"][at] + len(ids[2])] == ids[2]
+
+
+def test_long_white_space_has_the_ids_of_the_tokenizers_library():
+    path = tokens.default_vocabulary()
+    runs = (" " * 12_000, "\n" * 11_000, " \n\t　" * 4_000, " " * 10_500, "\x1c" * 10_001)
+    texts = [f"{a}{r}{b}" for r in runs for a in ("", "a", "1!") for b in ("", "b", "!", "\x1c", "<|endoftext|>", "x" + r + "y")]
+    for text in [*texts, " " * 2_000_000 + "end", "a" + "\n" * 1_200_000]:
+        assert tokens.encode(path, text.encode()) == TOKENIZER.encode(text, add_special_tokens=False).ids
