@@ -122,8 +122,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def runs(contents: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
-    """Slices of texts of about `most` bytes together, or of one longer text, so that a batch's arrays stay small."""
+def runs(contents: list[bytes] | list[str], most: int = 8 << 20) -> Iterator[slice]:
+    """Slices of texts of about `most` bytes (or characters) together, or of one longer text, so that a batch's arrays stay small."""
     first = held = 0
     for i, text in enumerate(contents):
         if held and held + len(text) > most:

@@ -14,8 +14,9 @@ names like token or key; the features leave out what those rules test, so far as
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, starts_of
+from .common import prepare, runs, starts_of
 
 #: Kinds and their patterns.
 BASE = ("email", "ip", "card", "phone")
@@ -63,7 +64,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, end))
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,11 +83,12 @@ def joined(spans: list[Span]) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: documents to train on, the first by the hash of their id, and candidate tokens of them. reach: words between
-    chain neighbours. sure: least probability of an added span's label."""
+    """sample: documents to train on, the first by the hash of their id; tokens: candidate tokens of them, in that order; share: the most
+    that one document adds, spread over it. reach: words between chain neighbours. sure: least probability of an added span's label."""
 
     sample: int = 3000
     tokens: int = 20_000
+    share: int = 500
     reach: int = 4
     rounds: int = 12
     sure: float = 0.9
@@ -97,7 +99,7 @@ class Nodes:
     """Candidates of one text, in order."""
 
     spans: list[tuple[int, int]] = field(default_factory=list)
-    features: list[np.ndarray] = field(default_factory=list)
+    features: list[tuple[float, ...]] = field(default_factory=list)
     label: list[int] = field(default_factory=list)  # observed; -1 if none, len(KINDS) for "other" in training
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
@@ -106,23 +108,19 @@ class Nodes:
 N_FEATURES = 22
 
 
-def features(core: str, before: str) -> np.ndarray:
+def features(core: str, before: str) -> tuple[float, ...]:
     """Of a token without its edges, and the text just before it."""
     digits = sum(c.isdigit() for c in core)
     letters = sum(c.isalpha() for c in core)
     hexes = sum(c in "0123456789abcdefABCDEF" for c in core)
     dots, n = core.count("."), max(1, len(core))
-    kinds = len(set(core.lower()))
-    x = np.zeros(N_FEATURES)
-    x[0] = 1
-    x[1], x[2], x[3] = "@" in core, dots == 3, dots > 0
-    x[4], x[5], x[6] = digits / n, letters / n, hexes / n == 1
-    x[7 + min(5, len(core) // 6)] = 1
-    x[13], x[14] = kinds >= 10, digits >= 4 and letters >= 4
-    x[15], x[16] = core[:1] == "+", "-" in core
-    x[17], x[18] = before.rstrip(" \"'").endswith(("=", ":")), before.endswith(('"', "'"))
-    x[19], x[20], x[21] = 13 <= digits <= 19 and not letters, digits and digits == n, "+" in before[-6:]
-    return x
+    size = [0.0] * 6
+    size[min(5, len(core) // 6)] = 1.0
+    return (
+        1, "@" in core, dots == 3, dots > 0, digits / n, letters / n, hexes / n == 1, *size, len(set(core.lower())) >= 10, digits >= 4 and letters >= 4,
+        core[:1] == "+", "-" in core, before.rstrip(" \"'").endswith(("=", ":")), before.endswith(('"', "'")),
+        13 <= digits <= 19 and not letters, bool(digits) and digits == n, "+" in before[-6:],
+    )
 
 
 def candidates(text: str, spans: list[Span], settings: Settings, seeds: bool = False) -> Nodes:
@@ -143,10 +141,10 @@ def candidates(text: str, spans: list[Span], settings: Settings, seeds: bool = F
         i = len(out.spans)
         while k < len(spans) and spans[k][2] <= a:
             k += 1
-        over = [x for x in spans[k : k + 8] if x[0] < b and x[2] > a]
+        over = next((x for x in itertools.takewhile(lambda x: x[0] < b, itertools.islice(spans, k, None)) if x[2] > a), None)
         while s < len(secret) and secret[s][1] <= a:
             s += 1
-        label = over[0][1] if over else 4 if s < len(secret) and secret[s][0] < b else len(KINDS) if seeds else -1
+        label = over[1] if over else 4 if s < len(secret) and secret[s][0] < b else len(KINDS) if seeds else -1
         out.spans.append((a, b))
         out.features.append(features(core, text[max(0, a - 12) : a]))
         out.label.append(label)
@@ -158,6 +156,13 @@ def candidates(text: str, spans: list[Span], settings: Settings, seeds: bool = F
                 out.skip.append((last[form], i))
             last[form] = i
         previous_end = b
+    if seeds:  # what is assigned to a name somewhere is as secret where it stands alone
+        for i, j in out.skip:
+            if out.label[i] == 4 and out.label[j] == len(KINDS):
+                out.label[j] = 4
+        for i, j in reversed(out.skip):
+            if out.label[j] == 4 and out.label[i] == len(KINDS):
+                out.label[i] = 4
     return out
 
 
@@ -168,26 +173,30 @@ class Field:
     skip: float
 
 
-def train(samples: list[str], settings: Settings = Settings()) -> Field:
-    """Piecewise: each kind of factor by itself. Without candidates, unary factors are flat and nothing is added."""
+def train(samples: Iterable[str], settings: Settings = Settings()) -> Field:
+    """Piecewise: each kind of factor by itself. Without candidates, unary factors are flat and nothing is added. A document with more
+    than its share of tokens gives that many, evenly spaced, and the factors between tokens that it gives."""
     labels = len(KINDS) + 1
-    x, y, chain, agree, total, seen = [], [], np.full((labels, labels), 0.5), 1.0, 2.0, 0
+    x, y, chain, agree, total = [], [], np.full((labels, labels), 0.5), 1.0, 2.0
     for text in samples:
         nodes = candidates(text, base_spans(text), settings, seeds=True)
-        x += nodes.features
-        y += nodes.label
+        n = min(len(nodes.spans), settings.share, settings.tokens - len(x))
+        given = {i * len(nodes.spans) // n for i in range(n)}
+        x += [nodes.features[i] for i in sorted(given)]
+        y += [nodes.label[i] for i in sorted(given)]
         for i, j in nodes.chain:
-            chain[nodes.label[i], nodes.label[j]] += 1
+            if i in given and j in given:
+                chain[nodes.label[i], nodes.label[j]] += 1
         for i, j in nodes.skip:
-            agree += nodes.label[i] == nodes.label[j]
-            total += 1
-        seen += len(nodes.spans)
-        if seen >= settings.tokens:
+            if i in given and j in given:
+                agree += nodes.label[i] == nodes.label[j]
+                total += 1
+        if len(x) >= settings.tokens:
             break
     weights = np.zeros((N_FEATURES, labels))
     weights[0, -1] = 2.0
     if x:
-        data, target = np.array(x), np.eye(labels)[y]
+        data, target = np.array(x, float), np.eye(labels)[y]
         speed = np.zeros_like(weights)
         for _ in range(400):
             z = data @ weights
@@ -202,38 +211,57 @@ def train(samples: list[str], settings: Settings = Settings()) -> Field:
 
 
 def infer(model: Field, documents: list[Nodes], rounds: int) -> np.ndarray:
-    """Label probabilities of all nodes of all documents, one after another, by damped loopy sum-product."""
+    """Label probabilities of all nodes of all documents, one after another, by damped loopy sum-product.
+
+    Messages are kept as probabilities, and a potential is applied as one product for all edges of a kind, so memory is a few numbers
+    a label for each node and edge.
+    """
     at = starts_of(np.array([len(d.spans) for d in documents], np.int64))
     labels = model.weights.shape[1]
-    x = np.array([f for d in documents for f in d.features]).reshape(-1, N_FEATURES)
-    unary = x @ model.weights
+    unary = np.concatenate([np.array(d.features, float).reshape(-1, N_FEATURES) @ model.weights for d in documents])
     unary -= np.logaddexp.reduce(unary, axis=1)[:, None]
-    observed = np.array([k for d in documents for k in d.label], np.int64)
+    observed = np.concatenate([np.array(d.label, np.int64) for d in documents])
     fixed = np.flatnonzero(observed >= 0)
     unary[fixed] = -30.0
     unary[fixed, observed[fixed]] = 0.0
-    edges = [(at[n] + i, at[n] + j, kind) for n, d in enumerate(documents) for kind, pairs in ((0, d.chain), (1, d.skip)) for i, j in pairs]
+    pairs = [np.concatenate([np.array(p, np.int64).reshape(-1, 2) + at[n] for n, p in enumerate(x)]) for x in ([d.chain for d in documents], [d.skip for d in documents])]
     belief = unary
-    if edges:
-        e = np.array(edges, np.int64)
-        source, target = np.r_[e[:, 0], e[:, 1]], np.r_[e[:, 1], e[:, 0]]
-        n = len(e)
-        potential = np.where((e[:, 2] == 0)[:, None, None], model.chain, np.eye(labels) * model.skip)
-        potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
-        message = np.zeros((2 * n, labels))
-        back = np.r_[np.arange(n, 2 * n), np.arange(n)]
+    if len(pairs[0]) + len(pairs[1]):
+        chain, same = np.exp(model.chain), np.exp(model.skip) - 1
+        # forth along chains, back along chains, along skips both ways
+        source = np.concatenate([pairs[0][:, 0], pairs[0][:, 1], pairs[1][:, 0], pairs[1][:, 1]])
+        target = np.concatenate([pairs[0][:, 1], pairs[0][:, 0], pairs[1][:, 1], pairs[1][:, 0]])
+        c, s = len(pairs[0]), len(pairs[1])
+        back = np.r_[np.arange(c, 2 * c), np.arange(c), 2 * c + np.arange(s, 2 * s), 2 * c + np.arange(s)]
+        message = np.zeros((len(source), labels))
         for _ in range(rounds):
             out = belief[source] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + potential, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1)[:, None]
-            message = 0.5 * message + 0.5 * new
+            out -= out.max(axis=1, keepdims=True)
+            np.exp(out, out=out)
+            out[:c] = out[:c] @ chain
+            out[c : 2 * c] = out[c : 2 * c] @ chain.T
+            out[2 * c :] = same * out[2 * c :] + out[2 * c :].sum(axis=1, keepdims=True)
+            out /= out.sum(axis=1, keepdims=True)
+            message = 0.5 * message + 0.5 * np.log(out)
             belief = unary + np.stack([np.bincount(target, message[:, k], len(unary)) for k in range(labels)], axis=1)
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None])
 
 
+#: Characters of texts whose fields are solved together; a longer text is solved alone, all of it, as its labels hang together.
+TOGETHER = 4 << 20
+
+
 def find_batch(model: Field, contents: list[str], settings: Settings = Settings()) -> tuple[list[list[Span]], list[list[Span]]]:
     """(base spans, all spans) of each text. Added spans are whole tokens without their edges, and overlap no base span."""
-    base = [base_spans(t) for t in contents]
+    base, every = [], []
+    for s in runs(contents, TOGETHER):
+        own = [base_spans(t) for t in contents[s]]
+        base += own
+        every += _added(model, contents[s], own, settings)
+    return base, every
+
+
+def _added(model: Field, contents: list[str], base: list[list[Span]], settings: Settings) -> list[list[Span]]:
     nodes = [candidates(t, b, settings) for t, b in zip(contents, base)]
     every = [list(b) for b in base]
     some = [i for i, n in enumerate(nodes) if n.spans]
@@ -247,15 +275,15 @@ def find_batch(model: Field, contents: list[str], settings: Settings = Settings(
                     every[i].append((a, kind, b))
             at += len(nodes[i].spans)
             every[i].sort()
-    return base, every
+    return every
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Field:
-    """Trains on the sample; at most settings.sample documents come to the driver, one at a time."""
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
+    """Trains on the sample, in the order of the hash of the id; at most settings.sample documents' texts come to the driver, one at a time."""
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")
-    chosen = docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["doc_id"], "left_semi").where("text RLIKE '[0-9@]'")
-    return train([r["text"] for r in chosen.select("doc_id", "text").orderBy("doc_id", "text").toLocalIterator()], settings)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text RLIKE '[0-9@]'")
+    return train((r["text"] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()), settings)
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
