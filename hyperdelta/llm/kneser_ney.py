@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts_of, texts
@@ -48,19 +48,34 @@ class Policy:
     least_trusted: int = 20
 
 
+def _squeezed(x: np.ndarray) -> tuple[int, bytes]:
+    return x.nbytes, pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _restored(x: tuple[int, bytes]) -> bytes:
+    return pa.decompress(x[1], x[0], "zstd", asbytes=True)
+
+
 class Table:
     """A map from 64-bit hashes to rows of numbers, by look-up in arrays."""
 
     def __init__(self, keys: np.ndarray, **values: np.ndarray) -> None:
         order = np.argsort(keys.view(U64))
         # counts are kept as narrow as they fit
-        self.__setstate__((keys.view(U64)[order], {k: v[order].astype(np.min_scalar_type(int(v.max(initial=0))) if v.dtype.kind in "iu" else v.dtype) for k, v in values.items()}))
+        self._set(keys.view(U64)[order], {k: v[order].astype(np.min_scalar_type(int(v.max(initial=0))) if v.dtype.kind in "iu" else v.dtype) for k, v in values.items()})
 
     def __getstate__(self) -> tuple:
-        return self.keys, self.values
+        """Compressed: the keys as differences, byte by byte, of which the upper are zero."""
+        gaps = np.diff(self.keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+        return len(self.keys), _squeezed(np.ascontiguousarray(gaps)), {k: (v.dtype.str, _squeezed(v)) for k, v in self.values.items()}
 
     def __setstate__(self, state: tuple) -> None:
-        self.keys, self.values = state
+        n, gaps, values = state
+        keys = np.cumsum(np.ascontiguousarray(np.frombuffer(_restored(gaps), np.uint8).reshape(8, n).T).view(U64).ravel(), dtype=U64)
+        self._set(keys, {k: np.frombuffer(_restored(v), dtype) for k, (dtype, v) in values.items()})
+
+    def _set(self, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
+        self.keys, self.values = keys, values
         self.bits = max(1, int(len(self.keys)).bit_length())
         shard = (self.keys >> U64(64 - self.bits)).astype(np.int64)
         self.at = starts_of(np.bincount(shard, minlength=1 << self.bits)).astype(np.int32)
@@ -372,10 +387,11 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     files.create_dir(path)
     parts, frequent = 1, np.zeros(0, U64)
     if most:
-        counts = cut(_word_counts(trusted))
-        parts = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // most))
+        counts = _word_counts(trusted).groupBy(F.when(F.col("n") > most // 4, F.col("w")).alias("w")).agg(F.sum("n").alias("n")).collect()
+        parts = max(1, -(-sum(r["n"] for r in counts) // most))
         if parts > 1:  # of these there are at most four a part
-            frequent = np.sort(np.array([r["w"] for r in counts.where(F.col("n") > most // 4).select("w").toLocalIterator()], np.int64).view(U64))
+            frequent = np.sort(np.array([r["w"] for r in counts if r["w"] is not None], np.int64).view(U64))
+        _collect(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -398,14 +414,14 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
             yield done()
 
     dealt = _triples(trusted, frequent, parts).repartition(parts, "part").sortWithinPartitions("part")
-    summed = cut(dealt.mapInArrow(run, "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")))
-    _collect(spark)
-    small = {(r["kind"], r["a"]): r["c"] for r in summed.where("kind IN (1, 2, 4)").toLocalIterator()}  # a row a part, and eight
+    summed = _kept(dealt.mapInArrow(run, "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")), "sums")
+    small = {(r["kind"], r["a"]): r["c"] for r in summed.where("kind IN (1, 2, 4)").collect()}  # a row a part, and eight
     pairs = summed.where("kind = 3")
     n2 = pairs.agg(*_counted("c"), F.count(F.lit(1))).first()
     d3 = _discounts([small.get((1, k), 0) for k in (1, 2, 3, 4)])
     d2 = _discounts([small.get((2, k), 0) + (n2[k - 1] or 0) for k in (1, 2, 3, 4)])
-    c1 = cut(summed.where("kind = 0").select(F.col("a").alias("w"), "c").unionAll(pairs.select(F.col("b").alias("w"), F.lit(1).cast("long"))).groupBy("w").agg(F.sum("c").alias("c1")))
+    ends = summed.where("kind = 0").select(F.col("a").alias("w"), "c").unionAll(pairs.select(F.col("b").alias("w"), F.lit(1).cast("long")))
+    c1 = _kept(ends.groupBy("w").agg(F.sum("c").alias("c1")), "ends")
     *n1, n, s = c1.agg(*_counted("c1"), F.count(F.lit(1)), F.sum("c1")).first()
     d1 = _discounts([x or 0 for x in n1])
     rest = c1.agg(F.sum(_discount("c1", d1))).first()[0]
@@ -416,6 +432,8 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     v, *columns = (c.to_numpy().astype(np.int64) for c in known.columns)
     _dump(Words(words, float(np.log(rest)), frequent, second, Table(v, **dict(zip(("s", "n1", "n2", "n3"), columns))), d2), f"{folder}/words")
     _dump((parts, {a for kind, a in small if kind == 4}, d2, d3), f"{folder}/about")
+    for done in (summed, c1):
+        _forget(done)
     return [f"{folder}/{x}" for x in ("words", *range(parts))]
 
 
@@ -441,7 +459,23 @@ def _tables(rows: DataFrame, to: str, n: int, column: str) -> list[str]:
     return [f"{to}-{s}" for s in range(shards)]
 
 
-def _collect(spark) -> None:
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder as compressed columns, which are smaller than a checkpoint's rows."""
+    path = stage_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    _collect(df.sparkSession)
+    return df.sparkSession.read.parquet(path)
+
+
+def _forget(kept: DataFrame) -> None:
+    """Deletes what _kept has written."""
+    folders = {uri.rpartition("/")[0] for uri in kept.inputFiles()}
+    for uri in folders:
+        files, path = _at(uri)
+        files.delete_dir(path)
+
+
+def _collect(spark: SparkSession) -> None:
     """Lets go of shuffle files that nothing refers to any more: Spark deletes them when the driver collects garbage."""
     spark.sparkContext._jvm.System.gc()
 
