@@ -19,7 +19,8 @@ its language's threshold: a quantile of the trusted documents, scored with all t
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 #: Triples of a part of the model, words of a table of words, words that a task counts or holds at once.
-PART, WORDS, COUNTED, HELD = 400_000, 2_000_000, 1_000_000, 4_000_000
+PART, WORDS, COUNTED, HELD = 400_000, 2_000_000, 1_000_000, 2_000_000
 #: Rows that may be sent to every task; what has more is joined by shuffling.
 SENT = 4_000_000
 
@@ -158,20 +159,31 @@ class Words:
         at = np.minimum(np.searchsorted(self.frequent, words), max(0, len(self.frequent) - 1))
         return self.frequent[at] == words if len(self.frequent) else np.zeros(len(words), bool)
 
-    def second(self, before: np.ndarray, words: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """The probability of a word after a frequent one; NaN where that one is not frequent."""
-        out = np.full(len(words), np.nan, np.float32)
-        some = np.flatnonzero(self.is_frequent(before))
-        if not len(some):
-            return out
-        inverse, weight = _weights(self.contexts, self.d2)
-        at = self.contexts.find(before[some])
-        keys, counted = hash_long(words[some], hash_long(before[some], 42)), np.zeros(len(some), np.float32)
+    def second_tables(self) -> Iterator[Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]]:
+        """Functions to be called one after another with (p2, words before, words, log p of the words): the first sets p2 to the
+        probability of a word after a frequent one, if the pair is unknown, or to NaN after one that is not; each of the others
+        puts in what its table of pairs has."""
+
+        def start(p2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray) -> None:
+            p2[:] = np.nan
+            some = np.flatnonzero(self.is_frequent(before))
+            if len(some):
+                p2[some] = _weights(self.contexts, self.d2)[1][self.contexts.find(before[some])] * np.exp(p1[some])
+
+        yield start
+        if not len(self.frequent):
+            return
         for k, table in self._tables(self.pairs):
-            mine = np.flatnonzero(keys % U64(len(self.pairs)) == k) if len(self.pairs) > 1 else slice(None)
-            counted[mine] = np.r_[_less(table.values["c"], self.d2), np.float32(0)][table.find(keys[mine])]
-        out[some] = counted * inverse[at] + weight[at] * np.exp(p1[some])
-        return out
+
+            def put(p2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray, k: int = k, table: Table = table, counts: np.ndarray = np.r_[_less(table.values["c"], self.d2), np.float32(0)]) -> None:
+                some = np.flatnonzero(~np.isnan(p2))
+                keys = hash_long(words[some], hash_long(before[some], 42))
+                if len(self.pairs) > 1:
+                    own = np.flatnonzero(keys % U64(len(self.pairs)) == k)
+                    some, keys = some[own], keys[own]
+                p2[some] += counts[table.find(keys)] * _weights(self.contexts, self.d2)[0][self.contexts.find(before[some])]
+
+            yield put
 
 
 def part_of(before2: np.ndarray, before: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
@@ -243,7 +255,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
     for batch in batches:
         for text in texts(batch.column(0)):
-            h = np.r_[begin, known.of(text.split())]
+            h = np.r_[begin, word_hashes(text, known)]
             for i in range(0, len(h) - 2, COUNTED):
                 held.append(h[i : i + COUNTED + 2])
                 size += len(held[-1])
@@ -480,44 +492,78 @@ def _collect(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
+SPACE = re.compile(rb"[\t-\r ]")
+
+
+def word_hashes(text: bytes, known: WordHashes) -> np.ndarray:
+    """Of the words of a text. A long one is split piece by piece, so that its words are not all held at once."""
+    if len(text) <= PIECE:
+        return known.of(text.split())
+    out, at = [], 0
+    while at < len(text):
+        cut_at = SPACE.search(text, at + PIECE)
+        end = cut_at.start() if cut_at else len(text)
+        out.append(known.of(text[at:end].split()))
+        at = end
+    return np.concatenate(out)
+
+
 def _hashed(contents: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """How many words each text has, and the hashes of all."""
-    lists = [known.of(t.split()) for t in contents]
+    lists = [word_hashes(t, known) for t in contents]
     return np.fromiter(map(len, lists), np.int64, len(lists)), np.concatenate(lists) if len(lists) else np.zeros(0, U64)
 
 
 def repeats(n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Of each text, how many words end a triple of words that the text had before."""
-    out = np.zeros(len(n), np.int64)
-    if len(hashes) > 2:
+    out, at = np.zeros(len(n), np.int64), starts_of(n)
+    for i in np.flatnonzero(n > 3).tolist():
+        own = hashes[at[i] : at[i + 1]]
         with np.errstate(over="ignore"):
-            key = np.r_[np.zeros(2, U64), (hashes[:-2] * U64(0x9E3779B97F4A7C15) + hashes[1:-1]) * U64(0xC2B2AE3D27D4EB4F) + hashes[2:]]
-        at = starts_of(n)
-        for i in np.flatnonzero(n > 3).tolist():
-            own = np.sort(key[at[i] + 2 : at[i + 1]])
-            out[i] = np.count_nonzero(own[1:] == own[:-1])
+            key = np.sort((own[:-2] * U64(0x9E3779B97F4A7C15) + own[1:-1]) * U64(0xC2B2AE3D27D4EB4F) + own[2:])
+        out[i] = np.count_nonzero(key[1:] == key[:-1])
     return out
 
 
+#: Words whose parts are found at once.
+STEP = 1 << 18
+
+
 def _sums(parts: list[str] | list[Model], words: Words, n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The sum of log-probabilities of each text, as far as they are of these parts."""
-    begin, at = np.array([BEGIN]).view(U64)[0], starts_of(n)
-    before = np.r_[begin, hashes[:-1]][: len(hashes)]
-    before[at[:-1][n > 0]] = begin
-    before2 = np.r_[begin, before[:-1]][: len(hashes)]
-    before2[at[:-1][n > 0]] = begin
-    p1 = words.log_p(hashes)
-    p2 = words.second(before, hashes, p1)
-    total, text = np.zeros(len(n)), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    """The sum of log-probabilities of each text, as far as they are of these parts.
+
+    What is held of each word is its hash, two probabilities, its text, its part, and its place in their order; the rest is made of
+    slices."""
+    total = np.zeros(len(n))
+    if not len(hashes):
+        return total
+    at = starts_of(n + 2)  # two begin marks before each text
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    places = (np.arange(len(hashes), dtype=np.int64) + 2 * (text.astype(np.int64) + 1)).astype(np.int32 if at[-1] < 1 << 31 else np.int64)
+    sequence = np.full(int(at[-1]), BEGIN, np.int64).view(U64)
+    sequence[places] = hashes
+    p1, p2 = words.log_p(hashes), np.empty(len(hashes), np.float32)
     one = parts[0] if isinstance(parts[0], Model) else None
     count = one.parts if one else len(parts)
-    part = part_of(before2, before, words.is_frequent(before), count) if count > 1 else np.zeros(len(hashes), U64)
-    order = np.argsort(part, kind="stable")
-    ends = starts_of(np.bincount(part.astype(np.int64), minlength=count))
+    part = np.zeros(len(hashes), np.min_scalar_type(count))
+    for i in range(0, len(hashes), STEP):
+        s = slice(i, i + STEP)
+        before = sequence[places[s] - 1]
+        part[s] = part_of(sequence[places[s] - 2], before, words.is_frequent(before), count)
+    for known in words.second_tables():
+        for i in range(0, len(hashes), STEP):
+            s = slice(i, i + STEP)
+            known(p2[s], sequence[places[s] - 1], hashes[s], p1[s])
+    order = np.argsort(part, kind="stable").astype(places.dtype)
+    ends = starts_of(np.bincount(part, minlength=count))
     for model in parts:
         model = model if one else load(model)  # one in memory at a time
-        mine = order[ends[model.part] : ends[model.part + 1]]
-        total += np.bincount(text[mine], model.log_probabilities(before2[mine], before[mine], hashes[mine], p1[mine], p2[mine]), len(n))
+        for i in range(int(ends[model.part]), int(ends[model.part + 1]), STEP):
+            mine = order[i : min(i + STEP, int(ends[model.part + 1]))]
+            log_p = model.log_probabilities(sequence[places[mine] - 2], sequence[places[mine] - 1], hashes[mine], p1[mine], p2[mine])
+            total += np.bincount(text[mine], log_p, len(n))
     return total
 
 
@@ -536,9 +582,11 @@ def _score_batches(stored: list[str], batches: Iterator[pa.RecordBatch], text: i
 
     def flush() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
         n, hashes = np.concatenate([n for _, n, _ in held]), np.concatenate([h for _, _, h in held])
+        rows = [(batch, own) for batch, own, _ in held]
+        held.clear()
         again, total = repeats(n, hashes), _sums(parts, words, n, hashes)
         at = 0
-        for batch, own, _ in held:
+        for batch, own in rows:
             s = slice(at, at + len(own))
             at += len(own)
             yield batch, own, again[s], total[s]
@@ -548,7 +596,7 @@ def _score_batches(stored: list[str], batches: Iterator[pa.RecordBatch], text: i
         size += len(held[-1][2])
         if size >= HELD or len(stored) == 2:
             yield from flush()
-            held, size = [], 0
+            size = 0
     if held:
         yield from flush()
 
@@ -646,6 +694,8 @@ def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
     quality, toxic) may repeat; a document is trusted if none of its labels says that it is bad or toxic.
     """
     fitted = fit(docs, labels, policy)
+    files, path = _at(fitted.stored[0].rpartition("/")[0])
+    files.delete_dir(path)  # all documents are scored, and the scores kept
     out = fitted.judged(fitted.scores, "lang", SCORES, ("score", "threshold"))
     kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept")
     return out.select("doc_id", "lang", "n_words", "log_p", "score", "threshold", kept, "n_repeats")
