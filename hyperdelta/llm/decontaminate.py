@@ -20,12 +20,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ranges, starts_of, texts
+from .common import cut, prepare, ranges, runs, starts_of, texts
 
 PARTS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-#: The index goes to every task as a whole up to this many characters of items; a larger benchmark is searched in shards of that size.
+#: The index goes to every task as a whole up to this many characters of items; a larger benchmark is searched in shards of that size, with
+#: the same statistics and so the same results.
 INDEX_CHARS = 16_000_000
-COARSE = 16
+#: Runs of blocks that a term has a maximum for. Cells of passages by blocks that are looked at together.
+COARSE, CELLS = 16, 1 << 22
 
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, n_passages long"
 
@@ -57,24 +59,29 @@ def shingles(tokens: list[bytes], width: int) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i : i + width]) for i in range(max(1, len(tokens) - width + 1))} if tokens else set()
 
 
+def split_item(question: str | None, answer: str | None, rule: Rule) -> tuple[list[bytes], list[bytes]]:
+    """The words of an item's question and answer; an answer of None is taken from the question's end."""
+    q = words(question or "")
+    if answer is not None:
+        return q, words(answer)
+    n = max(1, round(rule.answer * len(q)))
+    return q[: len(q) - n], q[len(q) - n :]
+
+
 class Index:
     """Items (item_id, question, answer); an answer of None is taken from the question's end. Items without words are left out."""
 
     def __init__(self, items: list[tuple[int, str, str | None]], rule: Rule, corpus: tuple[dict[bytes, int], int, float] | None = None) -> None:
         self.rule, self.ids, self.parts, lists = rule, [], [], []
         for item_id, question, answer in items:
-            q = words(question or "")
-            if answer is None:
-                n = max(1, round(rule.answer * len(q)))
-                q, a = q[: len(q) - n], q[len(q) - n :]
-            else:
-                a = words(answer)
+            q, a = split_item(question, answer, rule)
             if q or a:
                 self.ids.append(item_id)
                 self.parts.append((shingles(q, rule.shingle), shingles(a, rule.shingle), len(q) + len(a)))
                 lists.append(q + a)
         df, n_items, mean = corpus or document_frequencies(lists)
-        vocabulary: dict[bytes, int] = {}
+        # numbered in the order of the terms, so that sums run in the same order whatever the shard
+        vocabulary = {t: k for k, t in enumerate(sorted(set().union(*lists)))}
         rows: list[tuple[int, int, float]] = []
         for i, tokens in enumerate(lists):
             tf: dict[bytes, int] = {}
@@ -83,8 +90,8 @@ class Index:
             norm = rule.k1 * (1 - rule.b + rule.b * len(tokens) / mean)
             weight = {t: float(np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5))) * f * (rule.k1 + 1) / (f + norm) for t, f in tf.items()}
             # of an item longer than half a window, a passage need hold but half a window
-            own = sum(weight.values()) * min(1.0, rule.window / 2 / len(tokens))
-            rows += [(vocabulary.setdefault(t, len(vocabulary)), i, x / own) for t, x in weight.items()]
+            own = sum(weight[t] for t in sorted(weight)) * min(1.0, rule.window / 2 / len(tokens))
+            rows += [(vocabulary[t], i, x / own) for t, x in weight.items()]
         rows.sort()
         self.vocabulary = vocabulary
         term = np.array([r[0] for r in rows], np.int64)
@@ -117,8 +124,9 @@ class Index:
         n_blocks = len(self.ids) // self.rule.block + 1
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         where = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1], True]) if len(passage) else np.zeros(1, np.int64)
-        for i in range(0, len(where) - 1, 4096):  # some thousand passages at once, so that memory is bounded
-            s = slice(where[i], where[min(i + 4096, len(where) - 1)])
+        step = max(1, min(4096, CELLS // n_blocks))  # passages at once, so that memory is bounded
+        for i in range(0, len(where) - 1, step):
+            s = slice(where[i], where[min(i + step, len(where) - 1)])
             count = self.blocks[term[s] + 1] - self.blocks[term[s]]
             entry = ranges(self.blocks[term[s]], count)
             local = np.cumsum(np.r_[0, np.diff(passage[s]) != 0])
@@ -165,12 +173,20 @@ def passages(contents: list[list[bytes]], number: dict[bytes, int], half: int) -
             sizes.append(len(terms) - before)
             text.append(i)
             begins.append(k * half)
-    term = np.array(terms, np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), term, np.array(text, np.int64), np.array(begins, np.int64)
+    key = np.repeat(np.arange(len(sizes)), sizes) << 32 | np.array(terms, np.int64)
+    key.sort()  # a passage's terms in their order, not a set's
+    return key >> 32, key & 0xFFFFFFFF, np.array(text, np.int64), np.array(begins, np.int64)
+
 
+Hit = tuple[int, int, float, float, float, int, int]
 
-def search_batch(index: Index, contents: list[bytes]) -> list[tuple[int, int, float, float, float, int, int]]:
+
+def search_batch(index: Index, contents: list[bytes]) -> list[Hit]:
     """(text, item, score, question overlap, answer overlap, first word, passages) of each verified hit, its best passage's figures."""
+    return [(t + s.start, *hit) for s in runs(contents) for t, *hit in _search(index, contents[s])]
+
+
+def _search(index: Index, contents: list[bytes]) -> list[Hit]:
     rule, number = index.rule, index.vocabulary
     lists = [words(t) for t in contents]
     passage, term, text, begins = passages(lists, number, rule.window // 2)
@@ -192,21 +208,49 @@ def search_batch(index: Index, contents: list[bytes]) -> list[tuple[int, int, fl
     return [(t, item, s, q, a, -at, n) for (t, item), (s, at, q, a, n) in found.items()]
 
 
-def _indexes(items: DataFrame, rule: Rule) -> list[Broadcast]:
+def _statistics(items: DataFrame, rule: Rule) -> DataFrame:
+    """(shard, term, n): in how many items of a shard each term is; and of shard null, with terms of their own, the items and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[int | None, bytes], int] = {}
+            for question, answer, shard in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                q, a = split_item(question, answer, rule)
+                if q or a:
+                    for k in [*((shard, t) for t in {*q, *a}), (None, b"items")]:
+                        seen[k] = seen.get(k, 0) + 1
+                    seen[None, b"words"] = seen.get((None, b"words"), 0) + len(q) + len(a)
+            if seen:
+                shards, terms = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(terms, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["shard", "term", "n"])
+
+    return items.select("question", "answer", "shard").mapInArrow(run, "shard int, term binary, n long").groupBy("shard", "term").agg(F.sum("n").alias("n"))
+
+
+def _indexes(items: DataFrame, rule: Rule) -> Iterator[Broadcast]:
     """The items' index, broadcast: one while they have at most INDEX_CHARS characters, else one for each shard of about that size.
 
-    A shard's BM25 statistics are its own; a shard is a random part of the items by hash.
+    A shard is a random part of the items by hash; BM25 statistics are those of all items in every shard.
     """
+    spark = items.sparkSession
     split = {"question", "answer"} <= set(items.columns)
     answer = F.col("answer") if split else F.lit(None).cast("string").alias("answer")
     items = items.select(F.col("item_id").cast("long"), F.col("question" if split else "text").alias("question"), answer)
     size = items.agg(F.sum(F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
-    shards, out = max(1, -(-size // INDEX_CHARS)), []
-    for k in range(shards):
-        part = items.where(F.expr(f"pmod(xxhash64(item_id, question), {shards})") == k) if shards > 1 else items
-        rows = sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
-        out.append(items.sparkSession.sparkContext.broadcast(Index(rows, rule)))
-    return out
+    shards = max(1, -(-size // INDEX_CHARS))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
+    if shards == 1:
+        yield spark.sparkContext.broadcast(Index(sorted(map(tuple, items.collect()), key=order), rule))
+        return
+    items = items.withColumn("shard", F.expr(f"cast(pmod(xxhash64(item_id, question), {shards}) AS INT)"))
+    counts = cut(_statistics(items, rule))
+    whole = {bytes(r["term"]): r["n"] for r in counts.where("shard IS NULL").collect()}
+    n, mean = whole.get(b"items", 0), max(1.0, whole.get(b"words", 0) / max(1, whole.get(b"items", 0)))
+    every = cut(counts.where("shard IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards")))
+    for k in range(shards):  # a shard's items and terms at a time
+        df = {bytes(r["term"]): r["n"] for r in every.where(F.array_contains("shards", k)).select("term", "n").toLocalIterator()}
+        rows = sorted(map(tuple, items.where(F.col("shard") == k).drop("shard").collect()), key=order)
+        yield spark.sparkContext.broadcast(Index(rows, rule, (df, n, mean)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:

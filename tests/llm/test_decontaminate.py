@@ -72,3 +72,32 @@ def test_items_are_found_wherever_they_stand(length):
     index = D.Index([(1, item, None), (2, text(40), None)], D.Rule())
     for before in range(0, 140, 9):
         assert any(k == 0 for _, k, *_ in D.search_batch(index, [f"{text(before)} {item} {text(200)}".encode()]))
+
+
+def test_shards_do_not_change_results(spark, documents, monkeypatch):
+    """400 items in one index and in about sixteen: the same rows, scores and all."""
+    items = [(i, text(RNG.choice([10, 24, 60])), None if i % 3 else text(8)) for i in range(400)]
+    contents = []
+    for i in range(60):
+        words = RNG.choice(items)[1].split()
+        for _ in range(RNG.randrange(4)):
+            words[RNG.randrange(len(words))] = RNG.choice(VOCABULARY)
+        contents.append((i, f"{text(RNG.randrange(200))} {' '.join(words)} {text(RNG.randrange(90))}"))
+    df = spark.createDataFrame(items, "item_id long, question string, answer string")
+    rule = D.Rule(overlap=0.0)  # retrieval alone
+    rows = lambda: sorted(map(tuple, D.contaminated(documents(contents), df, rule).collect()))
+    one = rows()
+    monkeypatch.setattr(D, "INDEX_CHARS", sum(len(q) + len(a or "") for _, q, a in items) // 16)
+    assert len(list(D._indexes(df, rule))) >= 16 and rows() == one and len(one) > 60
+    monkeypatch.setattr(D, "CELLS", 1)
+    assert rows() == one
+
+
+def test_parts_of_items():
+    """Question and answer by hand, apart from the index."""
+    rule = D.Rule()
+    q = "one two three four five six seven eight"
+    assert D.Index([(1, q, None), (2, "a b", "C-d"), (3, "x", None), (4, None, "y")], rule).parts == [
+        ({tuple(w.encode() for w in q.split()[i : i + 5]) for i in (0, 1)}, {(b"seven", b"eight")}, 8),
+        ({(b"a", b"b")}, {(b"c", b"d")}, 4), (set(), {(b"x",)}, 1), (set(), {(b"y",)}, 1),
+    ]
