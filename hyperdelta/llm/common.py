@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python worker gets at once. Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch.
@@ -122,6 +123,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def runs(contents: list[bytes] | list[str], most: int = 8 << 20) -> Iterator[slice]:
     """Slices of texts of about `most` bytes (or characters) together, or of one longer text, so that a batch's arrays stay small."""
     first = held = 0

@@ -25,11 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, cut, hash_long, prepare, stage_path, starts_of, texts
+from .common import U64, WordHashes, cut, hash_long, opened, prepare, stage_path, starts_of, texts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 #: Triples of a part of the model, words of a table of words, words that a task counts or holds at once.
@@ -330,20 +329,14 @@ def _discount(column: str, d: Discounts) -> Column:
     return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def _dump(what: object, uri: str) -> None:
-    files, path = _at(uri)
+    files, path = opened(uri)
     with files.open_output_stream(path) as f:
         pickle.dump(what, f, protocol=5)
 
 
 def _read(uri: str) -> object:
-    files, path = _at(uri)
+    files, path = opened(uri)
     with files.open_input_file(path) as f:
         return pickle.loads(f.read_buffer())
 
@@ -395,7 +388,7 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     spark = trusted.sparkSession
     prepare(spark)
     folder = stage_path(spark, "model")
-    files, path = _at(folder)
+    files, path = opened(folder)
     files.create_dir(path)
     parts, frequent = 1, np.zeros(0, U64)
     if most:
@@ -483,7 +476,7 @@ def _forget(kept: DataFrame) -> None:
     """Deletes what _kept has written."""
     folders = {uri.rpartition("/")[0] for uri in kept.inputFiles()}
     for uri in folders:
-        files, path = _at(uri)
+        files, path = opened(uri)
         files.delete_dir(path)
 
 
@@ -694,7 +687,7 @@ def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
     quality, toxic) may repeat; a document is trusted if none of its labels says that it is bad or toxic.
     """
     fitted = fit(docs, labels, policy)
-    files, path = _at(fitted.stored[0].rpartition("/")[0])
+    files, path = opened(fitted.stored[0].rpartition("/")[0])
     files.delete_dir(path)  # all documents are scored, and the scores kept
     out = fitted.judged(fitted.scores, "lang", SCORES, ("score", "threshold"))
     kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept")

@@ -40,3 +40,31 @@ def test_documents(edge, documents, block):
     want = sorted((str(r["doc_id"]), len(encode_ordinary(default_vocabulary(), (r["text"] or "").encode()))) for r in edge.collect())
     assert got == want
     assert T.document_counts(documents([]), T.Layout(block=block)).count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 2, 5])
+def test_the_scan_has_two_levels(spark, monkeypatch, span):
+    """Documents over many blocks and many spans of them, and spans without a separator."""
+    monkeypatch.setattr(T, "SPAN", span)
+    rng, layout, rows, want = random.Random(span), T.Layout(separator=0, width=4, block=3), [], []
+    for f in ("a", "b"):
+        sizes = [rng.choice([0, 1, 2, 9, 40]) for _ in range(30)]
+        ids = np.array([x for n in sizes for x in [7] * n + [0]] + [7] * 25, "<u4")
+        rows += [(f, k, ids[3 * k : 3 * k + 3].tobytes()) for k in range(-(-len(ids) // 3))]
+        want += [(f, k, n) for k, n in enumerate([*sizes, 25])]
+    rng.shuffle(rows)
+    got = T.count(spark.createDataFrame(rows, "file string, block long, data binary"), layout)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_files_of_the_query_are_flat(spark, documents):
+    """Ids and separators side by side, nothing else; a file is read in many blocks by more than one task."""
+    docs = documents([(i, f"text number {i} " * 50) for i in range(40)])
+    files, names = T.write_files(docs.repartition(1), T.Layout())
+    ((file, size),) = files.collect()
+    ids = np.fromfile(file.removeprefix("file:"), "<u2")
+    order = [r["doc_id"] for r in names.orderBy("ordinal").collect()]
+    want = [x for i in order for x in [*encode_ordinary(default_vocabulary(), f"text number {i} ".encode() * 50), 50256]]
+    assert ids.tolist() == want and size == 2 * len(want) and sorted(order) == list(range(40))
+    blocks = T.blocks_of(files, T.Layout(block=100))
+    assert blocks.rdd.getNumPartitions() > 2 and b"".join(bytes(r["data"]) for r in blocks.orderBy("block").collect()) == ids.tobytes()
