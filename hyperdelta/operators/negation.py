@@ -1,25 +1,33 @@
 """Which deltas are retracted, when retractions can be retracted themselves.
 
 A delta is retracted if some live retraction of it exists; a retraction is live unless it is retracted. On acyclic logs this
-has one solution. It is not monotone, so no recursive query gives it; it is peeled instead: retractions that nothing
-(undecided) retracts are live, their targets are retracted, the targets' own retractions then count no more, and so on. What
-is left has a cycle, or hangs on one: it is undetermined, and counts as not retracted.
+has one solution. It is not monotone, so no recursive query gives it; it is peeled instead, by joins: retractions that nothing
+(undecided) retracts are live, their targets are retracted, the targets' own retractions then count no more, and so on. Most
+chains are short and gone after LAYERS rounds. What is left is parted into connected components, and each is solved by one task, many
+at once, so a long chain costs no more rounds; a component too large for a task is peeled on. What has a cycle, or hangs on one, is
+undetermined, and counts as not retracted.
+
+The log is read once, in parallel, for its narrow table of retractions.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from ..graph import components
 from ..sources.log import DeltaLog
 
-#: Retractions that one task solves at once; more are peeled by joins.
+#: Retractions of one component that a task solves; a larger component is peeled by joins to its end.
 ONE_TASK = 1_000_000
+#: Rounds of joins before what is left is parted into components. Retractions of small components that a task solves together.
+LAYERS, TOGETHER = 3, 100_000
 
 
 def _edges(log: DeltaLog, asof: int | None, authors: list[str] | None) -> DataFrame:
@@ -52,36 +60,73 @@ def solve(pairs: list[tuple[str, str]]) -> dict[str, bool | None]:
     return state
 
 
-def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(retracted ids, undetermined ids) by joins; a round settles one more layer of retractions of retractions."""
-    left = cut(edges.select("negator_id", "target_id").distinct())
-    gone: DataFrame | None = None
-    while True:
+def _peel(left: DataFrame, rounds: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of retracted ids, edges that are still undecided) by joins; a round settles one more layer of retractions of retractions."""
+    gone: list[DataFrame] = []
+    while rounds is None or len(gone) < rounds:
         targets = left.select(F.col("target_id").alias("negator_id")).distinct()
-        live = left.join(targets, "negator_id", "left_anti")
-        hit = cut(live.select("target_id").distinct())
+        hit = cut(left.join(targets, "negator_id", "left_anti").select("target_id").distinct())
         if hit.isEmpty():
-            return gone if gone is not None else hit, left.select("target_id").distinct()
-        gone = hit if gone is None else gone.unionAll(hit)
+            break
+        gone.append(hit)
         rest = left.join(hit, "target_id", "left_anti")
         left = cut(rest.join(hit.withColumnRenamed("target_id", "negator_id"), "negator_id", "left_anti"))
+    return gone, left
+
+
+def by_component(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """edges (negator_id, target_id, ...) with their component: of components with at most `most` edges, and of larger ones."""
+    found = components(edges.select(F.col("negator_id").alias("a"), F.col("target_id").alias("b"))).withColumnRenamed("node", "target_id")
+    # an edge from a delta to itself alone is a component of its own
+    named = cut(edges.join(found, "target_id", "left").withColumn("component", F.coalesce("component", "target_id")))
+    large = cut(named.groupBy("component").count().where(F.col("count") > most).select("component"))
+    return named.join(large, "component", "left_anti"), named.join(large, "component", "left_semi")
+
+
+def each_component(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole components, about TOGETHER rows at a time, from batches that are sorted by component."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= TOGETHER:
+            rows = pd.concat(held)
+            open_ = rows["component"] == rows["component"].iloc[-1]  # may go on
+            held = [rows[open_]]
+            if not open_.all():
+                yield rows[~open_]
+    if held:
+        yield pd.concat(held)
+
+
+def _settled(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(retracted ids, undetermined ids, all edges), the ids as target_id."""
+    every = cut(edges.select("negator_id", "target_id").distinct())
+    gone, left = _peel(every, LAYERS)
+    loops = left.select("target_id").limit(0)
+    if len(gone) == LAYERS and not left.isEmpty():
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in each_component(batches):
+                found = [(t, s is None) for t, s in solve(list(zip(rows["negator_id"], rows["target_id"]))).items() if s is not False]
+                yield pd.DataFrame(found, columns=["target_id", "open"])
+
+        small, left = by_component(left, ONE_TASK)
+        sorted_ = small.repartition("component").sortWithinPartitions("component")
+        solved = cut(sorted_.mapInPandas(run, "target_id string, open boolean"))
+        gone.append(solved.where("NOT open").select("target_id"))
+        loops = solved.where("open").select("target_id")
+        more, left = _peel(cut(left.select("negator_id", "target_id")))
+        gone += more
+    loops = loops.unionAll(left.select("target_id").distinct())
+    return reduce(DataFrame.unionAll, gone, every.select("target_id").limit(0)), loops, every
 
 
 def _verdicts(edges: DataFrame) -> DataFrame:
     """(target_id, negated, undetermined) of every target."""
-    if edges.select(F.lit(1)).limit(ONE_TASK + 1).count() > ONE_TASK:
-        gone, loops = _peel(edges)
-        marks = gone.select("target_id", F.lit(1).alias("m")).unionAll(loops.select("target_id", F.lit(2).alias("m")))
-        every = edges.select("target_id", F.lit(0).alias("m")).unionAll(marks).groupBy("target_id").agg(F.max("m").alias("m"))
-        return every.select("target_id", (F.col("m") == 1).alias("negated"), (F.col("m") == 2).alias("undetermined"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = [p for b in batches for p in zip(b["negator_id"], b["target_id"])]
-        rows = [(t, s is True, s is None) for t, s in solve(pairs).items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["target_id", "negated", "undetermined"])
-
-    return edges.select("negator_id", "target_id").coalesce(1).mapInPandas(run, "target_id string, negated boolean, undetermined boolean")
+    gone, loops, every = _settled(edges)
+    marks = gone.select("target_id", F.lit(1).alias("m")).unionAll(loops.select("target_id", F.lit(2).alias("m")))
+    rows = every.select("target_id", F.lit(0).alias("m")).unionAll(marks).groupBy("target_id").agg(F.max("m").alias("m"))
+    return rows.select("target_id", (F.col("m") == 1).alias("negated"), (F.col("m") == 2).alias("undetermined"))
 
 
 def negated_ids(log: DeltaLog, asof: int | None = None, mode: str = "full", authors: list[str] | None = None) -> DataFrame:
@@ -95,7 +140,7 @@ def negated_ids(log: DeltaLog, asof: int | None = None, mode: str = "full", auth
         return edges.select(F.col("target_id").alias("id")).distinct()
     if mode != "full":
         raise ValueError(f"mode {mode!r} is neither 'full' nor 'single_pass'")
-    return _verdicts(edges).where("negated").select(F.col("target_id").alias("id"))
+    return _settled(edges)[0].select(F.col("target_id").alias("id"))
 
 
 def live(log: DeltaLog, asof: int | None = None, mode: str = "full", authors: list[str] | None = None) -> DeltaLog:

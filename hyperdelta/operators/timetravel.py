@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from ..checkpoints import cut
 from ..sources.log import DeltaLog
 from .filters import DeltaFilter, query
 from .hyperview import Roots, long_form
-from .negation import live, negated_ids
+from .negation import ONE_TASK, by_component, each_component, live, negated_ids
 
 
 def view_at(log: DeltaLog, roots: Roots, asof: int, selector: str = "by_target_context") -> DataFrame:
@@ -67,9 +72,8 @@ def replay_times(log: DeltaLog, roots: Roots = None, start: int = 0, end: int |
 def replay_counts(log: DeltaLog, times: DataFrame) -> DataFrame:
     """(object_id, timestamp, n): how many deltas show on an object at each of its times (object_id, timestamp).
 
-    Retractions are judged as of each time, exactly where no retraction is itself retracted in between by one of another
-    object's times: intervals of a delta's life come from the changes of its state, and a count is a running sum of births
-    and deaths, so nothing is rescanned for each time.
+    Retractions are judged as of each time, exactly: a count is that of the view as of that time. The intervals of a delta's life come
+    from the changes of its state, and a count is a running sum of births and deaths, so nothing is rescanned for each time.
     """
     changes = lives(log)
     shown = log.references.where("property IS NOT NULL").select("object_id", "id", "timestamp")
@@ -81,47 +85,81 @@ def replay_counts(log: DeltaLog, times: DataFrame) -> DataFrame:
     return run.where("asked = 1").select("object_id", F.col("at").alias("timestamp"), "n").distinct()
 
 
+def timeline_of(edges: list[tuple[str, str, int]]) -> dict[str, list[tuple[int, bool]]]:
+    """Of each target of (negator, target, time): when it becomes retracted (True) or live again (False).
+
+    At each time only what lies below the new retractions is decided anew. What has a cycle, or hangs on one, counts as live.
+    """
+    by: dict[str, set[str]] = defaultdict(set)
+    of: dict[str, set[str]] = defaultdict(set)
+    state: dict[str, bool | None] = {}
+    out: dict[str, list[tuple[int, bool]]] = defaultdict(list)
+    for at, new in itertools.groupby(sorted(edges, key=lambda e: e[2]), key=lambda e: e[2]):
+        below = set()
+        for negator, target, _ in new:
+            by[target].add(negator)
+            of[negator].add(target)
+            below.add(target)
+        todo = list(below)
+        while todo:
+            for t in of.get(todo.pop(), ()):
+                if t not in below:
+                    below.add(t)
+                    todo.append(t)
+        was = {t: state.get(t) is True for t in below}
+        state.update(dict.fromkeys(below))
+        # retractions that may still be live: not those known to be retracted
+        left = {t: sum(n in below or state.get(n) is not True for n in by[t]) for t in below}
+        sure = {n for t in below for n in by[t] if n not in below and state.get(n, False) is False}
+        free = [t for t in below if not left[t]]
+        state.update(dict.fromkeys(free, False))
+        ready = deque((n, True) for n in (*sure, *free))
+        while ready:
+            node, live_ = ready.popleft()
+            for t in of.get(node, ()):
+                if t in below and state[t] is None:
+                    left[t] -= not live_
+                    if live_ or not left[t]:
+                        state[t] = live_
+                        ready.append((t, not live_))
+        for t in below:
+            if (state[t] is True) != was[t]:
+                out[t].append((at, state[t] is True))
+    return out
+
+
 def lives(log: DeltaLog) -> DataFrame:
     """(id, changes): of each delta that some retraction targets, when it appears (by = 1) and goes (by = -1) again.
 
-    Over the chains below a delta: at most as many changes as its retractions and theirs have times.
+    A delta whose retractions are not retracted themselves goes with the first of them. The others are gone through in the order of
+    time, each component of retractions in one task, however deep it is; what has a cycle at a time is live then.
     """
-    edges = log.negations.select("negator_id", "target_id", "timestamp")
-    edges = cut(edges)
-    depth, layer = [], edges.select(F.col("target_id").alias("root"), "negator_id", "target_id", "timestamp")
-    while not layer.isEmpty():
-        if len(depth) >= 64:
-            raise ValueError("retractions of retractions go deeper than 64, or in a circle")
-        depth.append(layer)
-        deeper = edges.withColumnsRenamed({"negator_id": "n2", "target_id": "negator_id", "timestamp": "t2"})
-        layer = cut(layer.join(deeper, "negator_id").select("root", F.col("n2").alias("negator_id"), F.col("negator_id").alias("target_id"), F.col("t2").alias("timestamp")))
-    if not depth:
-        return log.deltas.select("id", F.lit(None).cast("array<struct<at:long,by:int>>").alias("changes")).limit(0)
-    every = depth[0]
-    for d in depth[1:]:
-        every = every.unionAll(d)
-    groups = every.distinct().groupBy("root").agg(F.collect_set(F.struct("negator_id", "target_id", "timestamp")).alias("edges"))
-    rooted = groups.join(log.deltas.select(F.col("id").alias("root"), F.col("timestamp").alias("born")), "root")
-
-    def run(batches):
-        import pandas as pd
-
-        from .negation import solve
-
-        for b in batches:
-            rows = []
-            for root, born, es in zip(b["root"], b["born"], b["edges"]):
-                es = [(e["negator_id"], e["target_id"], e["timestamp"]) for e in es]
-                shows, changes = False, []
-                for at in sorted({born, *(max(born, t) for _, _, t in es)}):
-                    now = solve([(n, t) for n, t, when in es if when <= at]).get(root) is not True
-                    if now != shows:
-                        changes.append({"at": int(at), "by": 1 if now else -1})
-                        shows = now
-                rows.append((root, changes))
-            yield pd.DataFrame(rows, columns=["id", "changes"])
-
-    return rooted.mapInPandas(run, "id string, changes array<struct<at:long,by:int>>")
+    edges = cut(log.negations.select("negator_id", "target_id", "timestamp").distinct())
+    targets = edges.select(F.col("target_id").alias("negator_id")).distinct()
+    deep = cut(edges.join(targets, "negator_id", "left_semi").select("target_id").distinct())  # retracted by what is retracted
+    born = log.deltas.select(F.col("id").alias("target_id"), F.col("timestamp").alias("born"))
+    change = lambda at, by: F.struct(at.alias("at"), F.lit(by).alias("by"))
+    none = F.array().cast("array<struct<at:long,by:int>>")
+    first = edges.join(deep, "target_id", "left_anti").groupBy("target_id").agg(F.min("timestamp").alias("gone")).join(born, "target_id")
+    plain = first.select(F.col("target_id").alias("id"), F.when(F.col("gone") > F.col("born"), F.array(change(F.col("born"), 1), change(F.col("gone"), -1))).otherwise(none).alias("changes"))
+    # the retractions of these, and all that these hang on: what retracts a retraction of theirs, and so on up
+    chain = edges.join(deep, "target_id", "left_semi")
+    upper = edges.join(chain.select(F.col("negator_id").alias("target_id")).distinct(), "target_id", "left_semi")
+    small, large = by_component(cut(chain.unionAll(upper).distinct()), ONE_TASK)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in each_component(batches):
+            found = timeline_of(list(zip(rows["negator_id"], rows["target_id"], rows["timestamp"].tolist())))
+            yield pd.DataFrame([(t, [x for x, _ in c], [g for _, g in c]) for t, c in found.items()], columns=["target_id", "at", "gone"])
+
+    sorted_ = small.unionAll(large).repartition("component").sortWithinPartitions("component")
+    found = deep.join(sorted_.mapInPandas(run, "target_id string, at array<long>, gone array<boolean>"), "target_id", "left").join(born, "target_id")
+    # as of its birth, what came before has been settled; what never changes has no row
+    pairs = F.coalesce(F.arrays_zip("at", "gone"), F.array().cast("array<struct<at:long,gone:boolean>>"))
+    early = F.filter(pairs, lambda c: c["at"] <= F.col("born"))
+    start = F.when(F.coalesce(F.try_element_at(early, F.lit(-1))["gone"], F.lit(False)), none).otherwise(F.array(change(F.col("born"), 1)))
+    later = F.transform(F.filter(pairs, lambda c: c["at"] > F.col("born")), lambda c: F.struct(c["at"].alias("at"), F.when(c["gone"], -1).otherwise(1).alias("by")))
+    return plain.unionAll(found.select(F.col("target_id").alias("id"), F.concat(start, later).alias("changes")))
 
 
 def property_changes(log: DeltaLog, roots: Roots, property: str, value: Column) -> DataFrame:

@@ -79,3 +79,71 @@ def test_peel_agrees_with_one_task(spark, monkeypatch):
     one = sorted(map(tuple, negation.states(log).collect()), key=str)
     monkeypatch.setattr(negation, "ONE_TASK", 0)
     assert sorted(map(tuple, negation.states(log).collect()), key=str) == one
+
+
+def random_log(spark, seed, n=40, loops=True):
+    """Deltas and retractions at random times, of deltas, of retractions, and of each other in circles."""
+    rng = random.Random(seed)
+    edges = [(f"n{i}", rng.choice([f"d{rng.randrange(8)}", f"n{rng.randrange(n if loops else max(1, i))}"]), rng.randrange(1, 30) * 100) for i in range(n)]
+    edges += [("p", "q", 300), ("q", "p", 900), ("q", "d1", 1200)] if loops else []
+    ids = sorted({t for _, t, _ in edges if t.startswith("d")})
+    rows = [delta(i, rng.randrange(1, 20) * 100, "a", "s", [("name", ref(f"o{i[1:]}", "name"))]) for i in ids]
+    rows += [delta(a, max(t for n, _, t in edges if n == a), "a", "s", [("negates", ref(b, "negated_by")) for n, b, _ in edges if n == a]) for a in sorted({a for a, _, _ in edges})]
+    edges = [(a, b, max(t for n, _, t in edges if n == a)) for a, b, _ in edges]
+    return DeltaLog(frame(spark, rows)), edges
+
+
+@pytest.mark.parametrize("layers, one_task", [(1, 1000), (3, 1000), (3, 2), (1, 0)])
+def test_peel_components_and_solver_agree(spark, monkeypatch, layers, one_task):
+    """Whatever is settled by joins, by components, or by joins after the components are too large."""
+    monkeypatch.setattr(negation, "LAYERS", layers)
+    monkeypatch.setattr(negation, "ONE_TASK", one_task)
+    for seed in (1, 2):
+        log, edges = random_log(spark, seed)
+        want = negation.solve([(a, b) for a, b, _ in edges])
+        got = {r["target_id"]: None if r["undetermined"] else r["negated"] for r in negation._verdicts(negation._edges(log, None, None)).collect()}
+        assert got == want and None in want.values()
+        assert negated(log) == {t for t, s in want.items() if s}
+
+
+def test_the_log_is_scanned_by_all_its_tasks(spark, tmp_path):
+    """No plan brings the scan of the log down to one task, and the number of retractions changes nothing."""
+    log, _ = random_log(spark, 3)
+    log.deltas.repartition(6).write.parquet(str(tmp_path / "log"))
+    stored = DeltaLog(spark.read.parquet(str(tmp_path / "log")))
+    plan = stored.negations.distinct()._jdf.queryExecution().toString() + negation.live(stored).deltas._jdf.queryExecution().toString()
+    assert "Coalesce" not in plan and not any("coalesce(1)" in line for line in open(negation.__file__))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lives_are_the_states_as_of_each_time(spark, seed):
+    """Against solving the log anew as of each time, with circles and deep chains."""
+    from hyperdelta.operators import timetravel
+
+    log, edges = random_log(spark, seed, 25)
+    found = {r["id"]: [(c["at"], c["by"]) for c in r["changes"]] for r in timetravel.lives(log).collect()}
+    born = {r["id"]: r["timestamp"] for r in log.deltas.collect()}
+    assert found.keys() == {t for _, t, _ in edges} & born.keys()
+    for id, changes in found.items():
+        for at in sorted({t for _, _, t in edges} | {born[id]}):
+            shows = at >= born[id] and negation.solve([(a, b) for a, b, t in edges if t <= at]).get(id) is not True
+            assert sum(by for when, by in changes if when <= at) == shows
+
+
+def test_replay_counts_are_those_of_the_views(spark):
+    from hyperdelta.operators import timetravel
+
+    log, _ = random_log(spark, 9, 30)
+    times = spark.createDataFrame([(o["object_id"], t) for o in log.references.select("object_id").distinct().collect() for t in range(100, 3000, 700)], "object_id string, timestamp long")
+    got = {(r["object_id"], r["timestamp"]): r["n"] for r in timetravel.replay_counts(log, times).collect()}
+    for t in range(100, 3000, 700):
+        want = {r["object_id"]: r["count"] for r in timetravel.view_at(log, None, t).groupBy("object_id").count().collect()}
+        assert {o: n for (o, at), n in got.items() if at == t and n} == want
+
+
+def test_a_chain_of_hundreds(spark):
+    from hyperdelta.operators import timetravel
+
+    log = make(spark, ("c0", "d", 10), *[(f"c{i}", f"c{i - 1}", 10 + i) for i in range(1, 300)])
+    changes = {r["id"]: [(c["at"], c["by"]) for c in r["changes"]] for r in timetravel.lives(log).collect()}
+    assert changes["c298"] == [(308, 1), (309, -1)] and changes["d"] == [(1000, 1)] and len(changes["c0"]) == 300
