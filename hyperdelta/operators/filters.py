@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pointers as P
 from ..sources.log import DeltaLog
-from .negation import live
+from .negation import negated_ids
 
 #: Longer lists of ids are joined rather than written into the condition.
 INLINE = 1000
@@ -52,9 +52,12 @@ class DeltaFilter:
 
 def query(log: DeltaLog, where: DeltaFilter = DeltaFilter(), asof: int | None = None) -> DataFrame:
     """The matching deltas; without retracted ones, unless the filter includes them. Retractions are judged as of `asof`."""
-    kept = where.condition()
-    rows = log.until(asof)
-    return (rows if where.include_negated else live(log, asof)).deltas.where(kept)
+    kept, rows = where.condition(), log.until(asof)
+    if where.start is not None or where.end is not None:
+        rows = rows.between(where.start, where.end)
+    if not where.include_negated:  # which may come from outside the range
+        return rows.deltas.where(kept).join(negated_ids(log, asof), "id", "left_anti")
+    return rows.deltas.where(kept)
 
 
 def first(rows: DataFrame, limit: int | None) -> DataFrame:

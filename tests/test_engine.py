@@ -179,3 +179,50 @@ def test_schemas_in_the_log(spark):
     catalog = schemadata.Catalog(log)
     gone = DeltaLog(frame(spark, [*rows, delta("u", 50, "system", "x", [("negates", ref("k3", "negated_by"))])]))
     assert not catalog.changed(log, "s1") and catalog.changed(gone, "s1") and catalog.refresh(gone) == ["s1"] and catalog.registry["s1"].rules == {}
+
+
+def test_look_ups_read_only_what_the_index_names(spark, tmp_path):
+    """By target, context, author and system, over several days and batches; the plan reads the key's bucket and the days it names."""
+    store = Store(spark, str(tmp_path / "log"))
+    day = 86_400_000
+    rows = [delta(f"d{i}", day * (1 + i % 5) + i, f"a{i % 3}", f"s{i % 2}", [("x", ref(f"o{i % 7}", "p" if i % 2 else "q")), ("y", ref(f"o{i % 4}"))]) for i in range(60)]
+    store.append(frame(spark, rows[:30]))
+    store.append(frame(spark, rows[20:]))
+    every = {r["id"]: r for r in store.log().deltas.collect()}
+    assert len(every) == 60
+    refs = lambda r: {(p["ref_id"], p["ref_context"]) for p in r["pointers"]}
+    want = lambda test: {i for i, r in every.items() if test(r)}
+    assert {*ids(store.find(target=["o5"]))} == want(lambda r: any(o == "o5" for o, _ in refs(r)))
+    assert {*ids(store.find(target=["o1", "o6"], author=["a1"]))} == want(lambda r: r["author"] == "a1" and any(o in ("o1", "o6") for o, _ in refs(r)))
+    assert {*ids(store.find(context=["q"], system=["s0"], start=2 * day, end=3 * day))} == want(lambda r: r["system"] == "s0" and any(c == "q" for _, c in refs(r)) and 2 * day <= r["timestamp"] <= 3 * day)
+    assert ids(store.find(target=[])) == ids(store.find(target=["nothing"])) == [] and len(ids(store.find())) == 60
+    (only,) = {r["day"] for r in store.entries("target", ["o5"]).where("timestamp < 2 * 86400000").collect()}
+    plan = store.entries("target", ["o5"])._jdf.queryExecution().executedPlan().toString()
+    assert only == 1 and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        store.entries("colour", ["red"])
+    store.reindex()
+    assert len(ids(store.find(author=["a2"]))) == 20
+    store.clear()
+    assert ids(store.find(target=["o5"])) == [] and ids(store.log().deltas) == []
+
+
+def test_times_read_only_their_days(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "log"))
+    day = 86_400_000
+    store.append(frame(spark, [delta(f"d{i}", day * i + 5, "a", "s", [("x", ref("o", "p"))]) for i in range(1, 9)] + [delta("n", 7 * day, "a", "s", [("negates", ref("d2", "negated_by"))])]))
+    log = store.log()
+    assert ids(log.until(3 * day).deltas) == ["d1", "d2"] and ids(log.until(5 * day).until(3 * day).deltas) == ids(log.until(3 * day).until(5 * day).deltas)
+    assert "day" in log.until(3 * day).deltas._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert ids(filters.query(log, DeltaFilter(start=2 * day, end=4 * day))) == ["d3"] and ids(filters.query(log, DeltaFilter(start=2 * day, end=4 * day), 5 * day)) == ["d2", "d3"]
+    assert ids(filters.query(log, DeltaFilter(start=2 * day, end=4 * day, include_negated=True))) == ["d2", "d3"]
+    assert ids(hyperview.long_form(log, ["o"], 4 * day)) == ["d1", "d2", "d3"]
+
+
+def test_bad_lines_of_a_feed(spark):
+    good = to_feed(frame(spark, [delta("a", 1, "x", "s", [("r", 1), ("t", ref("o", "c"))])]))
+    lines = good.unionAll(spark.createDataFrame([("{not json",), (None,), ("[1]",), ("7",), ("",)], "value string"))
+    assert ids(from_feed(lines).where("id IS NOT NULL")) == ["a"] and from_feed(lines).count() == 1
+    from hyperdelta.sources.log import bad_lines
+
+    assert sorted(str(r["value"]) for r in bad_lines(lines).collect()) == ["", "7", "None", "[1]", "{not json"]
