@@ -57,7 +57,8 @@ def relationships_from(table: DataFrame, id: Column, one: tuple[str, Column, str
 
 
 def upsert(log: DeltaLog, changes: DataFrame, author: str, system: str, timestamp: int, strict: bool = False) -> DataFrame:
-    """Deltas that overwrite properties: retractions of what is live under them, and new deltas. changes: (object_id, property, value).
+    """Deltas that overwrite properties: retractions of what is live under them, and new deltas. changes: (object_id, property, value),
+    the value a string, a boolean, a number, or a struct (str, num, bool) of which one is set; without any, nothing new is written.
 
     strict: only deltas whose pointer has the property's name as its role too are retracted.
     """
@@ -68,9 +69,15 @@ def upsert(log: DeltaLog, changes: DataFrame, author: str, system: str, timestam
     gone = negations_of(old, author, system, F.lit(timestamp))
     role = F.regexp_replace("property", "^_", "")
     kind = dict(changes.dtypes)["value"]
-    own = {"text": F.col("value")} if kind == "string" else {"truth": F.col("value")} if kind == "boolean" else {"number": F.col("value")}
-    new = changes.where("value IS NOT NULL").select(
+    if kind.startswith("struct"):
+        made = [make(role, pos=1, text=F.col("value.str")), make(role, pos=1, number=F.col("value.num")), make(role, pos=1, truth=F.col("value.bool"))]
+        own = F.when(F.col("value.str").isNotNull(), made[0]).when(F.col("value.num").isNotNull(), made[1]).otherwise(made[2])
+        some = F.coalesce(F.col("value.str"), F.col("value.num").cast("string"), F.col("value.bool").cast("string")).isNotNull()
+    else:
+        own = make(role, pos=1, **({"text": F.col("value")} if kind == "string" else {"truth": F.col("value")} if kind == "boolean" else {"number": F.col("value")}))
+        some = F.col("value").isNotNull()
+    new = changes.where(some).select(
         F.concat_ws("/", F.lit("set"), "object_id", "property", F.lit(timestamp)).alias("id"), F.lit(timestamp).cast("long").alias("timestamp"), F.lit(author).alias("author"),
-        F.lit(system).alias("system"), F.monotonically_increasing_id().alias("seq"), F.array(make(role, ref_id=F.col("object_id"), context=F.col("property")), make(role, pos=1, **own)).alias("pointers"),
+        F.lit(system).alias("system"), F.monotonically_increasing_id().alias("seq"), F.array(make(role, ref_id=F.col("object_id"), context=F.col("property")), own).alias("pointers"),
     )
     return gone.unionByName(new)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from ..functions.pointers import value
+from ..functions.pointers import reference, value
 from ..model import COLUMNS
 from ..plans.schema import SELECTORS, HyperSchema, Registry, Rule, topological
 from ..sources.log import DeltaLog
@@ -58,7 +58,13 @@ def packed(long: DataFrame) -> DataFrame:
 
 
 def nested(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots = None, asof: int | None = None, negation: str = "full") -> DataFrame:
-    """(object_id, props) as packed(), with pointers opened by the schema's rules.
+    """(object_id, props) as packed(), of the rows of nested_long(): a row an object."""
+    return packed(nested_long(log, schema, registry, roots, asof, negation))
+
+
+def nested_long(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots = None, asof: int | None = None, negation: str = "full") -> DataFrame:
+    """The long form of the roots with pointers opened by the schema's rules. A row a delta, so an object may have any number of
+    referrers; only what is opened is packed.
 
     Each pointer has a field `view`, with a field for each role that opens one: the packed view of the object that it refers
     to, under the rule's schema. A pointer opens if its role has a rule for a schema, it is a reference, the rule's condition
@@ -83,8 +89,9 @@ def nested(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots:
             wanted[rule.schema] = referred if before is None else before.unionAll(referred)
     built: dict[str, DataFrame] = {}
     for s in order:
-        built[s.id] = packed(_opened(longs[s.id], s, built))
-    return built[top.id]
+        if s.id != top.id:
+            built[s.id] = packed(_opened(longs[s.id], s, built))
+    return _opened(longs[top.id], top, built)
 
 
 def _opens(role: str, rule: Rule, p: str = "p") -> Column:
@@ -168,3 +175,24 @@ def objects(log: DeltaLog, limit: int | None = 100) -> DataFrame:
     seen = live(log).references.groupBy("object_id").agg(F.min(F.struct("seq", "pos")).alias("f"))
     rows = seen.select("object_id", F.col("f.seq").alias("first_seq"), F.col("f.pos").alias("first_pos")).orderBy("first_seq", "first_pos")
     return rows.limit(limit) if limit else rows
+
+
+def hop(long: DataFrame, start: DataFrame, property: str, role: str, test: Column | None = None) -> DataFrame:
+    """(root, object_id): from what start (root, object_id) has reached on to what deltas under the property refer to in the role.
+
+    long: a long form, whose rows are judged by test, if given. A root that reaches an object twice has two rows.
+    """
+    rows = long.where(F.col("property") == property)
+    rows = rows if test is None else rows.where(test)
+    steps = rows.select("object_id", reference(role).alias("_to")).where("_to IS NOT NULL")
+    return start.join(steps, "object_id").select("root", F.col("_to").alias("object_id"))
+
+
+def having(long: DataFrame, start: DataFrame, property: str, test: Column) -> DataFrame:
+    """Of start (root, object_id) the rows whose object has a delta under the property for which the test holds."""
+    return start.join(long.where((F.col("property") == property) & test).select("object_id"), "object_id", "left_semi").select("root", "object_id")
+
+
+def starting(objects: DataFrame) -> DataFrame:
+    """(root, object_id) of objects (object_id), each its own root: where a traversal starts."""
+    return objects.select(F.col("object_id").alias("root"), "object_id").distinct()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from ..plans.schema import HyperSchema, Registry, Versions
+from ..model import frame
+from ..plans.schema import HyperSchema, Registry, Versions, depth
 from ..sources.log import DeltaLog
-from .hyperview import Roots, counts, long_form
+from .hyperview import Roots, long_form, nested_long, packed
 
 
 def metadata(log: DeltaLog, schema: HyperSchema, roots: Roots = None, asof: int | None = None) -> DataFrame:
@@ -57,46 +61,114 @@ def affected(log: DeltaLog, fresh: DataFrame, levels: int = 1) -> DataFrame:
     return objects
 
 
+#: Folders that a schema's stored views are dealt to, by object. Upkeep writes anew those of the objects that it touches.
+BUCKETS = 64
+
+
 class Views:
-    """Stored counts and metadata of views, a Parquet folder for each schema and generation; the latest generation counts."""
+    """Stored views: for each schema the long form with opened pointers and metadata columns, in Parquet by bucket of the object.
+
+    Nothing is kept in memory. Each write puts the buckets that it changes into a new generation's folder, and then a commit, a small
+    file that says in which generation each bucket is; the latest commit counts. So a reader sees one state or the next, a write that
+    fails leaves nothing behind that is read, of two writers at once one fails, and another session goes on from there.
+    """
 
     def __init__(self, spark: SparkSession, path: str, registry: Registry, versions: Versions) -> None:
         self.spark, self.path, self.registry, self.versions = spark, path, registry, versions
-        self._generation: dict[str, int] = {}
 
-    def _place(self, id: str) -> str:
-        return f"{self.path}/{id}/generation={self._generation[id]}"
+    # files
+
+    def _fs(self, below: str) -> tuple[Any, Any]:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}")
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+    def _commits(self, id: str) -> list[int]:
+        fs, path = self._fs(f"{id}/_commits")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _state(self, id: str) -> tuple[int, dict[str, int]]:
+        """The latest commit's number, and the generation of each bucket."""
+        commits = self._commits(id)
+        if not commits:
+            raise LookupError(f"No materialized view found for schema {id}")
+        fs, path = self._fs(f"{id}/_commits/{commits[-1]:010d}")
+        stream = fs.open(path)
+        try:
+            return commits[-1], json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, id: str, number: int, buckets: dict[str, int]) -> None:
+        fs, path = self._fs(f"{id}/_commits/{number:010d}")
+        stream = fs.create(path, False)  # fails if another writer has been here
+        stream.write(bytearray(json.dumps(buckets).encode()))
+        stream.close()
+
+    # views
 
     def materialize(self, log: DeltaLog, schema: HyperSchema | str) -> DataFrame:
-        """Builds and stores the views of all objects: (object_id, property, n) and metadata columns."""
+        """Builds and stores the views of all objects; their counts."""
         s = self.registry.resolve(schema)
         self.versions.register(s)
-        return self._store(s, self._rows(log, s, None))
+        commits = self._commits(s.id)
+        number = commits[-1] + 1 if commits else 1
+        self._commit(s.id, number, dict.fromkeys(self._write(s, number, self._rows(log, s, None)), number))
+        return self.get(s.id)
 
     def _rows(self, log: DeltaLog, s: HyperSchema, roots: Roots) -> DataFrame:
-        long = counts(long_form(log, roots, selector=s.selector))
-        return long.withColumns({"schema_id": F.lit(s.id), "schema_hash": F.lit(s.hash()), "schema_version": F.lit(s.version).cast("int")})
-
-    def _store(self, s: HyperSchema, rows: DataFrame) -> DataFrame:
-        generation = self._generation.get(s.id, 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{s.id}/generation={generation}")
-        self._generation[s.id] = generation
-        return self.get(s.id)
+        long = nested_long(log, s, self.registry, roots)
+        return long.withColumns({"schema_id": F.lit(s.id), "schema_hash": F.lit(s.hash()), "schema_version": F.lit(s.version).cast("int"), "bucket": _bucket()})
+
+    def _write(self, s: HyperSchema, number: int, rows: DataFrame) -> list[str]:
+        """The buckets that rows went to."""
+        # an object with many referrers is dealt out by delta as well
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "object_id", "property", "seq")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{s.id}/generation={number}")
+        fs, path = self._fs(f"{s.id}/generation={number}")
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return [n.removeprefix("bucket=") for n in names if n.startswith("bucket=")]
+
+    def rows(self, id: str, objects: list[str] | None = None) -> DataFrame:
+        """The stored long form with opened pointers, of all objects, or of some by reading their buckets alone."""
+        _, buckets = self._state(id)
+        if objects is not None:
+            of = self.spark.createDataFrame([(o,) for o in objects], "object_id string").select(_bucket().alias("b")).distinct()
+            wanted = {str(r["b"]) for r in of.collect()}  # at most BUCKETS rows
+            buckets = {b: g for b, g in buckets.items() if b in wanted}
+        root = f"{self.path}/{id}"
+        if not buckets:  # of a log without a delta that shows
+            s = self.registry.resolve(id)
+            return self._rows(DeltaLog(frame(self.spark, [])), s, None).drop("bucket")
+        out = self.spark.read.parquet(*(f"{root}/generation={g}/bucket={b}" for b, g in sorted(buckets.items())))
+        return out if objects is None else out.where(F.col("object_id").isin(objects))
 
     def get(self, id: str) -> DataFrame:
-        if id not in self._generation:
-            raise LookupError(f"No materialized view found for schema {id}")
-        return self.spark.read.parquet(self._place(id))
+        """(object_id, property, n) of the stored views and metadata columns."""
+        return self.rows(id).groupBy("object_id", "property", "schema_id", "schema_hash", "schema_version").agg(F.count(F.lit(1)).alias("n"))
+
+    def view(self, id: str, objects: list[str]) -> DataFrame:
+        """(object_id, props) of some stored views, as nested() gives them."""
+        return packed(self.rows(id, objects))
 
     def rebuild(self, log: DeltaLog, id: str) -> DataFrame:
-        self.get(id)
+        self._state(id)
         return self.materialize(log, id)
 
     def update(self, log: DeltaLog, id: str, fresh: DataFrame) -> DataFrame:
-        """The stored views, with those that the new deltas affect built anew and the others carried over."""
-        s, stored = self.registry.resolve(id), self.get(id)
-        roots = affected(log, fresh)
-        return self._store(s, stored.join(roots, "object_id", "left_anti").unionByName(self._rows(log, s, roots)))
+        """The stored views, with those that the new deltas affect built anew, objects that open them included, however deep. Buckets
+        without such an object stay as they are."""
+        s, (number, buckets) = self.registry.resolve(id), self._state(id)
+        roots = cut(affected(log, fresh, depth(s.id, self.registry)))
+        touched = {str(r["b"]) for r in roots.select(_bucket().alias("b")).distinct().collect()}  # at most BUCKETS rows
+        rows = self._rows(log, s, roots)
+        old = [f"{self.path}/{id}/generation={g}/bucket={b}" for b, g in sorted(buckets.items()) if b in touched]
+        if old:
+            stored = self.spark.read.parquet(*old).join(roots, "object_id", "left_anti").withColumn("bucket", _bucket())
+            rows = rows.unionByName(stored)
+        written = self._write(s, number + 1, rows) if touched else []
+        self._commit(id, number + 1, {b: g for b, g in buckets.items() if b not in touched} | dict.fromkeys(written, number + 1))
+        return self.get(id)
 
     def is_outdated(self, id: str) -> bool:
         """Whether the schema is gone or has changed since; new deltas do not count."""
@@ -106,7 +178,26 @@ class Views:
         return not outdated(self.get(id), self.versions).isEmpty()
 
     def invalidate(self, id: str) -> None:
-        self._generation.pop(id, None)
+        """Forgets the stored views: there are none until they are built again. Files that a reader may be at stay until vacuum()."""
+        commits = self._commits(id)
+        for n in commits:
+            fs, path = self._fs(f"{id}/_commits/{n:010d}")
+            fs.delete(path, False)
+
+    def vacuum(self, id: str) -> list[int]:
+        """Deletes the generations that the latest commit does not name; which."""
+        commits = self._commits(id)
+        named = set(self._state(id)[1].values()) if commits else set()
+        fs, path = self._fs(id)
+        found = [int(n.removeprefix("generation=")) for n in (f.getPath().getName() for f in fs.listStatus(path)) if n.startswith("generation=")] if fs.exists(path) else []
+        gone = sorted(set(found) - named)
+        for g in gone:
+            fs.delete(self._fs(f"{id}/generation={g}")[1], True)
+        return gone
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("object_id"), F.lit(BUCKETS)).cast("int")
 
 
 def stats(log: DeltaLog) -> DataFrame:

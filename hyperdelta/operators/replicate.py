@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..model import COLUMNS
-from ..sources.log import DeltaLog
+from ..sources.log import DeltaLog, Store
 from .filters import DeltaFilter
 
 
@@ -92,3 +93,72 @@ def link_stats(deltas: DataFrame, *policies: Trust, by: str = "system") -> DataF
     """(by, received, accepted, rejected) of arrivals."""
     ok = combined(*policies)
     return deltas.groupBy(by).agg(F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+
+
+@dataclass
+class Link:
+    """One store's side of an exchange with another. mode: 'push' sends, 'pull' fetches, 'bidirectional' does both. trust judges what
+    comes in, filters what goes out and what comes in alike. A link is open until close()."""
+
+    here: Store
+    there: Store
+    here_system: str
+    there_system: str
+    mode: str = "bidirectional"
+    trust: tuple[Trust, ...] = (PERMISSIVE,)
+    where: DeltaFilter | None = None
+    is_open: bool = True
+
+    def close(self) -> None:
+        self.is_open = False
+
+    def sync(self) -> dict[str, int]:
+        """One exchange; how many deltas were sent, received and rejected. Doing it again changes nothing."""
+        if not self.is_open:
+            raise RuntimeError("the link is closed")
+        if self.mode not in ("push", "pull", "bidirectional"):
+            raise ValueError(f"mode {self.mode!r}")
+        nothing = {"sent": 0, "rejected": 0}
+        pulled = replicate(self.there, self.here, *self.trust, where=self.where, to_system=self.here_system) if self.mode != "push" else nothing
+        pushed = replicate(self.here, self.there, where=self.where, to_system=self.there_system) if self.mode != "pull" else nothing
+        return {"sent": pushed["sent"], "received": pulled["sent"], "rejected": pulled["rejected"]}
+
+
+def replicate(source: Store, target: Store, *policies: Trust, where: DeltaFilter | None = None, to_system: str | None = None, audit: str | None = None) -> dict[str, Any]:
+    """Appends to the target what it lacks of the source's deltas that the filter lets through and all policies trust; not what the
+    target's own system made. Retractions go along as deltas. Gives the counts, and adds them as a row to the table at `audit`."""
+    rows = sync_set(source.log(), where)
+    if to_system is not None:
+        rows = rows.where(F.col("system") != to_system)
+    lacking = cut(rows.join(target.read().select("id"), "id", "left_anti").select(*COLUMNS).withColumn("_ok", combined(*policies)))
+    n = lacking.agg(F.count_if("_ok").alias("sent"), F.count_if(~F.col("_ok")).alias("rejected"), F.max("timestamp").alias("latest")).first().asDict()
+    if n["sent"]:
+        target.append(lacking.where("_ok").drop("_ok"))
+    if audit is not None:
+        spark = lacking.sparkSession
+        row = spark.createDataFrame([(source.path, target.path, n["sent"], n["rejected"], n["latest"])], "source string, target string, sent long, rejected long, latest long")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(audit)
+    return n
+
+
+class Links:
+    """Links by name: opened, closed, run together."""
+
+    def __init__(self) -> None:
+        self._all: dict[str, Link] = {}
+
+    def open(self, name: str, link: Link) -> Link:
+        if name in self._all and self._all[name].is_open:
+            raise ValueError(f"{name!r} is open")
+        self._all[name] = link
+        return link
+
+    def close(self, name: str) -> None:
+        self._all[name].close()
+
+    def names(self) -> list[str]:
+        return sorted(n for n, link in self._all.items() if link.is_open)
+
+    def sync(self) -> dict[str, dict[str, int]]:
+        """One exchange of each open link, by name."""
+        return {name: self._all[name].sync() for name in self.names()}

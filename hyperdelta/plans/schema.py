@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pointers import PRIMITIVES
@@ -154,12 +154,20 @@ def dependents(id: str, registry: dict[str, HyperSchema]) -> list[str]:
 def depth(id: str, registry: dict[str, HyperSchema]) -> int:
     """Levels of views inside each other: 1 for a schema that opens no other. What leads back counts nothing."""
 
-    def below(id: str, above: frozenset[str]) -> int:
-        if id in above or id not in registry:
-            return 0
-        return 1 + max((below(r.schema, above | {id}) for r in registry[id].nested.values()), default=0)
+    if id not in registry:
+        return 0
+    if cycle(id, registry):  # rare, and wrong: by each path
 
-    return below(id, frozenset())
+        def below(id: str, above: frozenset[str]) -> int:
+            if id in above or id not in registry:
+                return 0
+            return 1 + max((below(r.schema, above | {id}) for r in registry[id].nested.values()), default=0)
+
+        return below(id, frozenset())
+    levels: dict[str, int] = {}
+    for s in topological(registry, [id]):  # each schema once, however many paths lead to it
+        levels[s.id] = 1 + max((levels.get(r.schema, 0) for r in s.nested.values()), default=0)
+    return levels[id]
 
 
 def topological(registry: dict[str, HyperSchema], roots: list[str] | None = None) -> list[HyperSchema]:
@@ -203,6 +211,19 @@ class Versions:
     def latest(self, id: str) -> tuple[str, int | None] | None:
         return (self._all.get(id) or [None])[-1]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(schema_id, place, hash, version) of all, to be stored."""
+        rows = [(id, i, hash, version) for id, known in self._all.items() for i, (hash, version) in enumerate(known)]
+        return spark.createDataFrame(rows, "schema_id string, place int, hash string, version int")
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Versions:
+        """Those of a stored table, a row a version of a schema."""
+        out = cls()
+        for r in table.orderBy("schema_id", "place").collect():
+            out._all.setdefault(r["schema_id"], []).append((r["hash"], r["version"]))
+        return out
+
     def outdated(self, id: str, hash: str, version: int | None = None) -> bool:
         """Whether something made by that hash or version is behind the current one. What was never registered is not."""
         current = self.latest(id)
@@ -211,8 +232,3 @@ class Versions:
         if version is not None and current[1] is not None:
             return version < current[1]
         return hash != current[0]
-
-
-def dependency_table(spark_frame: DataFrame) -> DataFrame:
-    """(schema_id, role, target) of rules kept as rows (schema_id, role, target) whose target is a schema: those that are not primitive types."""
-    return spark_frame.where(~F.col("target").isin(list(PRIMITIVES)))

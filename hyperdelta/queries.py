@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import service
-from .checkpoints import shared_folder
+from .checkpoints import cut, shared_folder
 from .functions import pointers as P
 from .model import delta, frame, ref
 from .operators import authoring, discovery, filters, hyperview, materialize, negation, replicate, timetravel, view
@@ -18,7 +18,7 @@ from .operators.replicate import Trust
 from .plans import schemadata
 from .plans.schema import HyperSchema, Registry, Rule, Versions
 from .sources import bridge
-from .sources.log import DeltaLog, from_feed, to_feed
+from .sources.log import DeltaLog, Store, bad_lines, from_feed, to_feed
 from .streaming import subscribe as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,9 +339,9 @@ def view_wide_multi(spark, sf_dir):
     return view.resolve(_views(spark, sf_dir), schema).withColumn("mean_view", F.round("mean_view", 9))
 
 
-@query()
+@query(_EACH.format("round(median(value), 9)"))
 def custom_strategy(spark, sf_dir):
-    return view.resolve_each(_views(spark, sf_dir), P.number("value"), view.custom(lambda v: F.percentile_approx(v, 0.5)))
+    return view.resolve_each(_views(spark, sf_dir), P.number("value"), view.custom(F.median)).withColumn("value", F.round("value", 9))
 
 
 @query(f"{LIVE} SELECT id, value, k FROM mine")
@@ -382,7 +382,7 @@ def _opened(props: str, link: str) -> str:
 
 
 def _text(props: str, name: str) -> str:
-    return f"get(filter(get({props}['{name}'], 0).pointers, p -> p.role = '{name}'), 0).str"
+    return f"get(filter(get({props}['{name}'], 0).pointers, p -> p.role = '{name}' AND p.kind = 'str'), 0).str"
 
 
 @query("SELECT 'orders/' || o_orderkey AS object_id, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
@@ -394,21 +394,11 @@ def nested_order_customer(spark, sf_dir):
     return made.select("object_id", F.expr(_opened("props", "customer")).alias("c")).select("object_id", F.expr(_text("c.props", "c_name")).alias("customer"))
 
 
-@query("""SELECT 'orders/' || o_orderkey AS object_id, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 10 = 0""")
-def nested_depth3(spark, sf_dir):
-    return _depth3(spark, sf_dir, "cast(split(object_id, '/')[1] AS LONG) % 10 = 0")
-
-
 @query("""SELECT 'orders/' || o_orderkey AS object_id, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def nested_depth3_all(spark, sf_dir):
-    return _depth3(spark, sf_dir, "true")
-
-
-def _depth3(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "orders", "customer", "nation", "region")
-    roots = log.references.where(f"property = 'customer' AND {which}").select("object_id")
+    roots = log.references.where("property = 'customer'").select("object_id")
     made = hyperview.nested(log, ORDER, _registry(ORDER, CUSTOMER, NATION, REGION), roots, negation="none")
     step = made.select("object_id", F.expr(_opened("props", "customer")).alias("c"))
     step = step.select("object_id", F.expr(_text("c.props", "c_name")).alias("customer"), F.expr(_opened("c.props", "nation")).alias("n"))
@@ -416,25 +406,87 @@ def _depth3(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return step.select("object_id", "customer", "nation", F.expr(_text("r.props", "r_name")).alias("region"))
 
 
-@query("SELECT 'customer/' || c_custkey AS object_id, count(o_orderkey)::BIGINT AS opened, 1::BIGINT AS guarded FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 300 GROUP BY ALL")
-def nested_self_guard(spark, sf_dir):
-    return _self_guard(spark, sf_dir, "cast(split(object_id, '/')[1] AS LONG) <= 300")
-
-
 @query("SELECT 'customer/' || c_custkey AS object_id, count(o_orderkey)::BIGINT AS opened, 1::BIGINT AS guarded FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
 def nested_self_guard_all(spark, sf_dir):
-    return _self_guard(spark, sf_dir, "true")
-
-
-def _self_guard(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "orders", "customer")
     leaf, top = HyperSchema("leaf", "Leaf"), HyperSchema("top", "Top", {"child": Rule("leaf")})
-    roots = log.references.where(f"property = 'c_name' AND {which}").select("object_id")
+    roots = log.references.where("property = 'c_name'").select("object_id")
     made = hyperview.nested(log, top, _registry(leaf, top), roots, negation="none")
     flat = made.select("object_id", F.explode(F.flatten(F.map_values("props"))).alias("d")).select("object_id", F.explode("d.pointers").alias("p")).where("p.role = 'child'")
     return flat.groupBy("object_id").agg(F.count("p.view.child").alias("opened"), F.count_if(F.col("p.view.child").isNull()).alias("guarded"))
 
 
+def _retracted(log: DeltaLog) -> DeltaLog:
+    """The log with retractions of every third order's link to its customer, every second of these retracted in turn; of every fifth
+    customer's name, every second retracted too; and of every fourth customer's link to its nation."""
+    key = F.element_at(F.split("id", "/"), 2).cast("long")
+
+    def gone(like: str, modulus: int, rest: int, name: str, target: str = "", at: int = 1) -> DataFrame:
+        ids = log.deltas.where(F.col("id").like(like)).where(key % modulus == rest).select("id", key.alias("k"))
+        row = bridge.delta(F.concat(F.lit(name), "id"), F.lit(9_000_000_000_000 + at), F.lit("a"), F.lit("s"), F.col("k") + (40 + at) * bridge.SEQ_STEP, P.make("negates", ref_id=F.concat(F.lit(target), "id"), context="negated_by"))
+        return ids.select(F.inline(F.array(row)))
+
+    parts = [gone("orders/%/customer", 3, 0, "n1/"), gone("orders/%/customer", 6, 0, "n2/", "n1/", 2), gone("customer/%/c_name", 5, 0, "n3/", at=3), gone("customer/%/c_name", 10, 0, "n4/", "n3/", 4), gone("customer/%/nation", 4, 1, "n5/", at=5)]
+    out = log.deltas
+    for part in parts:
+        out = out.unionByName(part)
+    return DeltaLog(out)
+
+
+@query("""SELECT 'orders/' || o_orderkey AS object_id, CASE WHEN (o_orderkey % 3 <> 0 OR o_orderkey % 6 = 0) AND (c_custkey % 5 <> 0 OR c_custkey % 10 = 0) THEN c_name END AS customer,
+CASE WHEN (o_orderkey % 3 <> 0 OR o_orderkey % 6 = 0) AND c_custkey % 4 <> 1 THEN n_name END AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def nested_retracted(spark, sf_dir):
+    """Views in views over a log with retractions and retractions of retractions at each level."""
+    log = _retracted(bridge.relational(spark, sf_dir, "orders", "customer", "nation"))
+    nation = HyperSchema("nation", "Nation", {"n_name": Rule("string")}, properties=("n_name",))
+    roots = log.references.where("property = 'o_totalprice'").select("object_id")
+    made = hyperview.nested(log, ORDER, _registry(ORDER, CUSTOMER, nation), roots)
+    step = made.select("object_id", F.expr(_opened("props", "customer")).alias("c"))
+    step = step.select("object_id", F.expr(_text("c.props", "c_name")).alias("customer"), F.expr(_opened("c.props", "nation")).alias("n"))
+    return step.select("object_id", "customer", F.expr(_text("n.props", "n_name")).alias("nation"))
+
+
+def _customer_views(spark: SparkSession, place: str) -> materialize.Views:
+    """A session of its own: nothing known but where the views are, and the schemas."""
+    nation = HyperSchema("nation", "Nation", {"n_name": Rule("string")}, properties=("n_name",))
+    return materialize.Views(spark, f"{place}/views", _registry(CUSTOMER, nation), Versions())
+
+
+def _customers(rows: DataFrame) -> DataFrame:
+    step = hyperview.packed(rows).select("object_id", F.expr(_text("props", "c_name")).alias("customer"), F.expr(_opened("props", "nation")).alias("n"))
+    return step.select("object_id", "customer", F.expr(_text("n.props", "n_name")).alias("nation")).where("customer IS NOT NULL")
+
+
+@query("SELECT 'customer/' || c_custkey AS object_id, c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def materialized_nested(spark, sf_dir):
+    """Stored views with the views inside them, read by a session that did not build them."""
+    place = _shared(spark)
+    _customer_views(spark, place).materialize(bridge.relational(spark, sf_dir, "customer", "nation"), "customer")
+    return _customers(_customer_views(spark, place).rows("customer"))
+
+
+@query("SELECT 'customer/' || c_custkey AS object_id, c_name AS customer, n_name || '!' AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def affected_nested(spark, sf_dir):
+    """Stored views after the objects inside them have changed: every nation is renamed, and another session updates the views."""
+    place, log = _shared(spark), bridge.relational(spark, sf_dir, "customer", "nation")
+    _customer_views(spark, place).materialize(log, "customer")
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(bridge.named("nation/", F.col("n_nationkey")).alias("object_id"), F.lit("n_name").alias("property"), F.concat("n_name", F.lit("!")).alias("value"))
+    fresh = cut(authoring.upsert(log, names, "a", "s", 9_000_000_000_000).withColumn("seq", F.col("seq") + 90 * bridge.SEQ_STEP))
+    views = _customer_views(spark, place)
+    views.update(DeltaLog(log.deltas.unionByName(fresh)), "customer", fresh.select("id"))
+    return _customers(views.rows("customer"))
+
+
+@query(f"{LIVE} SELECT object_id, property, count(*)::BIGINT AS n, 'events' AS schema_id, 1 AS schema_version FROM shown GROUP BY ALL")
+def view_after_restart(spark, sf_dir):
+    """Counts of stored views, read, and built again, by sessions that did not build them first."""
+    place, log = _shared(spark), _log(spark, sf_dir)
+    session = lambda: materialize.Views(spark, f"{place}/views", _registry(EVENT_SCHEMA), Versions())
+    session().materialize(log, "events")
+    session().rebuild(log, "events")
+    return session().get("events").select("object_id", "property", "n", "schema_id", "schema_version")
+
+
 @query("SELECT 'customer/' || o_custkey AS object_id, count(*)::BIGINT AS orders FROM orders GROUP BY ALL")
 def relationship_inverse(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -615,21 +667,11 @@ def wide_to_deltas(spark, sf_dir):
     return made.select("id", F.expr("get(pointers, 1).role").alias("role"), F.expr("get(pointers, 1).str").alias("text"), F.expr("get(pointers, 1).num").alias("num"))
 
 
-@query("""SELECT 'neg/customer/' || c_custkey || '/c_acctbal' AS id, 'negates' AS role, NULL::DOUBLE AS value FROM customer WHERE c_custkey % 7 = 0
-UNION ALL SELECT 'set/customer/' || c_custkey || '/c_acctbal/9', 'c_acctbal', round(c_acctbal * 2, 6) FROM customer WHERE c_custkey % 7 = 0""")
-def upsert_negations(spark, sf_dir):
-    return _upserts(spark, sf_dir, "c_custkey % 7 = 0")
-
-
 @query("""SELECT 'neg/customer/' || c_custkey || '/c_acctbal' AS id, 'negates' AS role, NULL::DOUBLE AS value FROM customer
 UNION ALL SELECT 'set/customer/' || c_custkey || '/c_acctbal/9', 'c_acctbal', round(c_acctbal * 2, 6) FROM customer""")
 def upsert_negations_all(spark, sf_dir):
-    return _upserts(spark, sf_dir, "true")
-
-
-def _upserts(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     log = bridge.relational(spark, sf_dir, "customer")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where(which)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     changes = rows.select(bridge.named("customer/", F.col("c_custkey")).alias("object_id"), F.lit("c_acctbal").alias("property"), F.round(F.col("c_acctbal") * 2, 6).alias("value"))
     made = authoring.upsert(log, changes, "a", "s", 9)
     last = F.element_at("pointers", -1)
@@ -827,13 +869,42 @@ def traversal_pipeline(spark, sf_dir):
     """Select roots by a property, go on to what they refer to, filter there, go on, resolve, count."""
     log = bridge.relational(spark, sf_dir, "orders", "customer", "nation")
     long = hyperview.long_form(log, negation="none")
-    orders = long.where(F.col("property") == "o_totalprice").where(P.number("o_totalprice").between(50000, 90000)).select("object_id")
-    hop = long.where("property = 'customer'").join(orders, "object_id", "left_semi").select("object_id", P.reference("customer").alias("to"))
-    building = long.where("property = 'c_mktsegment'").where(P.primitive("c_mktsegment") == "BUILDING").select(F.col("object_id").alias("to"))
-    nations = long.where("property = 'nation'").select(F.col("object_id").alias("to"), P.reference("nation").alias("nation_id"))
-    names = view.resolve(long, view.simple({"n_name": P.primitive("n_name")})).select(F.col("object_id").alias("nation_id"), F.col("n_name").alias("nation"))
-    found = hop.join(building, "to", "left_semi").join(nations, "to").groupBy("nation_id").agg(F.count(F.lit(1)).alias("orders"))
-    return found.join(names, "nation_id").select("nation", "orders")
+    orders = hyperview.starting(long.where(F.col("property") == "o_totalprice").where(P.number("o_totalprice").between(50000, 90000)))
+    customers = hyperview.hop(long, orders, "customer", "customer")
+    building = hyperview.having(long, customers, "c_mktsegment", P.primitive("c_mktsegment") == "BUILDING")
+    found = hyperview.hop(long, building, "nation", "nation").groupBy("object_id").agg(F.count(F.lit(1)).alias("orders"))
+    names = view.resolve(long, view.simple({"n_name": P.primitive("n_name")})).withColumnRenamed("n_name", "nation")
+    return found.join(names, "object_id").select("nation", "orders")
+
+
+@query(f"""WITH {EVENTS} SELECT id, timestamp FROM evt WHERE object_id IN (SELECT object_id FROM evt WHERE event_id % 50 = 7) AND author IN ('agent_1', 'agent_2') AND timestamp BETWEEN {A} AND {B}""")
+def index_lookup(spark, sf_dir):
+    """By the store's index: targets and authors in a range of time."""
+    store = Store(spark, f"{_shared(spark)}/log")
+    store.append(_log(spark, sf_dir).deltas)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 = 7").select(bridge.named("user/", F.col("user_id")).alias("u")).distinct()
+    return store.find(A, B, target=[r["u"] for r in users.collect()], author=["agent_1", "agent_2"]).select("id", "timestamp")
+
+
+@query(f"WITH {EVENTS} SELECT id, timestamp FROM dlog WHERE author <> 'agent_3' AND (system = 'node_0' OR timestamp >= {B})")
+def replicated(spark, sf_dir):
+    """Two stores after an exchange by a policy and a filter, over what one of them had; a second exchange adds nothing."""
+    place, log = _shared(spark), _log(spark, sf_dir)
+    source, target = (Store(spark, f"{place}/{n}") for n in ("source", "target"))
+    source.append(log.deltas)
+    target.append(log.deltas.where("author <> 'agent_3' AND system = 'node_0'"))
+    for _ in range(2):
+        replicate.replicate(source, target, Trust(condition="author <> 'agent_3'"), where=DeltaFilter(start=B), audit=f"{place}/audit")
+    return target.read().select("id", "timestamp")
+
+
+@query("SELECT 'not json ' || event_id AS value FROM events WHERE event_id % 3 = 0")
+def feed_quarantine(spark, sf_dir):
+    """The lines of a feed that are no deltas; the others are read all the same."""
+    log = bridge.events(spark, sf_dir, retractions=False)
+    broken = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0").select(F.concat(F.lit("not json "), F.col("event_id")).alias("value"))
+    lines = to_feed(log.deltas).unionAll(broken)
+    return bad_lines(lines).unionAll(from_feed(lines).where("id IS NULL").select(F.col("id").alias("value")))
 
 
 @query(f"{LIVE} SELECT object_id, property, count(*)::BIGINT AS n FROM shown WHERE object_id IN ('user/1', 'user/2', 'evt/6') GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
@@ -29,10 +29,16 @@ class Config:
     path: str
     system: str = "local"
     validate_schemas: bool = False
+    use_index: bool = True  # look up targets, contexts and authors by the store's index
 
     @classmethod
     def from_env(cls) -> Config:
-        return cls(os.environ.get("HYPERDELTA_PATH", "deltas"), os.environ.get("HYPERDELTA_SYSTEM", "local"), os.environ.get("HYPERDELTA_VALIDATE", "") == "1")
+        env = os.environ.get
+        return cls(env("HYPERDELTA_PATH", "deltas"), env("HYPERDELTA_SYSTEM", "local"), env("HYPERDELTA_VALIDATE", "") == "1", env("HYPERDELTA_INDEX", "1") == "1")
+
+
+#: A named query of the user's: the service and its arguments in, plain values out.
+Resolver = Callable[..., Any]
 
 
 class Service:
@@ -42,6 +48,21 @@ class Service:
         self.spark, self.config, self.store = spark, config, Store(spark, config.path)
         self.registry, self.versions = Registry(), Versions()
         self._snapshots: dict[str, str] = {}
+        self.resolvers: dict[str, Resolver] = {}
+
+    def add_resolver(self, name: str, resolver: Resolver) -> None:
+        """A query of the user's own under a name, to be called like the service's."""
+        if hasattr(type(self), name):
+            raise ValueError(f"{name!r} is one of the service's own calls")
+        self.resolvers[name] = resolver
+
+    def call(self, name: str, **arguments: Any) -> Any:
+        """A call by its name: the service's own or a user's."""
+        if name in self.resolvers:
+            return self.resolvers[name](self, **arguments)
+        if name.startswith("_") or not callable(getattr(type(self), name, None)):
+            raise LookupError(f"no call {name!r}")
+        return getattr(self, name)(**arguments)
 
     @property
     def log(self) -> DeltaLog:
@@ -79,9 +100,17 @@ class Service:
     def negate_delta(self, author: str, target_id: str, reason: str | None = None, timestamp: int | None = None) -> dict[str, Any]:
         return self._persist([authoring.negate(author, self.config.system, target_id, reason, timestamp=timestamp)])[0]
 
-    def update_object(self, author: str, object_id: str, properties: dict[str, str], timestamp: int) -> int:
-        """Retracts what is live under the properties, and writes the new values; how many deltas that took."""
-        changes = self.spark.createDataFrame([(object_id, k, v) for k, v in properties.items()], "object_id string, property string, value string")
+    def update_object(self, author: str, object_id: str, properties: dict[str, str | float | bool | None], timestamp: int) -> int:
+        """Retracts what is live under the properties, and writes the new values, each of its kind; how many deltas that took. None
+        writes nothing in place of what is retracted."""
+
+        def tagged(v: str | float | bool | None) -> tuple[str | None, float | None, bool | None]:
+            if isinstance(v, bool):
+                return None, None, v
+            return (None, float(v), None) if isinstance(v, (int, float)) else (v, None, None)
+
+        rows = [(object_id, k, tagged(v)) for k, v in properties.items()]
+        changes = self.spark.createDataFrame(rows, "object_id string, property string, value struct<str:string,num:double,bool:boolean>")
         made = authoring.upsert(self.log, changes, author, self.config.system, timestamp).collect()
         self._persist([tuple(r) for r in made])
         return len(made)
@@ -98,7 +127,16 @@ class Service:
 
     def query_deltas(self, asof: int | None = None, **query: Any) -> dict[str, Any]:
         """The deltas, at most `limit` of them, and how many there are without the limit."""
-        rows = filters.query(self.log, self._filter(query), asof)
+        where = self._filter(query)
+        log = self.log
+        if self.config.use_index and (where.target_ids is not None or where.target_contexts is not None or where.authors is not None):
+            end = asof if where.end is None else where.end if asof is None else min(asof, where.end)
+            hits = self.store.find(where.start, end, target=where.target_ids, context=where.target_contexts, author=where.authors)
+            rows = hits.where(where.condition())
+            if not where.include_negated:
+                rows = rows.join(negation.negated_ids(log, asof), "id", "left_anti")
+        else:
+            rows = filters.query(log, where, asof)
         return {"count": rows.count(), "deltas": [as_json(r) for r in filters.first(rows, query.get("limit")).collect()]}
 
     def get_object_deltas(self, object_id: str, include_negated: bool = False) -> dict[str, Any]:
@@ -123,6 +161,11 @@ class Service:
         row = hyperview.nested(self.log, schema_id, self.registry, [object_id], asof).first()
         return row.asDict(recursive=True) if row else None
 
+    def get_stored_view(self, schema_id: str, object_id: str) -> dict[str, Any] | None:
+        """As get_view(), from the stored views, as of when they were built or last updated; LookupError if there are none."""
+        row = self.views.view(schema_id, [object_id]).first()
+        return row.asDict(recursive=True) if row else None
+
     def get_stats(self) -> dict[str, Any]:
         return materialize.stats(self.log).first().asDict()
 

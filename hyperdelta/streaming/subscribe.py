@@ -5,15 +5,18 @@ A stream that stops and starts again from its checkpoint loses nothing, which is
 
 from __future__ import annotations
 
+import threading
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..checkpoints import cut
-from ..model import COLUMNS, DELTA
+from ..model import COLUMNS, DELTA, as_json
 from ..operators.filters import DeltaFilter
 from ..operators.materialize import Views
 from ..sources.log import DeltaLog
@@ -71,6 +74,100 @@ def maintain(stream: DataFrame, views: Views, schema_id: str, read: Callable[[],
     return subscribe(stream, handle, checkpoint)
 
 
+class Bounded:
+    """A live consumer that is slower than its stream: micro-batches go into a buffer of `capacity` deltas, and the handler takes them
+    from it, one after another, at its own pace.
+
+    offer() is a handler for subscribe(). What does not fit is dropped by the buffer's rule, refused (OverflowError), or, with 'block',
+    waits: offer() then does not return, so the stream's next batch is not read. A batch comes to the driver row by row and only as far
+    as the buffer has room for it. A delta whose handler fails is counted, goes to on_error and is not tried again; the others go on.
+    """
+
+    def __init__(self, handler: Callable[[dict[str, Any]], None], buffer: Buffer = Buffer(), on_error: Callable[[dict[str, Any], Exception], None] | None = None, on_warning: Callable[[int], None] | None = None) -> None:
+        if buffer.overflow not in OVERFLOW:
+            raise ValueError(f"overflow {buffer.overflow!r}")
+        self.handler, self.buffer, self.on_error, self.on_warning = handler, buffer, on_error, on_warning
+        self.received = self.processed = self.dropped = self.failed = self.warnings = 0
+        self._held: deque[dict[str, Any]] = deque()
+        self._changed = threading.Condition()
+        self._paused = self._closed = self._busy = False
+        self._worker = threading.Thread(target=self._work, daemon=True)
+        self._worker.start()
+
+    def offer(self, batch: DataFrame, _: int = 0) -> None:
+        for row in batch.select(*COLUMNS).orderBy("seq").toLocalIterator():
+            self.put(as_json(row))
+
+    def put(self, delta: dict[str, Any]) -> None:
+        with self._changed:
+            self.received += 1
+            while self.buffer.overflow == "block" and len(self._held) >= self.buffer.capacity and not self._closed:
+                self._changed.wait()
+            if self._closed:
+                raise RuntimeError("the subscription is closed")
+            if len(self._held) >= self.buffer.capacity:
+                if self.buffer.overflow == "error":
+                    raise OverflowError(f"a buffer of {self.buffer.capacity} is full")
+                self.dropped += 1
+                if self.buffer.overflow == "drop_newest":
+                    return
+                self._held.popleft()
+            self._held.append(delta)
+            percent = 100 * len(self._held) // max(1, self.buffer.capacity)
+            warn = percent >= self.buffer.warn_percent
+            self.warnings += warn
+            self._changed.notify_all()
+        if warn and self.on_warning:
+            self.on_warning(percent)
+
+    def _work(self) -> None:
+        while True:
+            with self._changed:
+                while not self._closed and (self._paused or not self._held):
+                    self._changed.wait()
+                if self._closed:
+                    return
+                delta, self._busy = self._held.popleft(), True
+                self._changed.notify_all()
+            try:
+                self.handler(delta)
+                self.processed += 1
+            except Exception as e:  # the subscriber's own; the subscription outlives it
+                self.failed += 1
+                if self.on_error:
+                    self.on_error(delta, e)
+            finally:
+                with self._changed:
+                    self._busy = False
+                    self._changed.notify_all()
+
+    def pause(self) -> None:
+        with self._changed:
+            self._paused = True
+
+    def resume(self) -> None:
+        with self._changed:
+            self._paused = False
+            self._changed.notify_all()
+
+    def drain(self, seconds: float | None = None) -> bool:
+        """Waits until the buffer is empty and the handler idle; whether it came to that in time."""
+        with self._changed:
+            return self._changed.wait_for(lambda: not self._held and not self._busy, seconds)
+
+    def close(self) -> None:
+        """Stops; what is still in the buffer is not handled."""
+        with self._changed:
+            self._closed = True
+            self._changed.notify_all()
+        if threading.current_thread() is not self._worker:
+            self._worker.join()
+
+    def stats(self) -> dict[str, int]:
+        with self._changed:
+            return {"received": self.received, "processed": self.processed, "dropped": self.dropped, "failed": self.failed, "warnings": self.warnings, "size": len(self._held), "capacity": self.buffer.capacity}
+
+
 def _ranked(burst: DataFrame) -> tuple[DataFrame, int]:
     """The burst with each delta's place in it, from 1, and how many there are. Numbered by ranges of seq, in parallel."""
     ranged = cut(burst.repartitionByRange("seq").withColumn("_part", F.spark_partition_id()))
