@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hyperdelta.llm import decontaminate, kneser_ney, packing, pii, simhash
-from hyperdelta.llm.common import stage_path, table
+from hyperdelta.llm.common import drop, stage_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's result is written as Parquet to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; each stage's result is written as Parquet to the shared folder and read again by the next. What a stage
+    has read is deleted when its own result is there; the last one's input stays, as the result is yet to be computed from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = stage_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

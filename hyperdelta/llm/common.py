@@ -123,6 +123,12 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of stage_path() that nothing will read again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path in the shared folder, and the path in it."""
     if uri.startswith("file:"):

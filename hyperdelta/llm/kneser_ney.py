@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, cut, hash_long, opened, prepare, stage_path, starts_of, texts
+from .common import U64, WordHashes, cut, drop, hash_long, opened, prepare, stage_path, starts_of, texts
 
 BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 #: Triples of a part of the model, words of a table of words, words that a task counts or holds at once.
@@ -437,8 +437,8 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     v, *columns = (c.to_numpy().astype(np.int64) for c in known.columns)
     _dump(Words(words, float(np.log(rest)), frequent, second, Table(v, **dict(zip(("s", "n1", "n2", "n3"), columns))), d2), f"{folder}/words")
     _dump((parts, {a for kind, a in small if kind == 4}, d2, d3), f"{folder}/about")
-    for done in (summed, c1):
-        _forget(done)
+    for folder_ in {uri.rpartition("/")[0] for done in (summed, c1) for uri in done.inputFiles()}:
+        drop(spark, folder_)
     return [f"{folder}/{x}" for x in ("words", *range(parts))]
 
 
@@ -472,14 +472,6 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _forget(kept: DataFrame) -> None:
-    """Deletes what _kept has written."""
-    folders = {uri.rpartition("/")[0] for uri in kept.inputFiles()}
-    for uri in folders:
-        files, path = opened(uri)
-        files.delete_dir(path)
-
-
 def _collect(spark: SparkSession) -> None:
     """Lets go of shuffle files that nothing refers to any more: Spark deletes them when the driver collects garbage."""
     spark.sparkContext._jvm.System.gc()
@@ -687,8 +679,7 @@ def classify(docs: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> D
     quality, toxic) may repeat; a document is trusted if none of its labels says that it is bad or toxic.
     """
     fitted = fit(docs, labels, policy)
-    files, path = opened(fitted.stored[0].rpartition("/")[0])
-    files.delete_dir(path)  # all documents are scored, and the scores kept
+    drop(docs.sparkSession, fitted.stored[0].rpartition("/")[0])  # all documents are scored, and the scores kept
     out = fitted.judged(fitted.scores, "lang", SCORES, ("score", "threshold"))
     kept = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept")
     return out.select("doc_id", "lang", "n_words", "log_p", "score", "threshold", kept, "n_repeats")
