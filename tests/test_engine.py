@@ -226,3 +226,40 @@ def test_bad_lines_of_a_feed(spark):
     from hyperdelta.sources.log import bad_lines
 
     assert sorted(str(r["value"]) for r in bad_lines(lines).collect()) == ["", "7", "None", "[1]", "{not json"]
+
+
+def test_versions_can_be_stored(spark, tmp_path):
+    versions = Versions()
+    for name, version in (("A", 1), ("B", 2), ("C", None)):
+        versions.register(HyperSchema("s", name, version=version))
+    versions.register(HyperSchema("t", "T"))
+    versions.table(spark).write.parquet(str(tmp_path / "versions"))
+    again = Versions.of(spark.read.parquet(str(tmp_path / "versions")))
+    assert all(again.history(i) == versions.history(i) and again.latest(i) == versions.latest(i) for i in ("s", "t", "none"))
+
+
+def test_depth_of_stacked_diamonds():
+    """Two ways at each of sixty levels: the depth is found without going every way."""
+    registry = {"end": HyperSchema("end", "End")}
+    for i in range(60):
+        below = f"top{i - 1}" if i else "end"
+        registry |= {f"{side}{i}": HyperSchema(f"{side}{i}", side, {"x": Rule(below)}) for side in ("left", "right")}
+        registry[f"top{i}"] = HyperSchema(f"top{i}", "Top", {"a": Rule(f"left{i}"), "b": Rule(f"right{i}")})
+    assert depth("top59", registry) == 121 and depth("end", registry) == 1 and depth("none", registry) == 0
+
+
+def test_traversal(spark):
+    """From posts by their comments to who is named there, with a condition on the way; a retracted step is not taken."""
+    rows = [
+        delta("d1", 1, "a", "s", [("post", ref("p1", "comments")), ("comment", ref("c1", "post"))]), delta("d2", 2, "a", "s", [("post", ref("p1", "comments")), ("comment", ref("c2", "post"))]),
+        delta("d3", 3, "a", "s", [("post", ref("p2", "comments")), ("comment", ref("c3", "post"))]), delta("d4", 4, "a", "s", [("comment", ref("c1", "author")), ("author", ref("ann", "wrote"))]),
+        delta("d5", 5, "a", "s", [("comment", ref("c2", "author")), ("author", ref("bob", "wrote"))]), delta("d6", 6, "a", "s", [("comment", ref("c3", "author")), ("author", ref("ann", "wrote"))]),
+        delta("d7", 7, "a", "s", [("comment", ref("c1", "score")), ("score", 5)]), delta("d8", 8, "a", "s", [("comment", ref("c3", "score")), ("score", 1)]), delta("n", 9, "a", "s", [("negates", ref("d2", "negated_by"))]),
+    ]
+    log = DeltaLog(frame(spark, rows))
+    long, plain = hyperview.long_form(log), hyperview.long_form(log, negation="none")
+    reached = lambda l, *test: sorted(map(tuple, hyperview.hop(l, test[0] if test else hyperview.hop(l, start, "comments", "comment"), "author", "author").collect()))
+    start = hyperview.starting(spark.createDataFrame([("p1",), ("p2",), ("p2",)], "object_id string"))
+    assert reached(long) == [("p1", "ann"), ("p2", "ann")] and reached(plain) == [("p1", "ann"), ("p1", "bob"), ("p2", "ann")]
+    liked = hyperview.having(long, hyperview.hop(long, start, "comments", "comment"), "score", P.number("score") > 2)
+    assert reached(long, liked) == [("p1", "ann")]
