@@ -2,13 +2,16 @@
 
 The long form, a row for each object, property and delta, is what all else builds on. It comes from the references in one
 pass; many objects cost one job. Nested views are built once for each schema, those that open none first, and joined into
-the pointers of the views above.
+the pointers of the views above; between tasks their deltas and views go as texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import cut
 from ..functions.pointers import reference, value
@@ -58,8 +61,8 @@ def packed(long: DataFrame) -> DataFrame:
 
 
 def nested(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots = None, asof: int | None = None, negation: str = "full") -> DataFrame:
-    """(object_id, props) as packed(), of the rows of nested_long(): a row an object."""
-    return packed(nested_long(log, schema, registry, roots, asof, negation))
+    """(object_id, props) as packed(), of the rows of nested_long(): a row an object. All that an object's view needs meets in one exchange."""
+    return _packed_view(*_levels(log, schema, registry, roots, asof, negation))
 
 
 def nested_long(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots = None, asof: int | None = None, negation: str = "full") -> DataFrame:
@@ -69,29 +72,77 @@ def nested_long(log: DeltaLog, schema: HyperSchema | str, registry: Registry, ro
     Each pointer has a field `view`, with a field for each role that opens one: the packed view of the object that it refers
     to, under the rule's schema. A pointer opens if its role has a rule for a schema, it is a reference, the rule's condition
     holds, and it does not lead back to the object whose view it is in. All levels see the log as of the same time. The log
-    is read once a level, and what a level needs of it is kept in the shared folder; only views that are referred to from above
-    are built.
+    is read three times a level, as it is far larger on disk than the tables or files it comes from; only the ids that a level
+    refers to are kept in the shared folder, and only views that are referred to from above are built.
     """
+    rows, s, roots, links, built = _levels(log, schema, registry, roots, asof, negation)
+    if not s.nested:
+        return _shown(rows, s, roots)
+    items, kind = _items(rows, s, roots, links, built, whole=False)
+    opened = F.explode(_read("items", kind, s, built)).alias("d")
+    return items.groupBy("object_id", "property", "id").agg(F.collect_list("item").alias("items")).select("object_id", "property", opened).select("object_id", "property", *(f"d.{c}" for c in COLUMNS))
+
+
+#: So many views of a level are built before the level above, which keeps its plan short; more are built as they are used.
+FEW = 1000
+Level = tuple[DeltaLog, HyperSchema, Roots, DataFrame | None, dict[str, DataFrame]]
+
+
+def _levels(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots, asof: int | None, negation: str) -> Level:
+    """The top level: (log, schema, roots, what opens, views by schema of what it refers to), for _items()."""
     top = registry.resolve(schema)
     rows = live(log, asof, negation) if negation != "none" else log.until(asof)
     order = topological({**registry, top.id: top}, [top.id])
-    longs: dict[str, DataFrame] = {}
-    wanted: dict[str, DataFrame | list[str] | None] = {top.id: roots}
+    wanted: dict[str, Roots] = {top.id: roots}
+    links: dict[str, DataFrame | None] = {}
     for s in reversed(order):  # from the top: which objects each level needs
-        own = long_form(rows, wanted[s.id], negation="none", selector=s.selector)
-        if s.properties is not None:  # before anything is opened or gathered
-            own = own.where(F.col("property").isin(list(s.properties)) if s.properties else F.lit(False))
-        own = longs[s.id] = cut(own) if s.nested else own  # used for what it refers to, what opens, and the view itself
-        for role, rule in s.nested.items():
-            registry.resolve(rule.schema)
-            referred = _referred(own, role, rule)
-            before = wanted.get(rule.schema)
-            wanted[rule.schema] = referred if before is None else before.unionAll(referred)
+        links[s.id] = _links(rows, s, wanted[s.id]) if s.nested else None
+        for target, roles in _targets(s).items():
+            registry.resolve(target)
+            referred = cut(links[s.id].where(F.col("role").isin(roles)).select(F.col("_to").alias("object_id")).distinct())
+            before = wanted.get(target)
+            wanted[target] = referred if before is None else before.unionAll(referred)
     built: dict[str, DataFrame] = {}
     for s in order:
         if s.id != top.id:
-            built[s.id] = packed(_opened(longs[s.id], s, built))
-    return _opened(longs[top.id], top, built)
+            views = _packed_view(rows, s, wanted[s.id], links[s.id], built)
+            built[s.id] = cut(views) if wanted[s.id].limit(FEW + 1).count() <= FEW else views
+    return rows, top, roots, links[top.id], built
+
+
+def _targets(s: HyperSchema) -> dict[str, list[str]]:
+    """Roles that open, by the schema that they open into."""
+    out: dict[str, list[str]] = {}
+    for role, rule in s.nested.items():
+        out.setdefault(rule.schema, []).append(role)
+    return out
+
+
+def _shown(rows: DeltaLog, s: HyperSchema, roots: Roots) -> DataFrame:
+    """The long form under a schema, nothing opened."""
+    own = long_form(rows, roots, negation="none", selector=s.selector)
+    if s.properties is None:
+        return own
+    return own.where(F.col("property").isin(list(s.properties)) if s.properties else F.lit(False))
+
+
+def _may_open(s: HyperSchema, beside: Column | None = None) -> Column:
+    """Whether a delta has a pointer that a role opens, to another object than `beside`; the rule's condition may still forbid it."""
+    other = lambda p: F.lit(True) if beside is None else p["ref_id"] != beside
+    return F.exists("pointers", lambda p: F.coalesce((p["kind"] == "ref") & p["role"].isin(list(s.nested)) & other(p), F.lit(False)))
+
+
+def _links(rows: DeltaLog, s: HyperSchema, roots: Roots) -> DataFrame:
+    """(object_id, id, at, role, _to): the pointers that open, of deltas that show on the roots. Narrow before anything is exchanged."""
+    may = _may_open(s)
+    if s.selector == "by_target_context":
+        own = _shown(DeltaLog(rows.deltas.where(may)), s, None)
+    else:
+        own = _shown(rows, s, roots).where(may)
+    flat = own.select("object_id", *(c for c in COLUMNS if c != "pointers"), F.posexplode("pointers").alias("at", "p"))
+    opens = [_opens(role, rule) for role, rule in s.nested.items()]
+    out = flat.where(reduce(lambda a, b: a | b, opens)).select("object_id", "id", "at", F.col("p.role").alias("role"), F.col("p.ref_id").alias("_to"))
+    return _rooted(out, roots)
 
 
 def _opens(role: str, rule: Rule, p: str = "p") -> Column:
@@ -106,28 +157,94 @@ def _referred(long: DataFrame, role: str, rule: Rule) -> DataFrame:
     return flat.where(_opens(role, rule)).select(F.col("p.ref_id").alias("object_id"))
 
 
-def _opened(long: DataFrame, schema: HyperSchema, built: dict[str, DataFrame]) -> DataFrame:
-    """The long form with pointers opened.
+#: Stands for the object's own id in texts. JSON holds control characters only escaped, so it is nothing else.
+OWN = "\x04"
+JSON = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1), "maxNestingDepth": str(2**31 - 1)}
+
+
+def _open(kind: T.DataType, short: bool = False) -> T.DataType:
+    """The type with nulls allowed, as what is read from a text may be null. short: with fields named by letters."""
+    if isinstance(kind, T.StructType):
+        names = [chr(97 + i) if i < 26 else f"a{i}" for i in range(len(kind))] if short else kind.names
+        return T.StructType([T.StructField(n, _open(f.dataType, short)) for n, f in zip(names, kind)])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_open(kind.elementType, short))
+    return T.MapType(kind.keyType, _open(kind.valueType, short)) if isinstance(kind, T.MapType) else kind
+
+
+def _text(c: Column, kind: T.DataType, own: Column) -> Column:
+    """A delta or a view as text, which is a third of its row's size on disk; _struct() gives it back."""
+    return F.replace(F.to_json(c.cast(_open(kind, True))), F.coalesce(own, F.lit("")), F.lit(OWN))
+
+
+def _struct(c: Column, kind: T.DataType, own: Column) -> Column:
+    return F.from_json(F.replace(c, F.lit(OWN), F.coalesce(own, F.lit(""))), _open(kind, True), JSON).cast(kind)
+
+
+def _kind(df: DataFrame, c: Column) -> T.DataType:
+    return _open(df.select(c.alias("c")).schema["c"].dataType)
+
+
+def _items(rows: DeltaLog, s: HyperSchema, roots: Roots, links: DataFrame | None, built: dict[str, DataFrame], whole: bool) -> tuple[DataFrame, T.DataType]:
+    """(object_id, property, id, item), and the deltas' type. An item (d, views) is a delta as text with the views that its pointers open into,
+    (at, role, v), as texts too; _read() reads them. A delta that shows twice on an object has two items, opened once.
 
-    Only pointers that open are exploded and joined, each with the views of its role alone; they are gathered by object and
-    delta, and put in their places. A delta that shows twice on an object is opened once.
+    whole: all of an object is dealt to one task, where it can be packed without another exchange, and only deltas that may open keep their
+    id. Else an object's deltas are dealt singly.
     """
-    if not schema.nested:
-        return long
-    roles = list(schema.nested)
-    kinds = {r: built[schema.nested[r].schema].select(F.struct("object_id", "props").alias("v")).schema["v"].dataType for r in roles}
-    flat = long.select("object_id", *(c for c in COLUMNS if c != "pointers"), F.posexplode("pointers").alias("at", "p"))
-    found: DataFrame | None = None
-    for role in roles:
-        rule = schema.nested[role]
-        mine = flat.where(_opens(role, rule)).select("object_id", "id", "at", F.col("p.ref_id").alias("_to")).distinct()
-        view = built[rule.schema].select(F.col("object_id").alias("_to"), F.struct("object_id", "props").alias("_v"))
-        fields = F.struct(*((F.col("_v") if r == role else F.lit(None).cast(kinds[r])).alias(r) for r in roles)).alias("v")
-        part = mine.join(view, "_to").select("object_id", "id", "at", fields)
-        found = part if found is None else found.unionAll(part)
-    gathered = found.groupBy("object_id", "id").agg(F.collect_list(F.struct("at", "v")).alias("_views"))
-    place = F.transform("pointers", lambda p, i: p.withField("view", F.get(F.filter("_views", lambda x: x["at"] == i), F.lit(0))["v"]))
-    return long.join(gathered, ["object_id", "id"], "left").withColumn("pointers", place).select(*long.columns)
+    late = s.selector == "by_target_context" and isinstance(roots, DataFrame)  # roots are met where the views are gathered
+    own = _shown(rows, s, None if late else roots)
+    kind = _kind(own, _delta())
+    id = F.when(_may_open(s, F.col("object_id")), F.col("id")) if whole else F.col("id")
+    deltas = own.select("object_id", "property", id.alias("id"), _text(_delta(), kind, F.col("object_id")).alias("d"))
+    if links is None:
+        out = _rooted(deltas.repartition("object_id"), roots if late else None)
+        return out.select("object_id", "property", "id", F.struct("d").alias("item")), kind
+    out = deltas.withColumn("view", F.lit(None).cast("struct<at int, role string, v string>"))
+    for target, roles in _targets(s).items():
+        view = built[target].select("object_id", F.struct("object_id", "props").alias("v"))
+        view = view.select(F.col("object_id").alias("_to"), _text(F.col("v"), view.schema["v"].dataType, F.col("object_id")).alias("v"))
+        found = links.where(F.col("role").isin(roles)).join(view, "_to")
+        none = F.lit(None)
+        out = out.unionAll(found.select("object_id", none.alias("property"), "id", none.alias("d"), F.struct("at", "role", "v").alias("view")))
+    if whole:
+        out = _rooted(out.repartition("object_id"), roots if late else None)
+    elif late:
+        out = _rooted(out, roots)
+    shown = F.when(F.col("d").isNotNull(), F.struct("property", "d"))
+    out = out.groupBy("object_id", "id").agg(F.collect_list(shown).alias("ds"), F.collect_list("view").alias("views"))
+    out = out.select("object_id", "id", F.explode("ds").alias("x"), "views")
+    return out.select("object_id", "x.property", "id", F.struct("x.d", "views").alias("item")), kind
+
+
+def _read(items: Column | str, kind: T.DataType, s: HyperSchema, built: dict[str, DataFrame]) -> Column:
+    """The deltas of a column of items of an object, in order of arrival, pointers opened."""
+    by_seq = lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int")
+    if not s.nested:
+        return F.array_sort(F.transform(items, lambda x: _struct(x["d"], kind, F.col("object_id"))), by_seq)
+    kinds = {t: _kind(built[t], F.struct("object_id", "props")) for t in _targets(s)}
+    # a text is read once, then its fields are taken
+    read = F.transform(items, lambda x: F.struct(_struct(x["d"], kind, F.col("object_id")).alias("d"), x["views"].alias("views")))
+
+    def opened(p: Column, at: Column, views: Column) -> Column:
+        view = F.get(F.filter(views, lambda x: x["at"] == at), F.lit(0))
+        fields = [F.when(view["role"] == r, _struct(view["v"], kinds[rule.schema], p["ref_id"])).alias(r) for r, rule in s.nested.items()]
+        return p.withField("view", F.when(view.isNotNull(), F.struct(*fields)))
+
+    def delta(y: Column) -> Column:
+        fields = [y["d"][f].alias(f) for f in kind.names if f != "pointers"]
+        return F.struct(*fields, F.transform(y["d"]["pointers"], lambda p, i: opened(p, i, y["views"])).alias("pointers"))
+
+    return F.array_sort(F.transform(read, delta), by_seq)
+
+
+def _packed_view(rows: DeltaLog, s: HyperSchema, roots: Roots, links: DataFrame | None, built: dict[str, DataFrame]) -> DataFrame:
+    """(object_id, props) of the roots under a schema, pointers opened."""
+    items, kind = _items(rows, s, roots, links, built, whole=True)
+    lists = items.groupBy("object_id", "property").agg(F.collect_list("item").alias("items"))
+    packs = lists.groupBy("object_id").agg(F.collect_list(F.struct("property", "items")).alias("lists"))
+    entries = F.transform("lists", lambda x: F.struct(x["property"], _read(x["items"], kind, s, built)))
+    return packs.select("object_id", F.map_from_entries(entries).alias("props"))
 
 
 def closure(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: list[str] | DataFrame, asof: int | None = None) -> DataFrame:
