@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import service
 from .checkpoints import cut, shared_folder
 from .functions import pointers as P
-from .model import delta, frame, ref
+from .model import COLUMNS, delta, frame, ref
 from .operators import authoring, discovery, filters, hyperview, materialize, negation, replicate, timetravel, view
 from .operators.filters import DeltaFilter
 from .operators.replicate import Trust
@@ -420,17 +420,13 @@ def _retracted(log: DeltaLog) -> DeltaLog:
     """The log with retractions of every third order's link to its customer, every second of these retracted in turn; of every fifth
     customer's name, every second retracted too; and of every fourth customer's link to its nation."""
     key = F.element_at(F.split("id", "/"), 2).cast("long")
-
-    def gone(like: str, modulus: int, rest: int, name: str, target: str = "", at: int = 1) -> DataFrame:
-        ids = log.deltas.where(F.col("id").like(like)).where(key % modulus == rest).select("id", key.alias("k"))
+    families = (("orders/%/customer", 3, 0, "n1/", "", 1), ("orders/%/customer", 6, 0, "n2/", "n1/", 2), ("customer/%/c_name", 5, 0, "n3/", "", 3), ("customer/%/c_name", 10, 0, "n4/", "n3/", 4), ("customer/%/nation", 4, 1, "n5/", "", 5))
+    made = []
+    for like, modulus, rest, name, target, at in families:
         row = bridge.delta(F.concat(F.lit(name), "id"), F.lit(9_000_000_000_000 + at), F.lit("a"), F.lit("s"), F.col("k") + (40 + at) * bridge.SEQ_STEP, P.make("negates", ref_id=F.concat(F.lit(target), "id"), context="negated_by"))
-        return ids.select(F.inline(F.array(row)))
-
-    parts = [gone("orders/%/customer", 3, 0, "n1/"), gone("orders/%/customer", 6, 0, "n2/", "n1/", 2), gone("customer/%/c_name", 5, 0, "n3/", at=3), gone("customer/%/c_name", 10, 0, "n4/", "n3/", 4), gone("customer/%/nation", 4, 1, "n5/", at=5)]
-    out = log.deltas
-    for part in parts:
-        out = out.unionByName(part)
-    return DeltaLog(out)
+        made.append(F.when(F.col("id").like(like) & (F.col("k") % modulus == rest), row))
+    ids = log.deltas.where(" OR ".join(f"id LIKE '{like}'" for like in dict.fromkeys(f[0] for f in families))).select("id", key.alias("k"))
+    return DeltaLog(log.deltas.unionByName(ids.select(F.inline(F.filter(F.array(*made), lambda d: d.isNotNull()))).select(*COLUMNS)))
 
 
 @query("""SELECT 'orders/' || o_orderkey AS object_id, CASE WHEN (o_orderkey % 3 <> 0 OR o_orderkey % 6 = 0) AND (c_custkey % 5 <> 0 OR c_custkey % 10 = 0) THEN c_name END AS customer,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions import pointers as P
-from ..model import COLUMNS, DELTA, NEGATES
+from ..model import COLUMNS, DELTA, NEGATES, POINTER
 
 DAY = 86_400_000
 
@@ -30,15 +30,16 @@ class DeltaLog:
     @cached_property
     def references(self) -> DataFrame:
         """A row for each reference: (object_id, property, pos, and the delta with all its pointers); property may be null."""
-        refs = F.filter("pointers", lambda p: p["kind"] == "ref")
-        narrow = F.transform(refs, lambda p: F.struct(p["pos"].alias("pos"), p["ref_id"].alias("object_id"), p["ref_context"].alias("property")))
-        return self.deltas.select("*", F.inline(narrow))
+        own = self.deltas.columns
+        flat = self.deltas.select(*own, F.inline("pointers").alias(*(f"_{c}" for c in POINTER.names))).where("_kind = 'ref'")
+        return flat.select(*own, F.col("_pos").alias("pos"), F.col("_ref_id").alias("object_id"), F.col("_ref_context").alias("property"))
 
     @cached_property
     def negations(self) -> DataFrame:
         """(negator_id, target_id, timestamp, seq, author) of each retraction."""
         hits = F.filter("pointers", lambda p: (p["role"] == NEGATES) & (p["kind"] == "ref"))
-        targets = self.deltas.select("id", "timestamp", "seq", "author", F.explode(F.transform(hits, lambda p: p["ref_id"])).alias("target_id"))
+        some = self.deltas.where(F.array_contains(F.col("pointers.role"), NEGATES))  # cheap, and most have none
+        targets = some.select("id", "timestamp", "seq", "author", F.explode(F.transform(hits, lambda p: p["ref_id"])).alias("target_id"))
         return targets.select(F.col("id").alias("negator_id"), "target_id", "timestamp", "seq", "author")
 
     def deduplicated(self) -> DeltaLog:

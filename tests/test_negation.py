@@ -147,3 +147,18 @@ def test_a_chain_of_hundreds(spark):
     log = make(spark, ("c0", "d", 10), *[(f"c{i}", f"c{i - 1}", 10 + i) for i in range(1, 300)])
     changes = {r["id"]: [(c["at"], c["by"]) for c in r["changes"]] for r in timetravel.lives(log).collect()}
     assert changes["c298"] == [(308, 1), (309, -1)] and changes["d"] == [(1000, 1)] and len(changes["c0"]) == 300
+
+
+@pytest.mark.parametrize("sieved, words", [(8_000_000, None), (0, None), (8_000_000, 1)])
+def test_unretracted_is_live(spark, monkeypatch, sieved, words):
+    """By the sieve, without it, and with one that lets through much."""
+    monkeypatch.setattr(negation, "SIEVED", sieved)
+    if words is not None:
+        monkeypatch.setattr(negation, "SHIFTS", (24,) * words)
+    random.seed(11)
+    pairs = {(f"n{i}", f"n{random.randrange(i)}" if random.random() < 0.6 and i else f"d{random.randrange(40)}") for i in range(120)}
+    pairs |= {("p", "q"), ("q", "p"), ("q", "d1"), ("s", "s"), ("n3", "n5"), ("x", "d77")}
+    log = make(spark, *[(a, b, 1000 + i % 7) for i, (a, b) in enumerate(sorted(pairs))], extra=[delta(f"e{i}", 1000, "a", "s", [("name", 1)]) for i in range(30)])
+    for how in ({}, {"asof": 1003}, {"mode": "single_pass"}):
+        got = sorted(r["id"] for r in negation.unretracted(log, **how).deltas.collect())
+        assert got == sorted(r["id"] for r in negation.live(log, **how).deltas.collect())

@@ -37,6 +37,44 @@ def test_depth3_moves_texts_and_keeps_ids(spark, sf):
     check_moved(spark, sf, "nested_depth3_all")
 
 
+def test_retracted_moves_no_whole_deltas(spark, sf):
+    """Retracted deltas are left out where the log is read; only ids of retractions are joined."""
+    moved = exchanged(queries.QUERIES["nested_retracted"](spark, sf))
+    assert moved and not any(re.search(r"\b(pointers|props|d)#", x) for x in moved)
+
+
+@pytest.mark.parametrize("part, few", [(40, 1000), (100_000, 1000), (40, 2)])
+def test_views_of_retracted_deltas(spark, monkeypatch, part, few):
+    """Objects that meet in many parts or one, views that are few or many: as the definition says, roots from a list or a table."""
+    monkeypatch.setattr(hyperview, "PART", part)
+    monkeypatch.setattr(hyperview, "FEW", few)
+    rows = [delta(f"n{i}", 1, "a", "s", [("of", ref(f"in/{i}", "name")), ("v", f"name {i}")]) for i in range(12)]
+    rows += [delta(f"l{i}", 1, "a", "s", [("of", ref(f"o/{i}", "link")), ("to", ref(f"in/{i % 12}", "back"))]) for i in range(60)]
+    rows += [delta(f"v{i}", 1, "a", "s", [("of", ref(f"o/{i}", "value")), ("v", float(i))]) for i in range(60)]
+    undo = {f"l{i}" for i in range(0, 60, 3)} | {f"n{i}" for i in range(0, 12, 5)} | {f"v{i}" for i in range(0, 60, 7)}
+    again = {x for x in undo if int(x[1:]) % 2}
+    rows += [delta(f"x/{x}", 2, "a", "s", [("negates", ref(x, "negated_by"))]) for x in sorted(undo)]
+    rows += [delta(f"y/{x}", 3, "a", "s", [("negates", ref(f"x/{x}", "negated_by"))]) for x in sorted(again)]
+    registry = Registry()
+    registry.register(HyperSchema("leaf", "Leaf", properties=("name",)))
+    registry.register(HyperSchema("top", "Top", {"to": Rule("leaf")}))
+    gone = undo - again
+    wanted = {}
+    for i in range(0, 60, 2):
+        shown = {"link": [f"l{i}"], "value": [f"v{i}"]}
+        inner = None if f"n{i % 12}" in gone else f"n{i % 12}"
+        wanted[f"o/{i}"] = ({k: v for k, v in shown.items() if v[0] not in gone}, inner if f"l{i}" not in gone else None)
+    wanted = {k: v for k, v in wanted.items() if v[0]}
+    ids = [f"o/{i}" for i in range(0, 60, 2)]
+    log = DeltaLog(frame(spark, rows))
+    for roots in (ids, spark.createDataFrame([(i,) for i in ids], "object_id string")):
+        got = {}
+        for r in hyperview.nested(log, "top", registry, roots).collect():
+            views = [p["view"]["to"] for ds in r["props"].values() for d in ds for p in d["pointers"] if p["view"]]
+            got[r["object_id"]] = ({k: [d["id"] for d in ds] for k, ds in r["props"].items()}, views[0]["props"]["name"][0]["id"] if views else None)
+        assert got == wanted
+
+
 ODD = ["", "\x04", "a\x04b\x05\x00", '"}],"a":1', "back\\slash\n\t", "  \U0001f600 é", "x" * 100_000, "null"]
 NUMBERS = [0.0, -0.0, 1e-320, 1.7976931348623157e308, 0.1, 2.0**53 + 2, math.inf, -math.inf, math.nan]
 
