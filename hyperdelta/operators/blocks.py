@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of rows that a task holds before it sends them on as blocks.
-HELD = 40_000_000
+#: Bytes of rows that a task holds before it sends them on as blocks; how hard these are compressed.
+HELD = 32_000_000
+LEVEL = 4
 SCHEMA = "part int, tag int, block binary"
 Tables = dict[int, pa.Table]
 
@@ -32,7 +33,7 @@ def write(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     pq.write_table(rows, sink, compression="none", write_statistics=False)
     raw = sink.getvalue()
-    return raw.size.to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return raw.size.to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
 
 def read(block: bytes) -> pa.Table:
@@ -60,6 +61,8 @@ def deal(rows: DataFrame, key: str, tag: int, parts: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             yield from sent(table["_part"].to_numpy(), tag, table.drop_columns("_part").take)
+            del table
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             if b.num_rows:
@@ -85,6 +88,7 @@ def meet(dealt: list[DataFrame], parts: int, run: Callable[[Tables], Iterator[pa
         while found:
             _, blocks = found.popitem()
             yield from run({tag: pa.concat_tables(map(read, xs)).combine_chunks() for tag, xs in blocks.items()})
+            pa.default_memory_pool().release_unused()
 
     return reduce(DataFrame.unionAll, dealt).repartitionById(parts, "part").mapInArrow(each, schema)
 

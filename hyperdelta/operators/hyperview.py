@@ -93,33 +93,36 @@ def nested_long(log: DeltaLog, schema: HyperSchema | str, registry: Registry, ro
 #: are looked for by their ids.
 FEW = 1000
 #: Deltas of the log to a part in which objects meet, about.
-PART = 150_000
-Level = tuple[DeltaLog, HyperSchema, Roots, DataFrame | None, dict[str, DataFrame], int, set[str]]
+PART = 200_000
+LINK = T.StructType([T.StructField(n, T.IntegerType() if n == "at" else T.StringType()) for n in ("object_id", "id", "at", "role", "_to")])
+Level = tuple[DeltaLog, HyperSchema, Roots, DataFrame | None, dict[str, DataFrame], int, set[str], DataFrame | None]
 
 
 def _levels(log: DeltaLog, schema: HyperSchema | str, registry: Registry, roots: Roots, asof: int | None, negation: str) -> Level:
-    """The top level: (log, schema, roots, what opens, views by schema of what it refers to, parts, schemas with few views), for _items() and _packed_view()."""
+    """The top level: (log, schema, roots, what opens, views by schema of what it refers to, parts, schemas with few views, dealt roots), for _items() and _packed_view()."""
     top = registry.resolve(schema)
-    rows = unretracted(log, asof, negation) if negation != "none" else log.until(asof)
-    parts = max(1, -(-log.until(asof).deltas.count() // PART))
+    rows, size = unretracted(log, asof, negation) if negation != "none" else (log.until(asof), log.until(asof).deltas.count())
+    parts = max(1, -(-size // PART))
     order = topological({**registry, top.id: top}, [top.id])
     wanted: dict[str, Roots] = {top.id: roots}
     links: dict[str, DataFrame | None] = {}
+    at: dict[str, DataFrame | None] = {}
     for s in reversed(order):  # from the top: which objects each level needs
         wanted[s.id] = _few(wanted[s.id])
-        links[s.id] = _links(rows, s, wanted[s.id]) if s.nested else None
+        at[s.id] = _dealt_roots(wanted[s.id], parts)
+        links[s.id] = _kept(_links(rows, s, wanted[s.id]), at[s.id], parts) if s.nested else None
         for target, roles in _targets(s).items():
             registry.resolve(target)
-            referred = cut(_referred_to(links[s.id].where(F.col("role").isin(roles)), wanted[s.id], parts))
+            referred = cut(links[s.id].where(F.col("role").isin(roles)).select(F.col("_to").alias("object_id")).distinct())
             before = wanted.get(target)
             wanted[target] = referred if before is None else before.unionAll(referred)
     built: dict[str, DataFrame] = {}
     few = {id for id, ids in wanted.items() if isinstance(ids, list)}
     for s in order:
         if s.id != top.id:
-            views = _packed_view(rows, s, wanted[s.id], links[s.id], built, parts, few)
+            views = _packed_view(rows, s, wanted[s.id], links[s.id], built, parts, few, at[s.id])
             built[s.id] = cut(views) if s.id in few else views
-    return rows, top, wanted[top.id], links[top.id], built, parts, few
+    return rows, top, wanted[top.id], links[top.id], built, parts, few, at[top.id]
 
 
 def _few(roots: Roots) -> Roots:
@@ -130,22 +133,29 @@ def _few(roots: Roots) -> Roots:
     return roots if len(ids) > FEW else sorted({i for i in ids if i is not None})
 
 
-def _referred_to(links: DataFrame, roots: Roots, parts: int) -> DataFrame:
-    """(object_id) of what the links of the roots open into."""
+def _dealt_roots(roots: Roots, parts: int) -> DataFrame | None:
+    """Blocks of a table of roots, computed once."""
     if not isinstance(roots, DataFrame):
-        return links.select(F.col("_to").alias("object_id")).distinct()
+        return None
+    return cut(blocks.deal(roots.select(F.col(roots.columns[0]).alias("object_id")), "object_id", ROOTS, parts))
 
-    def run(at: blocks.Tables) -> Iterator[pa.RecordBatch]:
-        if LINKS in at and ROOTS in at:
-            own = at[LINKS].filter(pc.is_in(at[LINKS]["object_id"], at[ROOTS]["object_id"], skip_nulls=True))
-            yield pa.record_batch([pc.unique(blocks.column(own, "_to"))], ["object_id"])
 
-    pairs = blocks.deal(links.select("object_id", "_to"), "object_id", LINKS, parts)
-    return blocks.meet([pairs, _dealt_roots(roots, parts)], parts, run, "object_id string").distinct()
+def _kept(links: DataFrame, roots: DataFrame | None, parts: int) -> DataFrame:
+    """The links of the roots, if these are a table; the log is read for them once."""
+    links = links.select(*(F.col(f.name).alias(f.name) for f in LINK))
+    dealt = [cut(blocks.deal(links, "object_id", LINKS, parts))]
+    late = roots is not None
+    if late:
+        dealt.append(roots)
 
+    def run(at: blocks.Tables) -> Iterator[pa.RecordBatch]:
+        own = at.get(LINKS) if not late or ROOTS in at else None
+        if own is not None:
+            own = own.filter(pc.is_in(own["object_id"], blocks.column(at[ROOTS], "object_id"), skip_nulls=True)) if late else own
+            yield from pa.Table.from_arrays(own.columns, schema=schema).to_batches()
 
-def _dealt_roots(roots: DataFrame, parts: int) -> DataFrame:
-    return blocks.deal(roots.select(F.col(roots.columns[0]).alias("object_id")), "object_id", ROOTS, parts)
+    schema = to_arrow_schema(LINK)
+    return blocks.meet(dealt, parts, run, LINK)
 
 
 def _targets(s: HyperSchema) -> dict[str, list[str]]:
@@ -273,14 +283,14 @@ DELTAS, ROOTS, LINKS, VIEWS, FOUND = range(5)
 AT_ONCE = 10_000
 
 
-def _packed_view(rows: DeltaLog, s: HyperSchema, roots: Roots, links: DataFrame | None, built: dict[str, DataFrame], parts: int, few: set[str]) -> DataFrame:
+def _packed_view(rows: DeltaLog, s: HyperSchema, roots: Roots, links: DataFrame | None, built: dict[str, DataFrame], parts: int, few: set[str], at: DataFrame | None) -> DataFrame:
     """(object_id, props) of the roots under a schema, pointers opened. An object's deltas, and the views that they open into, meet in one part."""
     late = s.selector == "by_target_context" and isinstance(roots, DataFrame)  # roots are met where the object's deltas are
     own = _shown(rows, s, None if late else roots)
     kind = _kind(own, _delta())
     dealt = [blocks.deal(own.select("object_id", "property", _delta().alias("d")), "object_id", DELTAS, parts)]
     if late:
-        dealt.append(_dealt_roots(roots, parts))
+        dealt.append(at)
     targets = list(_targets(s).items())
     opened: dict[str, T.DataType] = {}
     for i, (target, roles) in enumerate(targets):

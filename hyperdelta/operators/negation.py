@@ -151,21 +151,26 @@ def live(log: DeltaLog, asof: int | None = None, mode: str = "full", authors: li
     return DeltaLog(log.until(asof).deltas.join(gone, "id", "left_anti"))
 
 
-def unretracted(log: DeltaLog, asof: int | None = None, mode: str = "full") -> DeltaLog:
-    """live() for a log that is read again and again, or that is large: its deltas are not exchanged, only ids of retractions and retracted deltas.
+def unretracted(log: DeltaLog, asof: int | None = None, mode: str = "full") -> tuple[DeltaLog, int]:
+    """(live(), deltas of the log up to the time) for a log that is read again and again, or that is large: its deltas are not exchanged, only
+    ids of retractions and retracted deltas.
 
-    A sieve of the retracted ids, bits in one array, lets through what is surely not retracted. Of the rest, the ids that are not retracted
-    after all, a few in ten thousand of the log, are found by an exact join, kept, and joined by broadcast.
+    A sieve of the retracted ids lets through what is surely not retracted. Of the rest, the ids that are not retracted after all, a few in
+    ten thousand of the log, are found by an exact join, kept, and joined by broadcast.
     """
     rows = log.until(asof)
     gone = cut(_gone(log, asof, mode))
-    test = sieve(gone)
-    if test is None:
-        return DeltaLog(rows.deltas.join(gone, "id", "left_anti"))
-    spared = cut(rows.deltas.select("id").where(test("id")).distinct().join(gone, "id", "left_anti").select(F.col("id").alias("_spared")))
+    found = sieve(gone)
+    if found is None:
+        return DeltaLog(rows.deltas.join(gone, "id", "left_anti")), rows.deltas.count()
+    bits, test = found
+    # one pass: the ids that may be retracted, and under null how many others there are
+    maybe = cut(rows.deltas.select("id").join(bits, F.lit(True), "cross").groupBy(F.when(test("id"), F.col("id")).alias("id")).count())
+    size = maybe.agg(F.sum("count")).first()[0] or 0
+    spared = cut(maybe.where("id IS NOT NULL").join(gone, "id", "left_anti").select(F.col("id").alias("_spared")))
     few = F.broadcast(spared) if spared.count() <= BROADCAST else spared
-    both = rows.deltas.join(few, F.when(test("id"), F.col("id")) == F.col("_spared"), "left")
-    return DeltaLog(both.where(~test("id") | F.col("_spared").isNotNull()).drop("_spared"))
+    both = rows.deltas.join(few, F.col("id") == F.col("_spared"), "left")
+    return DeltaLog(both.join(bits, ~test("id") | F.col("_spared").isNotNull()).select(*rows.deltas.columns)), size
 
 
 def _gone(log: DeltaLog, asof: int | None, mode: str) -> DataFrame:
@@ -174,14 +179,15 @@ def _gone(log: DeltaLog, asof: int | None, mode: str) -> DataFrame:
     if mode != "full":
         return negated_ids(log, asof, mode)
     edges = cut(_edges(log, asof, None).select("negator_id", "target_id"))
-    targeted = sieve(edges.select(F.col("target_id").alias("id")))
+    targeted = sieve(edges.select(F.col("target_id").alias("id")), 19)
     if targeted is None:
         return _settled(edges)[0].select(F.col("target_id").alias("id"))
-    sure = edges.where(~targeted("negator_id")).select(F.col("target_id").alias("id"))
-    open_ = edges.where(targeted("negator_id"))
-    negates = sieve(open_.select(F.col("negator_id").alias("id")))
-    void = (sure if negates is None else sure.where(negates("id"))).withColumnRenamed("id", "negator_id")
-    left = cut(open_.join(void, "negator_id", "left_anti"))
+    bits, test = targeted
+    sure = edges.join(bits, ~test("negator_id")).select(F.col("target_id").alias("id"))
+    open_ = edges.join(bits, test("negator_id")).select("negator_id", "target_id")
+    negates = sieve(open_.select(F.col("negator_id").alias("id")), 19)
+    void = sure if negates is None else sure.join(negates[0], negates[1]("id")).select("id")
+    left = cut(open_.join(void.withColumnRenamed("id", "negator_id"), "negator_id", "left_anti"))
     if left.isEmpty():
         return sure
     return sure.unionAll(_settled(left)[0].select(F.col("target_id").alias("id")))
@@ -189,34 +195,36 @@ def _gone(log: DeltaLog, asof: int | None, mode: str) -> DataFrame:
 
 #: Ids that a sieve is made of at most: their hashes come to the driver, eight bytes each. Ids that are joined by broadcast at most.
 SIEVED, BROADCAST = 8_000_000, 200_000
+#: Bits of the hash that the sieve's four bits come from; the lowest choose the word.
+SHIFTS = (24, 32, 40, 48)
 
 
-def sieve(ids: DataFrame) -> Callable[[str], Column] | None:
-    """A test of a column of ids: false only if it is not among ids (id), true for all of these and a few in ten thousand others.
-    None if there are too many ids.
+def sieve(ids: DataFrame, most: int = 21) -> tuple[DataFrame, Callable[[str], Column]] | None:
+    """(a row to be joined by broadcast, and beside it a test of a column of ids): false only if the id is not among ids (id), true for all of
+    these and a few in ten thousand others. None if there are too many ids.
 
-    A Bloom filter that sets four bits of one word for an id. The words come into plans as a subquery.
+    A Bloom filter that sets four bits of one word for an id, of 2 ** most words at most: 16 MB. With fewer words for so many ids more is let through.
     """
     hashes = ids.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"))
-    h = np.asarray(hashes.limit(SIEVED + 1).toArrow()["h"]).astype(np.int64)
-    if len(h) > SIEVED:
+    found = hashes.limit(SIEVED + 1).toArrow()["h"]
+    if len(found) > SIEVED:
         return None
-    words = 1 << max(6, min(21, int(len(h) // 2).bit_length()))
+    words = 1 << max(6, min(most, int(len(found) // 2).bit_length()))
     bits = np.zeros(words, np.int64)
-    np.bitwise_or.at(bits, h & (words - 1), np.bitwise_or.reduce([np.int64(1) << ((h >> at) & 63) for at in SHIFTS]))
-    table = ids.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+    for chunk in found.chunks:
+        h = chunk.to_numpy()
+        np.bitwise_or.at(bits, h & (words - 1), reduce(np.bitwise_or, (np.int64(1) << ((h >> at) & 63) for at in SHIFTS)))
+    del found, hashes
+    pa.default_memory_pool().release_unused()
+    row = pa.table({"_bits": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(bits))})
 
     def test(column: str) -> Column:
         own = F.xxhash64(column)
         mask = reduce(Column.bitwiseOR, (F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(own, at).bitwiseAND(F.lit(63)).cast("int")) for at in SHIFTS))
-        word = F.get(table.scalar(), own.bitwiseAND(F.lit(words - 1)).cast("int"))
+        word = F.get("_bits", own.bitwiseAND(F.lit(words - 1)).cast("int"))
         return F.col(column).isNotNull() & (word.bitwiseAND(mask) == mask)
 
-    return test
-
-
-#: Bits of the hash that the sieve's four bits come from; the lowest choose the word.
-SHIFTS = (24, 32, 40, 48)
+    return F.broadcast(ids.sparkSession.createDataFrame(row)), test
 
 
 def marked(log: DeltaLog, asof: int | None = None, authors: list[str] | None = None) -> DataFrame:

@@ -160,5 +160,7 @@ def test_unretracted_is_live(spark, monkeypatch, sieved, words):
     pairs |= {("p", "q"), ("q", "p"), ("q", "d1"), ("s", "s"), ("n3", "n5"), ("x", "d77")}
     log = make(spark, *[(a, b, 1000 + i % 7) for i, (a, b) in enumerate(sorted(pairs))], extra=[delta(f"e{i}", 1000, "a", "s", [("name", 1)]) for i in range(30)])
     for how in ({}, {"asof": 1003}, {"mode": "single_pass"}):
-        got = sorted(r["id"] for r in negation.unretracted(log, **how).deltas.collect())
+        rows, size = negation.unretracted(log, **how)
+        assert size == log.until(how.get("asof")).deltas.count()
+        got = sorted(r["id"] for r in rows.deltas.collect())
         assert got == sorted(r["id"] for r in negation.live(log, **how).deltas.collect())
