@@ -3,8 +3,9 @@
 Counts are sharded. Tasks count the triples of their own texts and send them, packed, to parts of about PART triples each, dealt by the
 middle word; the triples of a word that alone would fill a good share of a part are dealt by their first two words instead,
 and its pairs are summed across parts, so no word makes a part large. A part then has all triples of a context (u, v), all pairs (v, w) and
-contexts (v) of its other words, and counts them by itself; words and the pairs of frequent words are summed by Spark, in tables of
-their own. Parts and tables keep raw counts, as sorted key arrays in the shared folder; discounts are put in when one is read. The
+contexts (v) of its other words, and counts them by itself; what it knows of words and of the pairs of frequent words goes on, packed, to
+shards of the words, each summed by one task into tables of their own. A task has one part or one shard. Parts and tables keep raw counts, as
+sorted key arrays in the shared folder; discounts are put in when one is read. The
 model counts all documents labelled good in the training half, so it grows with the input. To score, a task hashes its words
 once, holds HELD of them, joins them with one table after another and adds up their log-probabilities, with one table in memory at a
 time. (A shuffle join would move every n-gram of the corpus, several times the input.)
@@ -105,7 +106,12 @@ Discounts = tuple[float, float, float]
 
 def _less(counts: np.ndarray, d: Discounts) -> np.ndarray:
     """Counts less their discounts; of zero, zero."""
-    return (counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]).astype(np.float32)
+    return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+
+
+def _narrow(counts: np.ndarray, d: Discounts) -> np.ndarray:
+    """_less() of counts, and a last row for those that are missing."""
+    return np.r_[_less(counts, d), 0.0].astype(np.float32)
 
 
 def _weights(table: Table, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +136,8 @@ def _contexts(context: np.ndarray, counts: np.ndarray) -> Table:
 
 @dataclass
 class Words:
-    """What is known of words by themselves, and of the pairs of frequent words: tables by the hash of the word or pair."""
+    """What is known of words by themselves (c: how many words come before), and of the pairs of frequent words (c): tables by the hash of
+    the word or pair, in shards by the word, or the second word of the pair."""
 
     files: list[str]
     unseen: float  # log p of a word that is not in the model
@@ -138,6 +145,8 @@ class Words:
     pairs: list[str] = field(default_factory=list)
     contexts: Table | None = None  # of frequent words
     d2: Discounts = (0.5, 0.75, 0.9)
+    d1: Discounts = (0.5, 0.75, 0.9)
+    total: float = 1.0  # of the words' c
     held: dict[str, Table] = field(default_factory=dict)
 
     def _tables(self, files: list[str]) -> Iterator[tuple[int, Table]]:
@@ -151,7 +160,8 @@ class Words:
         out = np.full(len(hashes), self.unseen, np.float32)
         for k, table in self._tables(self.files):
             mine = np.flatnonzero(hashes % U64(len(self.files)) == k) if len(self.files) > 1 else slice(None)
-            out[mine] = table.column("p", self.unseen)[table.find(hashes[mine])]
+            p = np.r_[np.log(_less(table.values["c"], self.d1) / self.total + np.exp(self.unseen)), self.unseen].astype(np.float32)
+            out[mine] = p[table.find(hashes[mine])]
         return out
 
     def is_frequent(self, words: np.ndarray) -> np.ndarray:
@@ -174,12 +184,9 @@ class Words:
             return
         for k, table in self._tables(self.pairs):
 
-            def put(p2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray, k: int = k, table: Table = table, counts: np.ndarray = np.r_[_less(table.values["c"], self.d2), np.float32(0)]) -> None:
-                some = np.flatnonzero(~np.isnan(p2))
+            def put(p2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray, k: int = k, table: Table = table, counts: np.ndarray = _narrow(table.values["c"], self.d2)) -> None:
+                some = np.flatnonzero(~np.isnan(p2) & (words % U64(len(self.pairs)) == k))
                 keys = hash_long(words[some], hash_long(before[some], 42))
-                if len(self.pairs) > 1:
-                    own = np.flatnonzero(keys % U64(len(self.pairs)) == k)
-                    some, keys = some[own], keys[own]
                 p2[some] += counts[table.find(keys)] * _weights(self.contexts, self.d2)[0][self.contexts.find(before[some])]
 
             yield put
@@ -206,7 +213,7 @@ class Model:
 
     def ready(self) -> Model:
         self._contexts, self._histories = _weights(self.contexts, self.d2), _weights(self.histories, self.d3)
-        self._pairs, self._triples = (np.r_[_less(t.values["c"], d), np.float32(0)] for t, d in ((self.pairs, self.d2), (self.triples, self.d3)))
+        self._pairs, self._triples = (_narrow(t.values["c"], d) for t, d in ((self.pairs, self.d2), (self.triples, self.d3)))
         return self
 
     def log_probabilities(self, before2: np.ndarray, before: np.ndarray, words: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -276,12 +283,48 @@ def _word_counts(trusted: DataFrame) -> DataFrame:
     return trusted.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _grouped(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that has rows, with their numbers."""
+    order = np.argsort(group, kind="stable")
+    ends = starts_of(np.bincount(group, minlength=groups))
+    for g in np.flatnonzero(np.diff(ends)).tolist():
+        yield g, order[ends[g] : ends[g + 1]]
+
+
+def _packed(rows: Iterator[tuple[int, tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """(part, data), compressed, in batches of about 16 MB."""
+    numbers, data, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+
+    for number, what in rows:
+        packed = pickle.dumps(what, protocol=5)
+        numbers.append(number)
+        data.append(pa.compress(packed, "zstd", asbytes=True) + len(packed).to_bytes(8, "little"))
+        size += len(data[-1])
+        if size > 16 << 20:
+            yield batch()
+            numbers, data, size = [], [], 0
+    if data:
+        yield batch()
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True))
+
+
+def _dealt(packed: DataFrame, parts: int) -> DataFrame:
+    """packed (part, data), each part in a task of its own: by a hash of the part several would meet in one task, and others have none."""
+    return packed.repartitionById(parts, F.col("part").cast("int"))
+
+
 def _triples(trusted: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     """(part, data): the counted triples of a task's texts for each part, packed: their words once, then three narrow word numbers
     and the count of each triple."""
-    is_frequent, codec = Words([], 0.0, frequent).is_frequent, "zstd"
+    is_frequent = Words([], 0.0, frequent).is_frequent
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         for sequence, count in _sequences(batches):
             words, number = np.unique(sequence, return_inverse=True)
             at = np.flatnonzero(count)
@@ -289,27 +332,16 @@ def _triples(trusted: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             key, n = np.unique(key, return_counts=True)
             v, w, u = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
             part = part_of(words[u], words[v], is_frequent(words)[v], parts).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = starts_of(np.bincount(part, minlength=parts))
-            numbers, data = [], []
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                mine = order[ends[p] : ends[p + 1]]
+            for p, mine in _grouped(part, parts):
                 own, k = np.unique(np.concatenate([v[mine], w[mine], u[mine]]), return_inverse=True)
-                narrow = [x.astype(np.min_scalar_type(int(x.max()))) for x in (*k.reshape(3, -1), n[mine])]
-                packed = pickle.dumps((words[own], *narrow), protocol=5)
-                numbers.append(p)
-                data.append(pa.compress(packed, codec, asbytes=True) + len(packed).to_bytes(8, "little"))
-                if sum(map(len, data)) > 16 << 20 or p == part.max():
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
-                    numbers, data = [], []
+                yield p, (words[own], *(x.astype(np.min_scalar_type(int(x.max()))) for x in (*k.reshape(3, -1), n[mine])))
 
-    return trusted.mapInArrow(run, "part long, data binary")
+    return trusted.mapInArrow(lambda batches: _packed(rows(batches)), "part long, data binary")
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     """Rows v, w, u (as words) and n."""
-    raw = pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True)
-    words, v, w, u, n = pickle.loads(raw)
+    words, v, w, u, n = _opened(data)
     return np.stack([words[v], words[w], words[u], n.astype(U64)])
 
 
@@ -321,14 +353,6 @@ def _discounts(n: list[int]) -> Discounts:
     return tuple(min(k - 0.01, max(0.01, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))
 
 
-def _counted(column: str) -> list[Column]:
-    return [F.sum(F.when(F.col(column) == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-
-
-def _discount(column: str, d: Discounts) -> Column:
-    return F.when(F.col(column) == 1, d[0]).when(F.col(column) == 2, d[1]).otherwise(d[2])
-
-
 def _dump(what: object, uri: str) -> None:
     files, path = opened(uri)
     with files.open_output_stream(path) as f:
@@ -352,25 +376,32 @@ def load(uri: str) -> Model | Words:
     return model.ready()
 
 
-def _build(rows: list[np.ndarray], frequent: np.ndarray) -> tuple[Model, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """A part from its rows (v, w, u, n); and what is summed across parts, as (kind, a, b, c): of words how many pairs end with them
-    (0), how many triples (1) and pairs (2) have a count of 1 to 4, and the pairs of frequent words (3)."""
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _few(counts: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+
+
+def _build(rows: list[np.ndarray], frequent: np.ndarray) -> tuple[Model, dict[str, tuple[np.ndarray, ...]]]:
+    """A part from its rows (v, w, u, n); and what is summed across parts: of words how many pairs end with them (ends: w, c), the pairs
+    of frequent words (pairs: w, v, c), and how many triples and other pairs have a count of 1 to 4 (few)."""
     v, w, u, n = np.concatenate(rows, axis=1) if rows else np.zeros((4, 0), U64)
     order = np.lexsort((u, w, v))
     v, w, u, n = v[order], w[order], u[order], n[order]
-    heads = lambda *x: np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in x])]) if len(x[0]) else np.zeros(0, np.int64)
-    new = heads(v, w, u)
+    new = _heads(v, w, u)
     c3 = np.add.reduceat(n.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
     v, w, u = v[new], w[new], u[new]
     history = hash_long(v, hash_long(u, 42))
     triples = Table(hash_long(w, history), c=c3)
-    at = heads(v, w)
+    at = _heads(v, w)
     c2, v, w = np.diff(np.r_[at, len(v)]), v[at], w[at]
     often = Words([], 0.0, frequent).is_frequent(v)
     rare = ~often
-    ends, c1 = np.unique(w[rare], return_counts=True)
-    few = np.arange(1, 5)
-    out = [(0, ends, ends, c1), (1, few, few, np.bincount(np.minimum(c3, 5), minlength=6)[1:5]), (2, few, few, np.bincount(np.minimum(c2[rare], 5), minlength=6)[1:5]), (3, v[often], w[often], c2[often])]
+    out = {"ends": np.unique(w[rare], return_counts=True), "pairs": (w[often], v[often], c2[often]), "few": (_few(c3), _few(c2[rare]))}
     pairs = Table(hash_long(w[rare], hash_long(v[rare], 42)), c=c2[rare])
     return Model(_contexts(v[rare], c2[rare]), pairs, _contexts(history, c3), triples), out
 
@@ -390,86 +421,79 @@ def store(trusted: DataFrame, most: int | None = PART) -> list[str]:
     folder = stage_path(spark, "model")
     files, path = opened(folder)
     files.create_dir(path)
-    parts, frequent = 1, np.zeros(0, U64)
+    parts, shards, frequent = 1, 1, np.zeros(0, U64)
     if most:
-        counts = _word_counts(trusted).groupBy(F.when(F.col("n") > most // 4, F.col("w")).alias("w")).agg(F.sum("n").alias("n")).collect()
-        parts = max(1, -(-sum(r["n"] for r in counts) // most))
+        counts = _word_counts(trusted).groupBy(F.when(F.col("n") > most // 4, F.col("w")).alias("w")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+        total = sum(r["n"] for r in counts)
+        parts = max(1, -(-total // most))
+        shards = max(1, -(-max(total // 4, sum(r["words"] for r in counts)) // WORDS))  # of words, and of the pairs of frequent words, which are fewer than the triples
         if parts > 1:  # of these there are at most four a part
             frequent = np.sort(np.array([r["w"] for r in counts if r["w"] is not None], np.int64).view(U64))
         _collect(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            model, out = _build(held, frequent)
-            _dump(model, f"{folder}/{now}")
-            out.append((4, *[np.array([now])] * 2, np.ones(1, np.int64)))
-            columns = [np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]), *(np.concatenate([x[i].astype(U64).view(np.int64) for x in out]) for i in (1, 2, 3))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "c"])
-
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """Writes the part of a task; what each shard of the words needs of it."""
+        part, held = None, []
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if held and part != now:
-                    yield done()
-                    held = []
-                now = part
                 held.append(_unpacked(data.as_py()))
         if held:
-            yield done()
-
-    dealt = _triples(trusted, frequent, parts).repartition(parts, "part").sortWithinPartitions("part")
-    summed = _kept(dealt.mapInArrow(run, "kind int, a long, b long, c long").groupBy("kind", "a", "b").agg(F.sum("c").alias("c")), "sums")
-    small = {(r["kind"], r["a"]): r["c"] for r in summed.where("kind IN (1, 2, 4)").collect()}  # a row a part, and eight
-    pairs = summed.where("kind = 3")
-    n2 = pairs.agg(*_counted("c"), F.count(F.lit(1))).first()
-    d3 = _discounts([small.get((1, k), 0) for k in (1, 2, 3, 4)])
-    d2 = _discounts([small.get((2, k), 0) + (n2[k - 1] or 0) for k in (1, 2, 3, 4)])
-    ends = summed.where("kind = 0").select(F.col("a").alias("w"), "c").unionAll(pairs.select(F.col("b").alias("w"), F.lit(1).cast("long")))
-    c1 = _kept(ends.groupBy("w").agg(F.sum("c").alias("c1")), "ends")
-    *n1, n, s = c1.agg(*_counted("c1"), F.count(F.lit(1)), F.sum("c1")).first()
-    d1 = _discounts([x or 0 for x in n1])
-    rest = c1.agg(F.sum(_discount("c1", d1))).first()[0]
-    rest = (rest / s if s else 1.0) / (n + 1)  # each word's share of what the discounts leave; one word stands for all unseen
-    words = _tables(c1.select(F.col("w").alias("k"), F.ln((F.col("c1") - _discount("c1", d1)) / float(s or 1) + rest).cast("float").alias("v")), f"{folder}/word", n, "p")
-    second = _tables(pairs.select(F.xxhash64("a", "b").alias("k"), F.col("c").alias("v")), f"{folder}/pair", n2[4], "c")
-    known = pairs.groupBy("a").agg(F.sum("c").alias("s"), *(F.sum(F.when(F.least("c", F.lit(3)) == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3))).toArrow()  # a row a frequent word
-    v, *columns = (c.to_numpy().astype(np.int64) for c in known.columns)
-    _dump(Words(words, float(np.log(rest)), frequent, second, Table(v, **dict(zip(("s", "n1", "n2", "n3"), columns))), d2), f"{folder}/words")
-    _dump((parts, {a for kind, a in small if kind == 4}, d2, d3), f"{folder}/about")
-    for folder_ in {uri.rpartition("/")[0] for done in (summed, c1) for uri in done.inputFiles()}:
-        drop(spark, folder_)
-    return [f"{folder}/{x}" for x in ("words", *range(parts))]
-
-
-def _tables(rows: DataFrame, to: str, n: int, column: str) -> list[str]:
-    """Writes rows (k, v) as tables of about WORDS rows each, by k; where they are."""
-    shards = max(1, -(-n // WORDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+            model, out = _build(held, frequent)
+            _dump(model, f"{folder}/{part}")
+            ends, pairs = (dict(_grouped((out[c][0] % U64(shards)).astype(np.int64), shards)) for c in ("ends", "pairs"))
+            none = np.zeros(0, np.int64)
+            for s in range(shards):
+                if not s or s in ends or s in pairs:
+                    e, p = ends.get(s, none), pairs.get(s, none)
+                    yield s, (*(x[e] for x in out["ends"]), *(x[p] for x in out["pairs"]), *(x if not s else np.zeros(4, np.int64) for x in out["few"]), np.array([part] if not s else none))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the tables of a task's shard. (kind, a, c), to be summed: how many words (0), pairs (1) and triples (2) have a count of 1 to 4; the words
+        and their sum (3); parts (4) and shards (5); of a frequent word, the rows that _weights takes (6 to 9)."""
+        shard, held = None, []
         for batch in batches:
-            k, v = (c.to_numpy() for c in batch.columns)
-            own = k.view(U64) % U64(shards)
-            for s in np.unique(own).tolist():
-                held.setdefault(s, []).append((k[own == s], v[own == s]))
-        for s, rows in held.items():
-            _dump(Table(np.concatenate([k for k, _ in rows]), **{column: np.concatenate([v for _, v in rows])}), f"{to}-{s}")
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["shard"])
-
-    shard = F.pmod(F.pmod("k", F.lit(shards)) + F.when(F.col("k") < 0, F.lit((1 << 64) % shards)).otherwise(0), F.lit(shards))  # of k without a sign
-    written = {r["shard"] for r in rows.repartition(shards, shard).mapInArrow(run, "shard long").collect()}  # a row a table
-    for s in set(range(shards)) - written:
-        _dump(Table(np.zeros(0, np.int64), **{column: np.zeros(0, np.float32 if column == "p" else np.int64)}), f"{to}-{s}")
-    return [f"{to}-{s}" for s in range(shards)]
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as compressed columns, which are smaller than a checkpoint's rows."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    _collect(df.sparkSession)
-    return df.sparkSession.read.parquet(path)
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(_opened(data.as_py()))
+        if not held:
+            return
+        ends, c1, w, v, c2, few3, few2, done = map(np.concatenate, zip(*held))
+        held.clear()
+        order = np.lexsort((w, v))
+        w, v, c2 = w[order], v[order], c2[order]
+        at = _heads(v, w)
+        w, v, c2 = w[at], v[at], np.add.reduceat(c2, at) if len(at) else c2
+        ends, c1 = np.r_[ends, w], np.r_[c1, np.ones(len(w), np.int64)]  # a pair of a frequent word ends once with its word
+        order = np.argsort(ends)
+        ends, c1 = ends[order], c1[order]
+        at = _heads(ends)
+        ends, c1 = ends[at], np.add.reduceat(c1, at) if len(at) else c1
+        _dump(Table(ends, c=c1), f"{folder}/word-{shard}")
+        _dump(Table(hash_long(w, hash_long(v, 42)), c=c2), f"{folder}/pair-{shard}")
+        known, few = _contexts(v, c2), np.arange(1, 5)
+        out = [(0, few, _few(c1)), (1, few, few2.reshape(-1, 4).sum(0) + _few(c2)), (2, few, few3.reshape(-1, 4).sum(0)), (3, np.arange(3), np.array([len(c1), c1.sum(), np.count_nonzero(c1 > 2)])), (4, done, np.ones(len(done), np.int64)), (5, np.array([shard]), np.ones(1, np.int64))]
+        out += [(6 + i, known.keys, known.values[c]) for i, c in enumerate(("s", "n1", "n2", "n3"))]
+        columns = [np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]), *(np.concatenate([x[i].astype(U64).view(np.int64) for x in out]) for i in (1, 2))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "c"])
+
+    packed = _dealt(_triples(trusted, frequent, parts), parts).mapInArrow(lambda batches: _packed(built(batches)), "part long, data binary")
+    sums = _dealt(packed, shards).mapInArrow(summed, "kind int, a long, c long").groupBy("kind", "a").agg(F.sum("c").alias("c")).collect()  # a row a part and a shard, four a frequent word, and fifteen
+    _collect(spark)
+    got = {(r["kind"], r["a"]): r["c"] for r in sums}
+    n1, n2, n3 = ([got.get((kind, k), 0) for k in (1, 2, 3, 4)] for kind in (0, 1, 2))
+    n, s, more = (got.get((3, k), 0) for k in (0, 1, 2))
+    d1, d2, d3 = map(_discounts, (n1, n2, n3))
+    rest = (n1[0] * d1[0] + n1[1] * d1[1] + more * d1[2]) / s if s else 1.0
+    rest /= n + 1  # each word's share of what the discounts leave; one word stands for all unseen
+    for k in range(shards):
+        if (5, k) not in got:
+            for name in ("word", "pair"):
+                _dump(Table(np.zeros(0, np.int64), c=np.zeros(0, np.int64)), f"{folder}/{name}-{k}")
+    own = np.array([a for kind, a in got if kind == 6], np.int64)
+    contexts = Table(own, **{c: np.array([got[6 + i, a] for a in own.tolist()], np.int64) for i, c in enumerate(("s", "n1", "n2", "n3"))})
+    word, pair = ([f"{folder}/{name}-{k}" for k in range(shards)] for name in ("word", "pair"))
+    _dump(Words(word, float(np.log(rest)), frequent, pair, contexts, d2, d1, float(s or 1)), f"{folder}/words")
+    _dump((parts, {a for kind, a in got if kind == 4}, d2, d3), f"{folder}/about")
+    return [f"{folder}/{x}" for x in ("words", *range(parts))]
 
 
 def _collect(spark: SparkSession) -> None:

@@ -203,3 +203,33 @@ def test_clashing_names_pass_through(labelled):
         docs = docs.withColumn(name, K.F.lit(name))
     out = K.keep(docs, labels)
     assert out.columns == docs.columns and out.count() == 120 and out.first()["_row"] == "_row"
+
+
+def test_a_task_builds_one_part(spark, monkeypatch):
+    """By a hash of the part several met in one task. Nor does Spark write files on the way, each of which starts a process beside the executor."""
+    rng = random.Random(17)
+    texts = spark.createDataFrame([(" ".join(f"w{rng.randrange(300)}" for _ in range(60)),) for _ in range(100)], "text string")
+    seen, plain = [], type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, *a, **b: seen.append(self) or plain(self, *a, **b))
+    monkeypatch.setattr(type(texts), "write", property(lambda self: pytest.fail("Spark writes files")))
+    _, *parts = K.store(texts, 200)
+    monkeypatch.undo()
+    dealt = next(df for df in seen if df.columns == ["part", "data"])
+    met = dealt.groupBy(K.F.spark_partition_id()).agg(K.F.count_distinct("part").alias("n")).collect()
+    assert len(parts) == 30 and len(met) > 20 and all(r["n"] == 1 for r in met)
+
+
+def test_words_in_shards(spark, monkeypatch):
+    """The words and the pairs of frequent words, dealt over several tables, say what one table says."""
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(200)}"]) for _ in range(40)) for _ in range(60)]
+    docs, plain = spark.createDataFrame([(t,) for t in texts], "text string"), Plain(texts)
+    monkeypatch.setattr(K, "WORDS", 40)
+    words, *parts = map(K.load, K.store(docs, 300))
+    assert len(words.files) > 4 and len(words.pairs) > 4 and len(words.frequent) >= 2
+    tried = [*texts[:15], "the of the", "qq the qq of", "", "w1"]
+    got = 0
+    for p in parts:
+        p.words = words
+        got = got + K.score_batch(p, [t.encode() for t in tried], WordHashes())[1]
+    np.testing.assert_allclose(got, [plain.log_p(t) for t in tried], rtol=1e-4, atol=1e-4)
