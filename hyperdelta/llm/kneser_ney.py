@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ BEGIN = WordHashes()[b""]  # the word before the first; no word is empty
 PART, WORDS, COUNTED, HELD = 400_000, 2_000_000, 1_000_000, 2_000_000
 #: Rows that may be sent to every task; what has more is joined by shuffling.
 SENT = 4_000_000
+#: Rows of scores that a task holds before it writes them.
+ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -628,8 +632,41 @@ def _with_scores(docs: DataFrame, stored: list[str], names: tuple[str, str, str]
 
 
 def scored(docs: DataFrame, stored: list[str]) -> DataFrame:
-    """(doc_id, lang, n_words, n_repeats, log_p) of every row of docs."""
-    return _with_scores(docs.select(F.col("doc_id").cast("long"), "lang", "text"), stored, SCORES).drop("text")
+    """(doc_id, lang, n_words, n_repeats, log_p) of every row of docs, computed once and kept in the shared folder. The workers write
+    them, so that no text goes back; only files of tasks that ended well are read."""
+    lang = F.col("lang").cast("string" if dict(docs.dtypes)["lang"] == "void" else docs.schema["lang"].dataType)  # no file has a column of no type
+    spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), "text")
+    schema = rows.drop("text").schema
+    for name, kind in zip(SCORES, ("long", "long", "double")):
+        schema = schema.add(name, kind)
+    folder = stage_path(spark, "scores")
+    files, path = opened(folder)
+    files.create_dir(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, held, to = None, [], f"{folder}/{uuid.uuid4().hex}.parquet"
+
+        def write() -> None:
+            nonlocal writer
+            table = pa.Table.from_batches(held)
+            if not writer:
+                files, path = opened(to)
+                writer = pq.ParquetWriter(path, table.schema, filesystem=files, compression="zstd")
+            writer.write_table(table)
+            held.clear()
+
+        for batch, *found in _score_batches(stored, batches, 2):
+            held.append(pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, found)], schema.names))
+            if sum(map(len, held)) >= ROWS:
+                write()
+        if held:
+            write()
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([to])], ["file"])
+
+    written = [r["file"] for r in rows.mapInArrow(run, "file string").collect()]  # a row a task
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
 
 
 def _cost(names: tuple[str, str, str] = SCORES) -> Column:
@@ -690,7 +727,7 @@ def fit(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), most: int
     stored = store(training_texts(docs, labels.where(half == 0)), most)
     trusted = trusted_ids(labels.where(half == 1))
     rows = docs if every else docs.select("doc_id", "lang", "text").join(_sent(trusted), "doc_id", "left_semi")
-    scores = cut(scored(rows, stored))
+    scores = scored(rows, stored)
     return Classifier(stored, policy, scores, cut(thresholds(scores, trusted, policy)))
 
 
