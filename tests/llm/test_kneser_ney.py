@@ -233,3 +233,14 @@ def test_words_in_shards(spark, monkeypatch):
         p.words = words
         got = got + K.score_batch(p, [t.encode() for t in tried], WordHashes())[1]
     np.testing.assert_allclose(got, [plain.log_p(t) for t in tried], rtol=1e-4, atol=1e-4)
+
+
+def test_scores_are_files_of_the_workers(spark, labelled):
+    """Narrow rows, of any kind of language column, that a lost executor does not take along."""
+    docs, labels = labelled
+    for lang in (K.F.col("lang"), K.F.lit(None), K.F.lit(3)):
+        rows = docs.withColumn("lang", lang)
+        scores = K.fit(rows, labels).scores
+        assert scores.inputFiles() and scores.columns == ["doc_id", "lang", "n_words", "n_repeats", "log_p"]
+        assert sorted(r["doc_id"] for r in scores.collect()) == sorted(r["doc_id"] for r in docs.collect())
+        assert K.classify(rows, labels).where("NOT kept").count() == 10
